@@ -351,7 +351,7 @@ def leave_one_out(df: DataFrame, value: str = "metric_value") -> DataFrame:
     g = cut_lineage(level_sets(df, facets, (0, 1, 2, 3), value=value))
     drop_labels = {f: DROPPED_FACETS[f] for f in facets if f in DROPPED_FACETS}
     n_pairs = len(facets) * (len(facets) - 1) // 2
-    total = g.filter("f0 IS NULL").select(F.col("n").alias("N"), F.col("mean").alias("m"), F.col("var").alias("v"))
+    total = g.filter("f0 IS NULL").select(F.col("n").alias("n_all"), F.col("mean").alias("m"), F.col("var").alias("v"))
     single = g.filter("f0 IS NOT NULL AND f1 IS NULL").select(
         F.col("f0").alias("f"), F.col("l0").alias("l"), "n", F.col("mean").alias("a"), F.coalesce("var", F.lit(0.0)).alias("v")
     )
@@ -373,12 +373,12 @@ def leave_one_out(df: DataFrame, value: str = "metric_value") -> DataFrame:
     changed = F.when(left > 0, (F.col("n") * F.col("a") - F.col("n_lk") * F.col("a_lk")) / left).otherwise(F.col("a"))
     obs = cut_lineage(
         directed.filter(is_drop).join(single.select("f", "l", "n", "a"), ["f", "l"]).select(
-            "f", "l", F.col("g").alias("D"), F.col("k").alias("d"), "n", "a", "n_lk", left.alias("left"), changed.alias("b")
+            "f", "l", F.col("g").alias("drop_f"), F.col("k").alias("drop_l"), "n", "a", "n_lk", left.alias("left"), changed.alias("b")
         )
     )
     # change of sum n*mean^2 per facet
     q_change = F.when(F.col("left") > 0, F.col("left") * F.col("b") * F.col("b")).otherwise(0.0) - F.col("n") * F.col("a") * F.col("a")
-    sq_change = obs.groupBy("D", "d", "f").agg(F.sum(q_change).alias("dq"))
+    sq_change = obs.groupBy("drop_f", "drop_l", "f").agg(F.sum(q_change).alias("dq"))
     # cross products: sum over facet pairs of sum n_lm a_l a_m, and its change
     other = single.select(F.col("f").alias("g"), F.col("l").alias("k"), F.col("a").alias("a_k"))
     seen_with = directed.join(other, ["g", "k"]).groupBy("f", "l", "g").agg(F.sum(F.col("n_lk") * F.col("a_k")).alias("w"))
@@ -386,71 +386,71 @@ def leave_one_out(df: DataFrame, value: str = "metric_value") -> DataFrame:
     x0 = (
         reach.join(single.select("f", "l", "a"), ["f", "l"]).agg((F.sum(F.col("a") * F.col("w")) / 2).alias("x0"))
     )
-    linear = obs.join(reach, ["f", "l"]).groupBy("D", "d").agg(
+    linear = obs.join(reach, ["f", "l"]).groupBy("drop_f", "drop_l").agg(
         F.sum((F.col("b") - F.col("a")) * F.col("w")).alias("t1"),
     )
     own = obs.join(
-        single.select(F.col("f").alias("D"), F.col("l").alias("d"), F.col("a").alias("a_d")), ["D", "d"]
-    ).groupBy("D", "d").agg(F.sum(F.col("a_d") * F.col("n_lk") * F.col("b")).alias("t4"))
-    o0 = obs.select("D", "d", F.col("f").alias("f0"), F.col("l").alias("l0"), F.col("a").alias("a0"), F.col("b").alias("b0"))
-    o1 = obs.select("D", "d", F.col("f").alias("f1"), F.col("l").alias("l1"), F.col("a").alias("a1"), F.col("b").alias("b1"))
+        single.select(F.col("f").alias("drop_f"), F.col("l").alias("drop_l"), F.col("a").alias("a_d")), ["drop_f", "drop_l"]
+    ).groupBy("drop_f", "drop_l").agg(F.sum(F.col("a_d") * F.col("n_lk") * F.col("b")).alias("t4"))
+    o0 = obs.select("drop_f", "drop_l", F.col("f").alias("f0"), F.col("l").alias("l0"), F.col("a").alias("a0"), F.col("b").alias("b0"))
+    o1 = obs.select("drop_f", "drop_l", F.col("f").alias("f1"), F.col("l").alias("l1"), F.col("a").alias("a1"), F.col("b").alias("b1"))
     second = (
         pair.select("f0", "l0", "f1", "l1", F.col("n").alias("n_lm"))
         .join(o0, ["f0", "l0"])
-        .join(o1, ["D", "d", "f1", "l1"])
-        .groupBy("D", "d")
+        .join(o1, ["drop_f", "drop_l", "f1", "l1"])
+        .groupBy("drop_f", "drop_l")
         .agg(F.sum(F.col("n_lm") * (F.col("b0") - F.col("a0")) * (F.col("b1") - F.col("a1"))).alias("t2"))
     )
 
     def seat(a: int, b: int, drop: int) -> Column:
         return F.struct(
             F.col(f"f{a}").alias("f0"), F.col(f"l{a}").alias("l0"), F.col(f"f{b}").alias("f1"),
-            F.col(f"l{b}").alias("l1"), F.col(f"f{drop}").alias("D"), F.col(f"l{drop}").alias("d"),
+            F.col(f"l{b}").alias("l1"), F.col(f"f{drop}").alias("drop_f"), F.col(f"l{drop}").alias("drop_l"),
         )
 
     seats = triple.select(F.explode(F.array(seat(0, 1, 2), seat(0, 2, 1), seat(1, 2, 0))).alias("s"), F.col("n").alias("n_lmd"))
     third = (
         seats.select("s.*", "n_lmd")
-        .filter(F.col("D").isin(*drop_labels))
-        .join(o0, ["D", "d", "f0", "l0"])
-        .join(o1, ["D", "d", "f1", "l1"])
-        .groupBy("D", "d")
+        .filter(F.col("drop_f").isin(*drop_labels))
+        .join(o0, ["drop_f", "drop_l", "f0", "l0"])
+        .join(o1, ["drop_f", "drop_l", "f1", "l1"])
+        .groupBy("drop_f", "drop_l")
         .agg(F.sum(F.col("n_lmd") * F.col("b0") * F.col("b1")).alias("t3"))
     )
     q0 = single.groupBy("f").agg(F.sum(F.col("n") * F.col("a") * F.col("a")).alias("q"))
     q_wide = q0.agg(*[F.max(F.when(F.col("f") == f, F.col("q"))).alias(f"q_{f}") for f in facets])
-    dq_wide = sq_change.groupBy("D", "d").agg(
+    dq_wide = sq_change.groupBy("drop_f", "drop_l").agg(
         *[F.coalesce(F.max(F.when(F.col("f") == f, F.col("dq"))), F.lit(0.0)).alias(f"dq_{f}") for f in facets]
     )
     drops = single.filter(F.col("f").isin(*drop_labels)).select(
-        F.col("f").alias("D"), F.col("l").alias("d"), F.col("n").alias("n_d"), F.col("a").alias("a_d"), F.col("v").alias("v_d")
+        F.col("f").alias("drop_f"), F.col("l").alias("drop_l"), F.col("n").alias("n_d"), F.col("a").alias("a_d"), F.col("v").alias("v_d")
     )
     one_row = total.join(F.broadcast(q_wide)).join(F.broadcast(x0))
-    base = drops.join(F.broadcast(one_row)).filter("N > n_d")
+    base = drops.join(F.broadcast(one_row)).filter("n_all > n_d")
     for part in (dq_wide, linear, second, third, own):
-        base = base.join(part, ["D", "d"], "left")
+        base = base.join(part, ["drop_f", "drop_l"], "left")
     zero = {c: 0.0 for c in ("t1", "t2", "t3", "t4", *[f"dq_{f}" for f in facets])}
     base = base.fillna(zero)
-    n1 = F.col("N") - F.col("n_d")
-    m1 = (F.col("N") * F.col("m") - F.col("n_d") * F.col("a_d")) / n1
+    n1 = F.col("n_all") - F.col("n_d")
+    m1 = (F.col("n_all") * F.col("m") - F.col("n_d") * F.col("a_d")) / n1
     base = base.withColumn("n1", n1).withColumn("m1", m1)
     center1 = F.col("n1") * F.col("m1") * F.col("m1")
-    center0 = F.col("N") * F.col("m") * F.col("m")
+    center0 = F.col("n_all") * F.col("m") * F.col("m")
 
     def ss_left(f: str) -> Column:
-        own_term = F.when(F.col("D") == f, F.col("n_d") * F.col("a_d") * F.col("a_d")).otherwise(0.0)
+        own_term = F.when(F.col("drop_f") == f, F.col("n_d") * F.col("a_d") * F.col("a_d")).otherwise(0.0)
         return F.col(f"q_{f}") + F.col(f"dq_{f}") - own_term - center1
 
     def ss_full(f: str) -> Column:
         return F.col(f"q_{f}") - center0
 
-    sst_full = F.col("v") * (F.col("N") - 1)
+    sst_full = F.col("v") * (F.col("n_all") - 1)
     q_d = F.col("v_d") * (F.col("n_d") - 1) + F.col("n_d") * F.col("a_d") * F.col("a_d")
     sst_left = sst_full + center0 - q_d - center1
     x_left = F.col("x0") + F.col("t1") + F.col("t2") - F.col("t3") - F.col("t4")
     res_left = sst_left - sum(ss_left(f) for f in facets) + 2 * (x_left - n_pairs * center1)
     res_full = sst_full - sum(ss_full(f) for f in facets) + 2 * (F.col("x0") - n_pairs * center0)
-    df1, df0 = F.greatest(F.col("n1") - 1, F.lit(1)), F.greatest(F.col("N") - 1, F.lit(1))
+    df1, df0 = F.greatest(F.col("n1") - 1, F.lit(1)), F.greatest(F.col("n_all") - 1, F.lit(1))
 
     def change(f: str) -> Column:
         if f not in facets:
@@ -459,7 +459,7 @@ def leave_one_out(df: DataFrame, value: str = "metric_value") -> DataFrame:
 
     labels = F.create_map(*[F.lit(x) for kv in drop_labels.items() for x in kv])
     out = base.select(
-        "D", "d", F.col("n1").alias("n_observations"),
+        "drop_f", "drop_l", F.col("n1").alias("n_observations"),
         change("model").alias("model_variance_change"), change("prompt_id").alias("prompt_variance_change"),
         change("task_id").alias("task_variance_change"),
         (F.greatest(res_left / df1, F.lit(0.0)) - F.greatest(res_full / df0, F.lit(0.0))).alias("residual_variance_change"),
@@ -467,19 +467,19 @@ def leave_one_out(df: DataFrame, value: str = "metric_value") -> DataFrame:
     # model means without the dropped level; one small list of models per dropped level
     models = with_rank(single.filter("f = 'model'").select(F.col("l").alias("model"), "n", "a"), score="a", name="full_rank")
     listed = models.agg(F.collect_list(F.struct("model", "n", "a", "full_rank")).alias("ms"))
-    spread = drops.join(F.broadcast(listed)).select("D", "d", F.explode("ms").alias("x")).select("D", "d", "x.*")
-    moved = obs.filter("f = 'model'").select("D", "d", F.col("l").alias("model"), "left", "b")
-    scored = spread.join(moved, ["D", "d", "model"], "left").filter(
-        "coalesce(left, n) > 0 AND NOT (D = 'model' AND d = model)"
+    spread = drops.join(F.broadcast(listed)).select("drop_f", "drop_l", F.explode("ms").alias("x")).select("drop_f", "drop_l", "x.*")
+    moved = obs.filter("f = 'model'").select("drop_f", "drop_l", F.col("l").alias("model"), "left", "b")
+    scored = spread.join(moved, ["drop_f", "drop_l", "model"], "left").filter(
+        "coalesce(left, n) > 0 AND NOT (drop_f = 'model' AND drop_l = model)"
     ).withColumn("score", F.coalesce("b", "a"))
-    by = ["D", "d"]
+    by = ["drop_f", "drop_l"]
     ranked = with_rank(scored, by)
     common = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_m"))
     tau = kendall_tau(ranked, "full_rank", "rank", by).join(common, by).select(
         *by, F.when(F.col("_m") >= 2, F.col("kendall_tau")).alias("kendall_tau_vs_full")
     )
     return out.join(tau, by, "left").select(
-        labels[F.col("D")].alias("dropped_factor"), F.col("d").alias("dropped_level"), "n_observations",
+        labels[F.col("drop_f")].alias("dropped_factor"), F.col("drop_l").alias("dropped_level"), "n_observations",
         "kendall_tau_vs_full", "model_variance_change", "prompt_variance_change", "task_variance_change",
         "residual_variance_change",
     )

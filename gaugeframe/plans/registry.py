@@ -17,11 +17,17 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+SCALE = 1e6
+# Sums of doubles differ in the last bits between engines. The small surplus over one half makes an
+# exact tie at the seventh place round up in both, instead of either way.
+HALF_UP = 0.5001
+
+
 def rounded(df: DataFrame) -> DataFrame:
-    """Round every double to 6 places; adding zero turns -0.0 into 0.0."""
+    """Round every double to 6 places."""
     return df.select(
         *[
-            (F.round(F.col(f"`{f.name}`"), 6) + F.lit(0.0)).alias(f.name)
+            (F.floor(F.col(f"`{f.name}`") * F.lit(SCALE) + F.lit(HALF_UP)) / F.lit(SCALE)).alias(f.name)
             if isinstance(f.dataType, T.DoubleType)
             else F.col(f"`{f.name}`")
             for f in df.schema.fields
@@ -29,6 +35,10 @@ def rounded(df: DataFrame) -> DataFrame:
     )
 
 
+def rounded_sql(column: str) -> str:
+    return f"floor(CAST({column} AS DOUBLE) * CAST({SCALE} AS DOUBLE) + CAST({HALF_UP} AS DOUBLE)) / CAST({SCALE} AS DOUBLE) AS {column}"
+
+
 def with_views(sql: str) -> str:
     """Prefix ``sql`` with the definitions of the views it names."""
     needed: list[str] = []
@@ -61,9 +71,7 @@ def query(name: str, sql: str | None = None, doubles: str = "") -> Callable[[Que
         if sql is not None:
             body = sql.strip()
             if doubles:
-                repl = ", ".join(
-                    f"round(CAST({c} AS DOUBLE), 6) + CAST(0 AS DOUBLE) AS {c}" for c in doubles.split()
-                )
+                repl = ", ".join(rounded_sql(c) for c in doubles.split())
                 body = f"SELECT * REPLACE ({repl}) FROM (\n{with_views(body)}\n) AS result"
             else:
                 body = with_views(body)
