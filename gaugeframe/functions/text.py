@@ -7,6 +7,7 @@ import ast
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Fixed values. Unicode white space, spelled out because \s of Java covers ASCII only.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
@@ -116,18 +117,22 @@ def token_count(prediction: Column) -> Column:
     return F.size(tokenize(F.when(code != "", code).otherwise(prediction)))
 
 
-@F.pandas_udf("double")
-def _parses(code: pd.Series) -> pd.Series:
-    def one(text: str | None) -> float:
-        if not text or not text.strip():
-            return 0.0
-        try:
-            ast.parse(text)
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return 0.0
-        return 1.0
+def _parses(code: Column) -> Column:
+    # nested, so it travels to the workers by value
+    @F.pandas_udf(DoubleType())
+    def parse(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> float:
+            if not text or not text.strip():
+                return 0.0
+            try:
+                ast.parse(text)
+            except (SyntaxError, ValueError, RecursionError, MemoryError):
+                return 0.0
+            return 1.0
 
-    return code.map(one).astype("float64")
+        return texts.map(one).astype("float64")
+
+    return parse(code)
 
 
 def syntax_check(prediction: Column) -> Column:

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from gaugeframe.functions.draws import dense_index, digest, index_draws
 from gaugeframe.operators.ranking import (
@@ -76,7 +77,7 @@ def resampled_means_by_counts(
     packed = counts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("vc"))
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in by]) if by else F.lit("")
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def redraw(keys: pd.Series, iterations: pd.Series, values: pd.Series, weights: pd.Series) -> pd.Series:
         means = []
         for k, i, v, w in zip(keys, iterations, values, weights, strict=True):

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from gaugeframe.plans import statistics_queries  # noqa: F401
+from gaugeframe.plans import data_queries, regression_queries, statistics_queries  # noqa: F401
 from gaugeframe.plans.registry import ORACLES, QUERIES  # noqa: F401

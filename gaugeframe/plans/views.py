@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def utc(df: DataFrame, name: str) -> Column:
+    """A time column as an instant; a naive time means UTC, whatever the session's zone is."""
+    column = F.col(name)
+    if dict(df.dtypes)[name] == "timestamp_ntz":
+        column = F.convert_timezone(F.lit("UTC"), F.current_timezone(), column)
+    return column.cast("timestamp")
+
+
 def _cells(spark: SparkSession, sf: str, lift: int, graded: bool = False) -> DataFrame:
     li = table(spark, sf, "lineitem")
     model = F.col("l_suppkey") % 6
@@ -48,6 +56,17 @@ def cells_graded(spark: SparkSession, sf: str) -> DataFrame:
     return _cells(spark, sf, 3, graded=True)
 
 
+def cells_balanced(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean score of every model x prompt x temperature x run: each combination exactly once."""
+    keys = ["model", "prompt_id", "temperature", "run_id"]
+    return cells_graded(spark, sf).groupBy(*keys).agg(F.round(F.avg("metric_value"), 9).alias("metric_value"))
+
+
+def cells_by_task(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean score of every model x task: each pair exactly once."""
+    return cells_graded(spark, sf).groupBy("model", "task_id").agg(F.avg("metric_value").alias("metric_value"))
+
+
 def props_k() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
 
@@ -56,7 +75,8 @@ def log(spark: SparkSession, sf: str) -> DataFrame:
     """Append-only result log: several rows per cell, a later row supersedes."""
     value = F.col("value")
     failed = F.col("event_type") == "error"
-    return table(spark, sf, "events").select(
+    events = table(spark, sf, "events")
+    return events.select(
         F.concat_ws("|", "user_id", props_k() % 10).alias("cell_id"),
         F.concat(F.lit("m"), F.col("user_id") % 6).alias("model_id"),
         F.concat(F.lit("t"), props_k() % 10).alias("task_id"),
@@ -64,7 +84,7 @@ def log(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(0.0).alias("temperature"),
         F.when(failed, "failed").otherwise("completed").alias("status"),
         F.when(failed, "error").alias("error"),
-        F.col("ts").alias("executed_at"),
+        utc(events, "ts").alias("executed_at"),
         F.col("event_id").alias("seq"),
         F.create_map(
             F.lit("pass_at_1"), F.when(value > 30, 1.0).otherwise(0.0), F.lit("token_count"), value
@@ -160,6 +180,11 @@ VIEW_SQL: dict[str, str] = {
                CASE WHEN l_linestatus = 'O' THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS temperature,
                'graded' AS metric_name, l_quantity / 50.0::DOUBLE AS metric_value
         FROM lineitem""",
+    "cells_balanced": """
+        SELECT model, prompt_id, temperature, run_id, round(avg(metric_value), 9) AS metric_value
+        FROM cells_graded GROUP BY ALL""",
+    "cells_by_task": """
+        SELECT model, task_id, avg(metric_value) AS metric_value FROM cells_graded GROUP BY ALL""",
     "log": """
         SELECT user_id || '|' || (k % 10) AS cell_id, 'm' || (user_id % 6) AS model_id,
                't' || (k % 10) AS task_id, 'default' AS prompt_variant_id, 0.0::DOUBLE AS temperature,

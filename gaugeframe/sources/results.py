@@ -7,6 +7,8 @@ from pyspark.sql import types as T
 
 # File suffixes and the writer format they stand for.
 FORMATS = {".parquet": "parquet", ".jsonl": "json", ".json": "json", ".csv": "csv"}
+# ISO-8601 with microseconds; the default writer keeps milliseconds only
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 RESULT_SCHEMA = T.StructType(
     [
@@ -52,7 +54,7 @@ def read_results(
     reader = spark.read
     if fmt == "parquet":
         return reader.parquet(path)
-    reader = reader.schema(schema or RESULT_SCHEMA)
+    reader = reader.schema(schema or RESULT_SCHEMA).option("timestampFormat", TIME_FORMAT)
     if fmt == "json":
         return reader.json(path)
     if fmt == "csv":
@@ -70,6 +72,8 @@ def write_results(
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(partition_by)
+    if fmt != "parquet":
+        writer = writer.option("timestampFormat", TIME_FORMAT)
     if fmt == "csv":
         writer.option("header", True).option("escape", '"').csv(path)
     else:

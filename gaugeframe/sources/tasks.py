@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeframe.functions.draws import digest
+from gaugeframe.functions.text import strip
 
 # Allowed names in a task record.
 DOMAINS = ("code_generation", "bug_repair", "code_summarization", "executable_code_generation")
@@ -32,12 +33,12 @@ TASK_SCHEMA = T.StructType(
 
 def not_blank(items: Column) -> Column:
     """Trimmed entries without the blank ones."""
-    return F.filter(F.transform(items, F.trim), lambda x: x != "")
+    return F.filter(F.transform(items, strip), lambda x: x != "")
 
 
 def rule_errors() -> Column:
     """Names of the rules a parsed record breaks."""
-    blank = {c: F.trim(F.coalesce(F.col(c), F.lit(""))) == "" for c in ("input", "language")}
+    blank = {c: strip(F.coalesce(F.col(c), F.lit(""))) == "" for c in ("input", "language")}
     checks = [
         F.when(~F.coalesce(F.col("task_id").rlike(TASK_ID_PATTERN), F.lit(False)), "task_id"),
         F.when(~F.coalesce(F.col("domain").isin(*DOMAINS), F.lit(False)), "domain"),
@@ -55,7 +56,7 @@ def parse_task_lines(lines: DataFrame, text: str = "value") -> DataFrame:
     Other columns of ``lines`` (a line number, a file name) are kept.
     """
     keep = [c for c in lines.columns if c != text]
-    line = F.trim(F.col(text))
+    line = strip(F.col(text))
     parsed = F.from_json(
         line, TASK_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     )
@@ -68,7 +69,7 @@ def parse_task_lines(lines: DataFrame, text: str = "value") -> DataFrame:
     )
     return rows.withColumn("errors", errors).withColumns(
         {
-            "language": F.lower(F.trim("language")),
+            "language": F.lower(strip(F.col("language"))),
             "tags": F.coalesce(not_blank(F.col("tags")), F.array().cast("array<string>")),
             "tests": F.when(F.size(not_blank(F.col("tests"))) > 0, not_blank(F.col("tests"))),
         }
@@ -136,8 +137,8 @@ def _first_present(df: DataFrame, names: tuple[str, ...], default: Column) -> Co
 def normalize_mbpp(raw: DataFrame, version: str, split: str = "test") -> DataFrame:
     """The second raw shape; rows without an id, text or tests are dropped, other splits too."""
     empty = F.lit("")
-    text = F.trim(_first_present(raw, ("text", "prompt"), empty))
-    code = F.trim(_first_present(raw, ("code", "canonical_solution"), empty))
+    text = strip(_first_present(raw, ("text", "prompt"), empty))
+    code = strip(_first_present(raw, ("code", "canonical_solution"), empty))
     no_tests = F.array().cast("array<string>")
     lists = [F.when(F.size(F.col(c)) > 0, F.col(c)) for c in ("test_list", "tests") if c in raw.columns]
     tests = not_blank(F.coalesce(*lists, no_tests))
