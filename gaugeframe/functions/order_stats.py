@@ -11,7 +11,7 @@ BINS = 1024
 def with_counts_below(
     counts: DataFrame, by: list[str], value: str = "value", count: str = "c"
 ) -> DataFrame:
-    """Add ``below`` (weight of strictly smaller values in the group) and ``n`` (total weight).
+    """Add ``below`` (weight of strictly smaller values), ``n`` (total weight), ``lowest`` and ``highest``.
 
     ``counts`` holds each distinct value of a group once. Values are cut into equal-width bins:
     bin totals are accumulated over at most ``BINS`` rows per group, and the running sum inside a
@@ -33,7 +33,8 @@ def with_counts_below(
         binned.withColumn("_in", F.coalesce(F.sum(count).over(inside), F.lit(0)))
         .join(starts, [*by, "_bin"])
         .withColumn("below", F.col("_start") + F.col("_in"))
-        .drop("_lo", "_hi", "_bin", "_start", "_in")
+        .withColumnsRenamed({"_lo": "lowest", "_hi": "highest"})
+        .drop("_bin", "_start", "_in")
     )
 
 
@@ -43,8 +44,13 @@ def exact_quantiles(
     probabilities: dict[str, float],
     value: str = "value",
     count: str = "c",
+    moments: bool = False,
 ) -> DataFrame:
-    """Quantiles with linear interpolation from (group, value, count) rows, one row per group."""
+    """Quantiles with linear interpolation from (group, value, count) rows, one row per group.
+
+    ``moments`` adds count, mean, std (n-1), min and max from the same aggregate; sums are taken
+    from the smallest value, so a large common offset costs no digits.
+    """
     placed = with_counts_below(counts, by, value, count)
     picks = []
     for name, p in probabilities.items():
@@ -52,8 +58,19 @@ def exact_quantiles(
         for tag, target in (("lo", F.floor(position)), ("hi", F.ceil(position))):
             covers = (F.col("below") <= target) & (target < F.col("below") + F.col(count))
             picks.append(F.max(F.when(covers, F.col(value))).alias(f"_{name}_{tag}"))
-    picked = placed.groupBy(*by).agg(F.max("n").alias("_n"), *picks)
+    offset = F.col(value) - F.col("lowest")
+    sums = [
+        F.min("lowest").alias("min"), F.max("highest").alias("max"),
+        F.sum(F.col(count) * offset).alias("_s1"), F.sum(F.col(count) * offset * offset).alias("_s2"),
+    ] if moments else []
+    picked = placed.groupBy(*by).agg(F.max("n").alias("_n"), *sums, *picks)
     outputs = []
+    if moments:
+        n, s1 = F.col("_n"), F.col("_s1")
+        variance = F.greatest((F.col("_s2") - s1 * s1 / n) / (n - 1), F.lit(0.0))
+        outputs = [
+            n.alias("count"), (F.col("min") + s1 / n).alias("mean"), F.when(n > 1, F.sqrt(variance)).alias("std"), "min", "max",
+        ]
     for name, p in probabilities.items():
         position = F.lit(p) * (F.col("_n") - 1)
         low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")

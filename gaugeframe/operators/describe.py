@@ -8,15 +8,9 @@ from pyspark.sql import functions as F
 from gaugeframe.functions.order_stats import exact_quantiles
 
 
-def _one_factor(factors: list[str], part: str) -> Column:
-    """Name or level of the single factor of a grouping set."""
-    named = F.array(
-        *[
-            F.struct(F.grouping(f).alias("out"), F.lit(f).alias("factor"), F.col(f).cast("string").alias("level"))
-            for f in factors
-        ]
-    )
-    return F.get(F.filter(named, lambda m: m["out"] == 0), 0)[part]
+def _factor_name(factors: list[str]) -> Column:
+    """Name of the single factor of a grouping set. Kept simple: join filters end up on it."""
+    return F.coalesce(*[F.when(F.grouping(f) == 0, f) for f in factors])
 
 
 def _by_factor(
@@ -29,7 +23,7 @@ def _by_factor(
     rows = rows.filter(F.col("value").isNotNull())
     sets = [[f, *extra] for f in factors]
     out = rows.groupingSets(sets, *factors, *extra).agg(
-        _one_factor(factors, "factor").alias("factor"), _one_factor(factors, "level").alias("level"), *aggregates
+        _factor_name(factors).alias("factor"), F.coalesce(*factors).alias("level"), *aggregates
     )
     return out.drop(*factors).filter("level IS NOT NULL")
 
@@ -61,19 +55,16 @@ def describe_all(
     ``percentile_approx``, which needs no second aggregate.
     """
     factors = [f for f in factors if f in df.columns]
-    stats = [
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    ]
     if approximate:
-        stats += [F.percentile_approx("value", p, 10000).alias(q) for q, p in QUARTILES.items()]
-    table = _by_factor(df, factors, value, [], stats)
-    if not approximate:
-        quartiles = exact_quantiles(level_values(df, factors, value), ["factor", "level"], QUARTILES)
-        table = table.join(quartiles, ["factor", "level"])
+        stats = [
+            F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+            F.min("value").alias("min"), F.max("value").alias("max"),
+            *[F.percentile_approx("value", p, 10000).alias(q) for q, p in QUARTILES.items()],
+        ]
+        table = _by_factor(df, factors, value, [], stats)
+    else:
+        # everything comes from the value counts: one pass over the rows
+        table = exact_quantiles(level_values(df, factors, value), ["factor", "level"], QUARTILES, moments=True)
     return table.select(
         "factor", "level", "count", "mean", "std", "min", "q25", "median", "q75", "max",
         (F.col("std") / F.sqrt("count")).alias("sem"),
