@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeframe.functions.draws import dense_index, index_draws, normal
+from gaugeframe.session import cut_lineage
 
 BOOTSTRAP_FACETS = ("task_id", "prompt_id", "run_id")
 FACET_SEED_STEP = 1000
@@ -34,9 +35,12 @@ def with_rank(scores: DataFrame, by: list[str] | None = None, score: str = "scor
 
 def baseline_rankings(df: DataFrame, value: str = "metric_value") -> DataFrame:
     """model, score, rank and position (rank order, ties by name)."""
-    ranked = with_rank(model_scores(df, value))
+    return _placed(model_scores(df, value))
+
+
+def _placed(scores: DataFrame) -> DataFrame:
     order = Window.partitionBy(F.lit(0)).orderBy("rank", "model")
-    return ranked.withColumn("position", F.row_number().over(order))
+    return with_rank(scores).withColumn("position", F.row_number().over(order))
 
 
 def score_matrix(df: DataFrame, row: str, models: list[str] | None = None, value: str = "metric_value") -> DataFrame:
@@ -47,68 +51,83 @@ def score_matrix(df: DataFrame, row: str, models: list[str] | None = None, value
     return kept.groupBy(row).pivot("model", models).agg(F.avg(value)).orderBy(row)
 
 
-def _inversions(df: DataFrame, by: list[str], code: str, order: list[Column], name: str) -> DataFrame:
-    """Pairs that are strictly out of order, per ``by``: earlier in ``order`` but larger in ``code``.
-
-    Two codes first differ at one bit; for every bit, rows that share the higher bits are scanned in
-    order and each 0 counts the 1s before it. That is M log M rows for M items instead of M^2 pairs.
-    """
-    bits = F.length(F.bin(F.max(code).over(Window.partitionBy(*by))))
-    spread = df.withColumn("_bits", bits).withColumn(
-        "_level", F.explode(F.sequence(F.lit(0), F.col("_bits").cast("int") - 1))
-    )
-    spread = spread.withColumn("_prefix", F.expr(f"shiftright({code}, _level + 1)")).withColumn(
-        "_one", F.expr(f"shiftright({code}, _level) & 1")
-    )
-    earlier = (
-        Window.partitionBy(*by, "_level", "_prefix").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    counted = spread.withColumn("_ones", F.coalesce(F.sum("_one").over(earlier), F.lit(0)))
-    return counted.groupBy(*by).agg(F.sum(F.when(F.col("_one") == 0, F.col("_ones")).otherwise(0)).alias(name))
+def with_agreement(
+    ranked: DataFrame,
+    x: str,
+    y: str,
+    by: list[str],
+    position: str | None = None,
+    undefined: float | None = 1.0,
+    name: str = "kendall_tau",
+) -> DataFrame:
+    """Add tau-b between rank columns ``x`` and ``y`` within ``by`` to every row.
 
+    ``undefined`` covers fewer than two items and all-tied sides. With ``position`` (reference order)
+    also ``pairwise_reversal_rate``: the share of pairs whose later item has the strictly better y.
 
-def kendall_tau(
-    pairs: DataFrame, x: str, y: str, by: list[str], undefined: float | None = 1.0, name: str = "kendall_tau"
-) -> DataFrame:
-    """tau-b between two rank columns per ``by``; ``undefined`` covers fewer than two items and all-tied sides."""
+    Both need inversions, pairs that are strictly out of order. Two integer codes first differ at one
+    bit, so for every bit the rows sharing the higher bits are scanned in order and each 0 counts the
+    1s before it: M log M rows for M items instead of M^2 pairs. Every window is partitioned within
+    ``by``, so one shuffle serves all of them.
+    """
     group = Window.partitionBy(*by)
-    coded = pairs.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).select(
-        "*",
-        F.count(F.lit(1)).over(group).alias("_m"),
-        F.count(F.lit(1)).over(Window.partitionBy(*by, "_x")).alias("_cx"),
-        F.count(F.lit(1)).over(Window.partitionBy(*by, "_y")).alias("_cy"),
-        F.count(F.lit(1)).over(Window.partitionBy(*by, "_x", "_y")).alias("_cxy"),
-        (F.rank().over(Window.partitionBy(*by).orderBy("_y")) - 1).alias("_code"),
+    keys = [F.col(c) for c in by]
+    columns = list(ranked.columns)
+    one = F.lit(1)
+    coded = ranked.select(
+        *columns,
+        F.count(one).over(group).alias("_m"),
+        F.count(one).over(Window.partitionBy(*keys, x)).alias("_cx"),
+        F.count(one).over(Window.partitionBy(*keys, y)).alias("_cy"),
+        F.count(one).over(Window.partitionBy(*keys, x, y)).alias("_cxy"),
+        (F.rank().over(Window.partitionBy(*keys).orderBy(y)) - 1).alias("_code"),
     )
-    ties = coded.groupBy(*by).agg(
-        F.max("_m").alias("_m"),
-        (F.sum(F.col("_cx") - 1) / 2).alias("_tx"),
-        (F.sum(F.col("_cy") - 1) / 2).alias("_ty"),
-        (F.sum(F.col("_cxy") - 1) / 2).alias("_txy"),
-    )
-    inverted = _inversions(coded, by, "_code", [F.col("_x"), F.col("_y")], "_q")
+    bits = F.length(F.bin(F.col("_m") - 1))
+    spread = coded.withColumn("_level", F.explode(F.sequence(F.lit(0), bits.cast("int") - 1)))
+    spread = spread.withColumns({"_prefix": F.expr("shiftright(_code, _level + 1)"), "_one": F.expr("shiftright(_code, _level) & 1")})
+    part = Window.partitionBy(*keys, "_level", "_prefix")
+
+    def inversions(*order: str) -> Column:
+        ones = F.sum("_one").over(part.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+        return F.when(F.col("_one") == 0, F.coalesce(ones, F.lit(0))).otherwise(0)
+
+    found = {"_q": inversions(x, y)}
+    if position is not None:
+        found["_flips"] = inversions(position)
+    first = F.col("_level") == 0
+
+    def ties(c: str) -> Column:
+        return F.sum(F.when(first, F.col(c) - 1).otherwise(0)).over(group) / 2
+
+    totals = {"_tx": ties("_cx"), "_ty": ties("_cy"), "_txy": ties("_cxy"), "_qs": F.sum("_q").over(group)}
+    if position is not None:
+        totals["_flips_all"] = F.sum("_flips").over(group)
+    counted = spread.withColumns(found).withColumns(totals).filter(first)
     n0 = F.col("_m") * (F.col("_m") - 1) / 2
     scale = F.sqrt((n0 - F.col("_tx")) * (n0 - F.col("_ty")))
-    agree = n0 - F.col("_tx") - F.col("_ty") + F.col("_txy") - 2 * F.col("_q")
+    agree = n0 - F.col("_tx") - F.col("_ty") + F.col("_txy") - 2 * F.col("_qs")
     tau = F.when((F.col("_m") >= 2) & (scale > 0), F.round(agree / scale, TIE_PLACES))
     if undefined is not None:
         tau = F.coalesce(tau, F.lit(undefined))
-    return ties.join(inverted, by).select(*by, tau.alias(name))
+    out = [tau.alias(name)]
+    if position is not None:
+        out.append(F.when(n0 > 0, F.col("_flips_all") / n0).alias("pairwise_reversal_rate"))
+    return counted.select(*columns, *out)
+
+
+def kendall_tau(
+    pairs: DataFrame, x: str, y: str, by: list[str], undefined: float | None = 1.0, name: str = "kendall_tau"
+) -> DataFrame:
+    """tau-b between two rank columns, one row per ``by``."""
+    rows = with_agreement(pairs.select(*by, x, y), x, y, by, undefined=undefined, name=name)
+    return rows.groupBy(*by).agg(F.max(name).alias(name))
 
 
 def reversal_rate(sample: DataFrame, by: list[str], position: str, score: str) -> DataFrame:
     """Share of model pairs, taken in reference order, whose later model scores strictly higher."""
-    ranked = sample.select(
-        *by,
-        F.col(position).alias("_p"),
-        (F.rank().over(Window.partitionBy(*by).orderBy(F.desc(F.round(F.col(score), TIE_PLACES)))) - 1).alias("_code"),
-    )
-    inverted = _inversions(ranked, by, "_code", [F.col("_p")], "_q")
-    sizes = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_m"))
-    pairs = F.col("_m") * (F.col("_m") - 1) / 2
-    return sizes.join(inverted, by).select(
-        *by, F.when(pairs > 0, F.col("_q") / pairs).alias("pairwise_reversal_rate")
-    )
+    ranked = with_rank(sample.select(*by, position, score), by, score, "_rank")
+    rows = with_agreement(ranked, position, "_rank", by, position)
+    return rows.groupBy(*by).agg(F.max("pairwise_reversal_rate").alias("pairwise_reversal_rate"))
 
 
 def with_rank_change(samples: DataFrame, by: list[str], base_rank: str, rank: str, position: str) -> DataFrame:
@@ -129,30 +148,39 @@ def rank_change_rate(samples: DataFrame, by: list[str], base_rank: str, rank: st
     return moved.groupBy(*by).agg(F.avg("moved").alias("rank_change_rate"))
 
 
+WHOLE = ""
+
+
 def level_sums(df: DataFrame, facets: list[str], value: str = "metric_value") -> DataFrame:
-    """(bootstrap_type, level, model, s, n): every facet's level totals in one pass."""
+    """(bootstrap_type, level, model, s, n_rows): level totals of every facet, and of the whole frame
+    under the type '', in one pass; written once, because draws, sizes and baseline all read it."""
     levels = F.explode(
         F.array(
-            *[F.struct(F.lit(f).alias("bootstrap_type"), F.col(f).cast("string").alias("level")) for f in facets]
+            F.struct(F.lit(WHOLE).alias("bootstrap_type"), F.lit(WHOLE).alias("level")),
+            *[F.struct(F.lit(f).alias("bootstrap_type"), F.col(f).cast("string").alias("level")) for f in facets],
         )
     )
     rows = df.filter(F.col("model").isNotNull() & F.col(value).isNotNull()).select("model", F.col(value).alias("_y"), levels.alias("_l"))
-    return (
+    sums = (
         rows.select("_l.bootstrap_type", "_l.level", "model", "_y")
         .filter("level IS NOT NULL")
         .groupBy("bootstrap_type", "level", "model")
         .agg(F.sum("_y").alias("s"), F.count("_y").alias("n_rows"))
     )
+    return cut_lineage(sums)
 
 
-def resampled_scores(
-    df: DataFrame, facets: list[str], n_bootstrap: int, seed: int, value: str = "metric_value"
-) -> DataFrame:
+def baseline_of(sums: DataFrame) -> DataFrame:
+    """Baseline rankings from the whole-frame rows of ``level_sums``."""
+    return _placed(sums.filter(F.col("bootstrap_type") == WHOLE).select("model", (F.col("s") / F.col("n_rows")).alias("score")))
+
+
+def resampled_scores(sums: DataFrame, facets: list[str], n_bootstrap: int, seed: int) -> DataFrame:
     """(bootstrap_type, iteration, model, score) with facet levels drawn with replacement.
 
-    Rows are summed per (level, model) once; a level drawn twice counts its sums twice.
+    A level drawn twice counts its sums twice; rows are not touched again.
     """
-    sums = level_sums(df, facets, value)
+    sums = sums.filter(F.col("bootstrap_type") != WHOLE)
     levels = dense_index(sums.select("bootstrap_type", "level").distinct(), ["level"], ["bootstrap_type"])
     offsets = F.create_map(
         *[F.lit(v) for i, f in enumerate(facets) for v in (f, seed + FACET_SEED_STEP * i)]
@@ -181,14 +209,12 @@ def bootstrap_all_facets(
     if not facets:
         raise ValueError("no resampling facet in the frame")
     by = ["bootstrap_type", "iteration"]
-    base = baseline_rankings(df, value).select("model", F.col("rank").alias("base_rank"), "position")
-    scored = with_rank(resampled_scores(df, facets, n_bootstrap, seed, value), by)
-    aligned = with_rank_change(scored.join(base, "model"), by, "base_rank", "rank", "position")
-    aligned = aligned.withColumn(
-        "rank_changed", F.max("moved").over(Window.partitionBy(*by))
-    )
-    taus = kendall_tau(aligned, "base_rank", "rank", by)
-    return aligned.join(taus, by).select(
+    sums = level_sums(df, facets, value)
+    base = baseline_of(sums).select("model", F.col("rank").alias("base_rank"), "position")
+    scored = with_rank(resampled_scores(sums, facets, n_bootstrap, seed).join(base, "model"), by)
+    moved = with_rank_change(scored, by, "base_rank", "rank", "position")
+    changed = moved.withColumn("rank_changed", F.max("moved").over(Window.partitionBy(*by)))
+    return with_agreement(changed, "base_rank", "rank", by).select(
         "bootstrap_type", "iteration", "model", "score", "rank", "kendall_tau", "rank_changed"
     )
 
@@ -273,9 +299,10 @@ def noise_fragility(
     first = Window.partitionBy("iteration").orderBy("rank", "model")
     drawn = Window.partitionBy("iteration").orderBy("noisy_rank", "model")
     moved = ranked.withColumn("moved", (F.row_number().over(first) != F.row_number().over(drawn)).cast("int"))
-    changes = moved.groupBy("iteration").agg(F.max("moved").alias("changed"), F.count(F.lit(1)).alias("m"))
-    taus = kendall_tau(ranked, "rank", "noisy_rank", by)
-    return changes.join(taus, by).agg(
+    per_iteration = with_agreement(moved, "rank", "noisy_rank", by).groupBy("iteration").agg(
+        F.max("moved").alias("changed"), F.count(F.lit(1)).alias("m"), F.max("kendall_tau").alias("kendall_tau")
+    )
+    return per_iteration.agg(
         F.max("m").alias("n_models"),
         F.count(F.lit(1)).alias("n_perturbations"),
         F.sum("changed").alias("rank_changes"),
@@ -327,9 +354,10 @@ def cluster_ci(
 ) -> DataFrame:
     """Per model: mean and percentile interval from resampling whole clusters."""
     p = F.array(F.lit(0.025), F.lit(0.975))
-    samples = resampled_scores(df, [cluster], n_bootstrap, seed, value)
+    sums = level_sums(df, [cluster], value)
+    samples = resampled_scores(sums, [cluster], n_bootstrap, seed)
     bounds = samples.groupBy("model").agg(F.percentile("score", p).alias("q"))
-    return model_scores(df, value).join(bounds, "model").select(
+    return baseline_of(sums).join(bounds, "model").select(
         "model", F.col("score").alias("mean"), F.col("q")[0].alias("ci_lower"), F.col("q")[1].alias("ci_upper")
     )
 
@@ -338,7 +366,8 @@ def pairwise_cluster_ci(
     df: DataFrame, cluster: str = "task_id", n_bootstrap: int = 1000, seed: int = 42, value: str = "metric_value"
 ) -> DataFrame:
     """Per model pair: difference and interval from the same cluster draws, and whether it holds zero."""
-    samples = resampled_scores(df, [cluster], n_bootstrap, seed, value)
+    sums = level_sums(df, [cluster], value)
+    samples = resampled_scores(sums, [cluster], n_bootstrap, seed)
     drawn = samples.groupBy("iteration").agg(F.array_sort(F.collect_list(F.struct("model", "score"))).alias("r"))
     first = drawn.select("r", F.posexplode("r").alias("i", "a"))
     both = first.select("a", F.explode(F.expr("slice(r, i + 2, size(r))")).alias("b"))
@@ -347,7 +376,7 @@ def pairwise_cluster_ci(
     )
     p = F.array(F.lit(0.025), F.lit(0.975))
     bounds = diffs.groupBy("model_a", "model_b").agg(F.percentile("d", p).alias("q"))
-    means = model_scores(df, value)
+    means = baseline_of(sums)
     a = means.select(F.col("model").alias("model_a"), F.col("score").alias("score_a"))
     b = means.select(F.col("model").alias("model_b"), F.col("score").alias("score_b"))
     low, high = F.col("q")[0], F.col("q")[1]

@@ -17,7 +17,7 @@ from gaugeframe.operators.ranking import (
     baseline_rankings,
     kendall_tau,
     pairwise_gaps,
-    reversal_rate,
+    with_agreement,
     with_rank,
 )
 from gaugeframe.operators.variance import (
@@ -27,7 +27,6 @@ from gaugeframe.operators.variance import (
     gram,
     level_sets,
     present_facets,
-    prompt_effect,
     variance_components,
 )
 from gaugeframe.session import cut_lineage
@@ -142,6 +141,20 @@ def task_means(df: DataFrame, value: str = "metric_value") -> DataFrame:
     return kept.groupBy("model", "task_id").agg(F.avg(value).alias("mean"))
 
 
+def task_and_prompt_means(df: DataFrame, value: str = "metric_value") -> tuple[DataFrame, DataFrame]:
+    """(model x task means, SD of the prompt means) from one pass over the rows."""
+    if "prompt_id" not in df.columns:
+        return cut_lineage(task_means(df, value)), df.sparkSession.range(1).select(F.lit(None).cast("double").alias("prompt_effect_std"))
+    both = cut_lineage(
+        df.groupingSets([["model", "task_id"], ["prompt_id"]], "model", "task_id", "prompt_id").agg(
+            F.grouping("prompt_id").alias("_by_task"), F.avg(value).alias("mean")
+        )
+    )
+    means = both.filter("_by_task = 1 AND model IS NOT NULL AND task_id IS NOT NULL").select("model", "task_id", "mean")
+    prompts = both.filter("_by_task = 0 AND prompt_id IS NOT NULL")
+    return means, prompts.agg(F.coalesce(F.stddev_pop("mean"), F.lit(0.0)).alias("prompt_effect_std"))
+
+
 def subset_means(means: DataFrame, sizes: list[int], n_subsets: int, seed: int) -> DataFrame:
     """(n_requested, subset_index, n_tasks, model, score): model means over tasks drawn without replacement."""
     spark = means.sparkSession
@@ -173,15 +186,15 @@ def task_subsets(
     df: DataFrame, sizes: list[int], n_subsets: int = 1000, seed: int = 20260404, value: str = "metric_value"
 ) -> DataFrame:
     """Stability of rankings over random task subsets of each size."""
-    means = task_means(df, value)
+    means, spread = task_and_prompt_means(df, value)
     by = ["n_requested", "subset_index"]
     scored = subset_means(means, sizes, n_subsets, seed).join(_reference(means), "model")
-    ranked = with_rank(scored, by)
-    taus = kendall_tau(ranked, "full_rank", "rank", by, undefined=None)
-    flips = reversal_rate(scored, by, "position", "score")
-    overall = scored.groupBy(*by).agg(F.max("n_tasks").alias("n_tasks"), F.avg("score").alias("overall_pass_at_1"))
-    spread = prompt_effect(df, value)
-    return overall.join(taus, by).join(flips, by).join(F.broadcast(spread)).select(
+    agreed = with_agreement(with_rank(scored, by), "full_rank", "rank", by, "position", undefined=None)
+    per_subset = agreed.groupBy(*by).agg(
+        F.max("n_tasks").alias("n_tasks"), F.max("kendall_tau").alias("kendall_tau"),
+        F.max("pairwise_reversal_rate").alias("pairwise_reversal_rate"), F.avg("score").alias("overall_pass_at_1"),
+    )
+    return per_subset.join(F.broadcast(spread)).select(
         "n_tasks", "subset_index", "kendall_tau", "pairwise_reversal_rate", "prompt_effect_std", "overall_pass_at_1",
         F.lit(None).cast("double").alias("g_coefficient_task"),
     )
@@ -237,7 +250,7 @@ def order_preservation(
     subset score, a pair is broken when a model scoring no more has the larger full mean, so the
     running maximum of full means minus the model's own gives the widest broken gap.
     """
-    means = task_means(df, value)
+    means = cut_lineage(task_means(df, value))
     reference = _reference(means)
     scored = subset_means(means, sizes, n_subsets, seed).join(reference.select("model", "full_score"), "model")
     by = ["n_requested", "subset_index"]
