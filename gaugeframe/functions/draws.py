@@ -39,14 +39,19 @@ def normal(*parts: Column | str | int) -> Column:
     return F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * F.pi() * u2)
 
 
-def dense_index(df: DataFrame, id_cols: list[str], by: list[str] | None = None) -> DataFrame:
-    """Add ``idx``: 0-based position within ``by``, ordered by md5 of the id and then the id.
+def dense_index(
+    df: DataFrame, id_cols: list[str], by: list[str] | None = None, seed: int | None = None, limit: int | None = None
+) -> DataFrame:
+    """Add ``idx``: 0-based position within ``by``, ordered by md5 of (seed and) the id, then the id.
 
     Positions come from per-bucket counts (at most 65,536 buckets by digest prefix) plus the rank
     inside the bucket, so no task ever sorts a whole group and a hot ``by`` key is spread evenly.
+    With ``limit`` only the first positions are kept, and buckets beyond them are dropped before the
+    rows are shuffled.
     """
     by = by or []
-    keyed = df.withColumn("_h", digest(*[F.col(c) for c in id_cols])).withColumn(
+    key = [F.col(c) for c in id_cols]
+    keyed = df.withColumn("_h", digest(*([F.lit(seed)] if seed is not None else []), *key)).withColumn(
         "_b", F.substring("_h", 1, 4)
     )
     sizes = keyed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -54,13 +59,18 @@ def dense_index(df: DataFrame, id_cols: list[str], by: list[str] | None = None)
         Window.unboundedPreceding, -1
     )
     starts = sizes.select(*by, "_b", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_start"))
+    if limit is not None:
+        starts = starts.filter(F.col("_start") < limit)
+    if not by:
+        # one row per digest prefix: 65,536 at most
+        starts = F.broadcast(starts)
     inside = Window.partitionBy(*by, "_b").orderBy("_h", *id_cols)
-    return (
-        keyed.withColumn("_r", F.row_number().over(inside))
-        .join(starts, [*by, "_b"])
-        .withColumn("idx", F.col("_start") + F.col("_r") - 1)
-        .drop("_h", "_b", "_r", "_start")
+    placed = (
+        keyed.join(starts, [*by, "_b"])
+        .withColumn("idx", F.col("_start") + F.row_number().over(inside) - 1)
+        .drop("_h", "_b", "_start")
     )
+    return placed if limit is None else placed.filter(F.col("idx") < limit)
 
 
 def index_draws(

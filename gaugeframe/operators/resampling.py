@@ -281,15 +281,13 @@ CONVERGENCE_SIZES = (100, 250, 500, 1000, 1500, 2000, 3000, 4000, 5000, 6000)
 
 
 def nested_prefixes(df: DataFrame, id_cols: list[str], sizes: tuple[int, ...], seed: int) -> DataFrame:
-    """Rows of the first max(sizes) in random (md5) order, repeated for every size they belong to.
-
-    The prefix is a top-k, so only max(sizes) rows ever meet in one place.
-    """
-    keyed = df.withColumn("_h", digest(F.lit(seed), *[F.col(c) for c in id_cols]))
-    top = keyed.orderBy("_h", *id_cols).limit(max(sizes))
-    order = Window.partitionBy(F.lit(0)).orderBy("_h", *id_cols)
-    ranked = top.withColumn("_r", F.row_number().over(order))
-    return ranked.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes]))).filter("_r <= size").drop("_h", "_r")
+    """Rows of the first max(sizes) in random (md5) order, repeated for every size they belong to."""
+    ranked = dense_index(df, id_cols, seed=seed, limit=max(sizes))
+    return (
+        ranked.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes])))
+        .filter(F.col("idx") < F.col("size"))
+        .drop("idx")
+    )
 
 
 def convergence(
@@ -309,7 +307,7 @@ def convergence(
     part = cut_lineage(nested_prefixes(df, id_cols, sizes, seed))
     full = baseline_rankings(df, value).select("model", F.col("rank").alias("full_rank"))
     scores = part.groupBy("size", "model").agg(F.avg(value).alias("score"))
-    aligned = with_rank(scores, by).join(F.broadcast(full), "model")
+    aligned = with_rank(scores, by).join(full, "model")
     common = aligned.groupBy("size").agg(F.count(F.lit(1)).alias("_m"))
     tau = kendall_tau(aligned, "full_rank", "rank", by).join(common, by).select(
         "size", F.when(F.col("_m") >= 2, F.col("kendall_tau")).alias("kendall_tau_vs_full_ranking")

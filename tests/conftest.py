@@ -9,6 +9,9 @@ from gaugeframe.session import local_session
 def spark():
     session = local_session(os.environ.get("TEST_CPUS", "8"), "gaugeframe-tests")
     session.sparkContext.setLogLevel("ERROR")
+    # tiny frames: compiling each plan costs more than interpreting it
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()
 
