@@ -26,47 +26,69 @@ def normalize_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
+def split_normal(normal: Column) -> Column:
+    """Lower-case tokens of normalised text."""
+    return F.filter(F.split(F.lower(normal), " "), lambda t: t != "")
+
+
 def tokenize(text: Column) -> Column:
     """Lower-case tokens; no token for blank text."""
-    normal = F.lower(normalize_text(text))
-    return F.filter(F.split(normal, " "), lambda t: t != "")
+    return split_normal(normalize_text(text))
 
 
 def extract_code(text: Column) -> Column:
     """First python fence, else first fence, else from the first 'def ', else the text; trimmed."""
-    whole = strip(text)
-    at = F.locate(DEF, whole)
-    return strip(
-        F.when(whole.rlike(FENCED_PYTHON), F.regexp_extract(whole, FENCED_PYTHON, 1))
-        .when(whole.rlike(FENCED_ANY), F.regexp_extract(whole, FENCED_ANY, 1))
-        .when(at > 0, F.substring(whole, at, F.length(whole)))
-        .otherwise(whole)
-    )
+
+    def cut(whole: Column) -> Column:
+        fenced = F.contains(whole, F.lit("```"))
+        at = F.locate(DEF, whole)
+        return strip(
+            F.when(fenced & whole.rlike(FENCED_PYTHON), F.regexp_extract(whole, FENCED_PYTHON, 1))
+            .when(fenced & whole.rlike(FENCED_ANY), F.regexp_extract(whole, FENCED_ANY, 1))
+            .when(at > 0, F.substring(whole, at, F.length(whole)))
+            .otherwise(whole)
+        )
+
+    return once(strip(text), cut)
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed a single time, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def normalize_code(text: Column) -> Column:
     """Extracted code with right-trimmed lines, no blank head or tail and single blank lines."""
-    lines = F.split(extract_code(text), LINE_BREAK)
+    return tidy_code(extract_code(text))
+
+
+def tidy_code(code: Column) -> Column:
+    lines = F.split(code, LINE_BREAK)
     joined = F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, f"{SPACE}+$", "")), "\n")
     return F.regexp_replace(F.regexp_replace(joined, "^\n+|\n+$", ""), "\n{3,}", "\n\n")
 
 
-def _score(condition: Column) -> Column:
+def score(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("double")
 
 
 def exact_match(prediction: Column, reference: Column) -> Column:
-    return _score(normalize_text(prediction) == normalize_text(reference))
+    return score(normalize_text(prediction) == normalize_text(reference))
 
 
 def contains_expected(prediction: Column, reference: Column) -> Column:
     wanted = normalize_text(reference)
-    return _score((wanted != "") & F.contains(normalize_text(prediction), wanted))
+    return score((wanted != "") & F.contains(normalize_text(prediction), wanted))
 
 
 def normalized_code_match(prediction: Column, reference: Column) -> Column:
-    wanted = normalize_code(reference)
-    return _score((wanted != "") & (normalize_code(prediction) == wanted))
+    return code_equal(extract_code(prediction), extract_code(reference))
+
+
+def code_equal(code: Column, wanted: Column) -> Column:
+    """1 when both pieces of extracted code are the same after tidying and there is any."""
+    reference = tidy_code(wanted)
+    return score((reference != "") & (tidy_code(code) == reference))
 
 
 def test_pass_rate(prediction: Column, reference: Column, tests: Column) -> Column:
@@ -82,14 +104,26 @@ def word_count(prediction: Column) -> Column:
 
 def overlap(prediction: Column, reference: Column) -> tuple[Column, Column, Column]:
     """(precision, recall, f1) over token sets; 0 where a side is empty or missing."""
-    p = F.array_distinct(tokenize(prediction))
-    r = F.array_distinct(tokenize(reference))
-    usable = (F.size(p) > 0) & (F.size(r) > 0) & reference.isNotNull()
-    common = F.size(F.array_intersect(p, r))
-    precision = F.when(usable, common / F.size(p)).otherwise(0.0)
-    recall = F.when(usable, common / F.size(r)).otherwise(0.0)
-    f1 = F.when(usable & (common > 0), 2.0 * common / (F.size(p) + F.size(r))).otherwise(0.0)
-    return precision, recall, f1
+    return token_overlap(tokenize(prediction), tokenize(reference))
+
+
+def token_overlap(prediction: Column, reference: Column) -> tuple[Column, Column, Column]:
+    def sizes(p: Column, r: Column) -> Column:
+        return F.struct(F.size(p).alias("p"), F.size(r).alias("r"), F.size(F.array_intersect(p, r)).alias("c"))
+
+    def scores(n: Column) -> Column:
+        usable = (n["p"] > 0) & (n["r"] > 0)
+        return F.struct(
+            F.when(usable, n["c"] / n["p"]).otherwise(0.0).alias("precision"),
+            F.when(usable, n["c"] / n["r"]).otherwise(0.0).alias("recall"),
+            F.when(usable & (n["c"] > 0), 2.0 * n["c"] / (n["p"] + n["r"])).otherwise(0.0).alias("f1"),
+        )
+
+    # a missing side has no tokens
+    empty = F.array().cast("array<string>")
+    p, r = (F.array_distinct(F.coalesce(t, empty)) for t in (prediction, reference))
+    both = once(F.struct(p.alias("p"), r.alias("r")), lambda t: once(sizes(t["p"], t["r"]), scores))
+    return both["precision"], both["recall"], both["f1"]
 
 
 def lexical_overlap(prediction: Column, reference: Column) -> Column:
@@ -117,7 +151,7 @@ def token_count(prediction: Column) -> Column:
     return F.size(tokenize(F.when(code != "", code).otherwise(prediction)))
 
 
-def _parses(code: Column) -> Column:
+def parses(code: Column) -> Column:
     # nested, so it travels to the workers by value
     @F.pandas_udf(DoubleType())
     def parse(texts: pd.Series) -> pd.Series:
@@ -137,4 +171,4 @@ def _parses(code: Column) -> Column:
 
 def syntax_check(prediction: Column) -> Column:
     """1 when the extracted code parses as Python."""
-    return _parses(extract_code(prediction))
+    return parses(extract_code(prediction))

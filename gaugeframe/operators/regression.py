@@ -24,6 +24,7 @@ from gaugeframe.operators.variance import (
     design_grid,
     gram,
     present_facets,
+    summary_moments,
     variance_components,
 )
 from gaugeframe.session import cut_lineage
@@ -84,11 +85,11 @@ def _level_order(levels: list[str]) -> list[str]:
         return sorted(levels)
 
 
-def _anova_inputs(df: DataFrame, by: str | None, value: str):
+def _anova_inputs(df: DataFrame, by: str | None, value: str, summary: DataFrame | None):
     """Per stratum: counts and sums of the small facets, raw and with the largest facet eliminated."""
     facets = present_facets(df)
     strata = [by] if by else []
-    g = gram(df, facets, strata, value)
+    g = gram(df, facets, strata, value) if summary is None else summary
     key = (F.col(by).cast("string") if by else F.lit("all")).alias("key")
     single = g.filter("f0 IS NOT NULL AND f1 IS NULL").select(key, F.col("f0").alias("f"), F.col("l0").alias("l"), "n", "mean", "var")
     sizes = {r.f: r.k for r in single.groupBy("f").agg(F.countDistinct("l").alias("k")).collect()}
@@ -164,7 +165,9 @@ ANOVA_SCHEMA = (
 )
 
 
-def anova(df: DataFrame, anova_type: int = 2, by: str | None = None, value: str = "metric_value") -> DataFrame:
+def anova(
+    df: DataFrame, anova_type: int = 2, by: str | None = None, value: str = "metric_value", summary: DataFrame | None = None
+) -> DataFrame:
     """Type II or III table of the main-effects model, per stratum.
 
     Factors with one level are left out; without any the table is empty. For main effects the factor
@@ -172,7 +175,7 @@ def anova(df: DataFrame, anova_type: int = 2, by: str | None = None, value: str
     enters the total that omega squared is taken from.
     """
     spark = df.sparkSession
-    inputs = _anova_inputs(df, by, value)
+    inputs = _anova_inputs(df, by, value, summary)
     if inputs is None:
         return spark.createDataFrame([], ANOVA_SCHEMA)
     used, largest, small, columns, total, big_ss, counts, sums, eliminated, base_rows = inputs
@@ -237,9 +240,11 @@ def max_partial_eta(df: DataFrame, by: str, value: str = "metric_value") -> Data
 def factor_effect_sizes(df: DataFrame, value: str = "metric_value") -> DataFrame:
     """Cohen's d, Cliff's delta and the type II effect sizes per factor with at least two levels."""
     facets = present_facets(df)
-    d = cohens_d(df, facets, value).select("factor", "cohens_d")
-    delta = cliffs_delta(df, facets, value)
-    table = anova(df, 2, value=value).select(
+    summary = gram(df, facets, value=value)
+    moments = summary_moments(summary)
+    d = cohens_d(df, facets, value, moments=moments).select("factor", "cohens_d")
+    delta = cliffs_delta(df, facets, value, moments)
+    table = anova(df, 2, value=value, summary=summary).select(
         F.col("term").alias("factor"), "partial_eta_squared", "omega_squared", F.col("p_value").alias("p_value_type2")
     )
     return d.join(delta, "factor").join(table, "factor", "left")
@@ -248,14 +253,24 @@ def factor_effect_sizes(df: DataFrame, value: str = "metric_value") -> DataFrame
 # ---- binomial regression ----
 
 
-def outcome_table(frame: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Counts and successes per model, prompt and temperature (and ``extra`` columns)."""
-    return frame.groupBy("model_id", "prompt_variant_id", "temperature", *extra).agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum("pass_fail").cast("double").alias("k")
+DESIGN = ("model_id", "prompt_variant_id", "temperature")
+
+
+def outcome_cells(frame: DataFrame, cluster: str = "task_id") -> DataFrame:
+    """Counts and successes per model, prompt, temperature and cluster: the only pass over the rows."""
+    return cut_lineage(
+        frame.groupBy(*DESIGN, cluster).agg(
+            F.count(F.lit(1)).cast("double").alias("n"), F.sum("pass_fail").cast("double").alias("k")
+        )
     )
 
 
-def separated_levels(frame: DataFrame) -> DataFrame:
+def outcome_table(cells: DataFrame) -> DataFrame:
+    """Counts and successes per model, prompt and temperature."""
+    return cells.groupBy(*DESIGN).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+
+
+def separated_levels(cells: DataFrame) -> DataFrame:
     """Levels whose outcomes are all 0 or all 1: their coefficients do not exist."""
     parts = F.explode(
         F.array(
@@ -263,7 +278,7 @@ def separated_levels(frame: DataFrame) -> DataFrame:
             F.struct(F.lit("prompt_variant_id").alias("factor"), F.col("prompt_variant_id").alias("level")),
         )
     )
-    sums = outcome_table(frame).select(parts.alias("p"), "n", "k").groupBy("p.factor", "p.level").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    sums = outcome_table(cells).select(parts.alias("p"), "n", "k").groupBy("p.factor", "p.level").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     return sums.filter("k = 0 OR k = n")
 
 
@@ -276,8 +291,9 @@ COEFFICIENT_SCHEMA = (
 class BinomialFit:
     """Coefficients of a logit fit with its design, for reuse by the cluster-robust errors."""
 
-    def __init__(self, terms, columns, estimates, errors, separated):
-        self.terms, self.columns, self.estimates, self.errors, self.separated = terms, columns, estimates, errors, separated
+    def __init__(self, terms, columns, estimates, errors, separated, cells):
+        self.terms, self.columns, self.estimates, self.errors = terms, columns, estimates, errors
+        self.separated, self.cells = separated, cells
 
     def coefficients(self, spark: SparkSession, errors=None, method: str = "binomial_glm") -> DataFrame:
         errors = self.errors if errors is None else errors
@@ -296,13 +312,14 @@ class BinomialFit:
         return spark.createDataFrame(rows, COEFFICIENT_SCHEMA)
 
 
-def binomial_glm(frame: DataFrame) -> BinomialFit:
+def binomial_glm(frame: DataFrame, cluster: str = "task_id") -> BinomialFit:
     """Logit of pass_fail on model, prompt and temperature, fitted on the count table.
 
     Label is the share of successes, weight the count: the same likelihood as row by row. Base levels
     are the alphabetically first ones; a factor with one level is left out.
     """
-    counts = cut_lineage(outcome_table(frame))
+    cells = outcome_cells(frame, cluster)
+    counts = outcome_table(cells)
     levels = counts.agg(
         *[F.sort_array(F.collect_set(c)).alias(c) for c in ("model_id", "prompt_variant_id")], F.countDistinct("temperature").alias("t")
     ).first()
@@ -317,12 +334,13 @@ def binomial_glm(frame: DataFrame) -> BinomialFit:
     formula = RFormula(
         formula="share ~ " + " + ".join([*factors, *linear]), stringIndexerOrderType="alphabetDesc", featuresCol="x", labelCol="y"
     )
+    encoded = formula.fit(data).transform(data).select("x", "y", "n")
     fit = GeneralizedLinearRegression(
         family="binomial", link="logit", weightCol="n", featuresCol="x", labelCol="y", maxIter=100, tol=1e-10
-    ).fit(formula.fit(data).transform(data))
+    ).fit(encoded)
     errors = fit.summary.coefficientStandardErrors
     # the formula encodes levels in reverse order and drops the first one; names come from its metadata
-    names = formula.fit(data).transform(data).schema["x"].metadata["ml_attr"]["attrs"]
+    names = encoded.schema["x"].metadata["ml_attr"]["attrs"]
     order = [a["name"] for kind in names.values() for a in sorted(kind, key=lambda a: a["idx"])]
     position = {name: i for kind in names.values() for name, i in ((a["name"], a["idx"]) for a in kind)}
     labels = [f"{f}_{l}" if l is not None else f for f, l in columns]
@@ -330,8 +348,8 @@ def binomial_glm(frame: DataFrame) -> BinomialFit:
         raise RuntimeError(f"unexpected design columns: {order}")
     estimates = np.array([fit.intercept, *[fit.coefficients[position[x]] for x in labels]])
     std = np.array([errors[-1], *[errors[position[x]] for x in labels]])
-    separated = separated_levels(frame).limit(1).count() > 0
-    return BinomialFit(["const", *labels], columns, estimates, std, separated)
+    separated = separated_levels(cells).limit(1).count() > 0
+    return BinomialFit(["const", *labels], columns, estimates, std, separated, cells)
 
 
 def _design(columns: list) -> Column:
@@ -341,14 +359,14 @@ def _design(columns: list) -> Column:
     return F.array(*entries)
 
 
-def cluster_robust_se(frame: DataFrame, fit: BinomialFit, cluster: str = "task_id") -> DataFrame:
+def cluster_robust_se(fit: BinomialFit, cluster: str = "task_id") -> DataFrame:
     """The fit's odds-ratio table with sandwich errors clustered by task.
 
     Scores are summed per cluster on Spark; the meat is the sum of their outer products. The factor
     G/(G-1) * (N-1)/(N-K) corrects for few clusters.
     """
     k = len(fit.terms)
-    counts = outcome_table(frame, (cluster,))
+    counts = fit.cells
     x = _design(fit.columns)
     eta = F.lit(0.0)
     for i, b in enumerate(fit.estimates):
@@ -364,7 +382,7 @@ def cluster_robust_se(frame: DataFrame, fit: BinomialFit, cluster: str = "task_i
     sizes = counts.agg(F.sum("n").alias("n"), F.countDistinct(cluster).alias("g")).first()
     factor = sizes.g / (sizes.g - 1) * (sizes.n - 1) / (sizes.n - k)
     errors = np.sqrt(np.diag(bread @ meat @ bread) * factor)
-    return fit.coefficients(frame.sparkSession, errors, "binomial_glm_cluster_robust")
+    return fit.coefficients(counts.sparkSession, errors, "binomial_glm_cluster_robust")
 
 
 def compare_fixed_effects(full: DataFrame, reduced: DataFrame) -> DataFrame:

@@ -18,34 +18,49 @@ DOMAIN_METRICS = {
     "executable_code_generation": EXECUTABLE_METRICS,
     "code_summarization": SUMMARY_METRICS,
 }
-FROM_SCORES = ("pass_at_1", "pass_at_k", "execution_latency_ms")
-
-
-def metric_struct(name: str, prediction: Column, reference: Column, tests: Column | None = None) -> Column:
-    """struct(metric_name, metric_value, metric_success) of one text metric."""
+# what scoring reads of the log; anything else would only be shuffled along
+LOG_COLUMNS = ("cell_id", "model_id", "task_id", "prediction", "status", "executed_at", "seq")
+
+
+def with_text_features(df: DataFrame, prediction: Column, reference: Column, metrics: tuple[str, ...]) -> DataFrame:
+    """Add what the metrics share (normalised text, code, token sets), so each is made once per row."""
+    features = {"_p": prediction, "_r": reference}
+    wanted = set(metrics)
+    if wanted & {"exact_match", "accuracy", "contains_expected", "length", "lexical_overlap"}:
+        features |= {"_np": T.normalize_text(prediction), "_nr": T.normalize_text(reference)}
+    if wanted & {"syntax_check", "normalized_code_match", "token_count"}:
+        features |= {"_code": T.extract_code(prediction)}
+    if "normalized_code_match" in wanted:
+        features |= {"_ref_code": T.extract_code(reference)}
+    return df.withColumns(features)
+
+
+def metric_struct(name: str, tests: Column | None = None) -> Column:
+    """struct(metric_name, metric_value, metric_success) of one metric over the shared features."""
+    c = F.col
     if name in ("exact_match", "accuracy"):
-        value = T.exact_match(prediction, reference)
+        value = T.score(c("_np") == c("_nr"))
         success = value == 1.0
     elif name == "contains_expected":
-        value = T.contains_expected(prediction, reference)
+        value = T.score((c("_nr") != "") & F.contains("_np", "_nr"))
         success = value == 1.0
     elif name == "normalized_code_match":
-        value = T.normalized_code_match(prediction, reference)
+        value = T.code_equal(c("_code"), c("_ref_code"))
         success = value == 1.0
     elif name == "syntax_check":
-        value = T.syntax_check(prediction)
+        value = T.parses(c("_code"))
         success = value == 1.0
     elif name == "test_pass_rate" and tests is not None:
-        value = T.test_pass_rate(prediction, reference, tests)
+        value = T.test_pass_rate(c("_p"), c("_r"), tests)
         success = value >= 1.0
     elif name == "length":
-        value = T.word_count(prediction).cast("double")
+        value = F.size(T.split_normal(c("_np"))).cast("double")
         success = value > 0
     elif name == "lexical_overlap":
-        value = T.lexical_overlap(prediction, reference)
+        value = T.token_overlap(T.split_normal(c("_np")), T.split_normal(c("_nr")))[2]
         success = value >= 0.5
     elif name == "token_count":
-        value = T.token_count(prediction).cast("double")
+        value = F.size(T.tokenize(F.when(c("_code") != "", c("_code")).otherwise(c("_p")))).cast("double")
         success = F.lit(True)
     else:
         raise ValueError(f"unsupported metric: {name}")
@@ -58,28 +73,24 @@ def evaluate_results(log: DataFrame, tasks: DataFrame, metrics: list[str] | None
     Each task's first record (by ``seq``) gives the reference. Without a list every domain gets its
     own metrics; a metric outside its domain's table is an error.
     """
-    rows = completed_latest(log)
+    rows = completed_latest(log.select(*[c for c in LOG_COLUMNS if c in log.columns]))
     first = tasks.groupBy("task_id").agg(
         F.min_by(F.struct("domain", "expected_output", *(["tests"] if "tests" in tasks.columns else [])), "seq").alias("_ref")
     )
     joined = rows.join(first, "task_id")
-    prediction, reference = F.col("prediction"), F.col("_ref.expected_output")
     tests = F.col("_ref.tests") if "tests" in tasks.columns else None
-
-    def listed(names: tuple[str, ...]) -> Column:
-        return F.array(*[metric_struct(n, prediction, reference, tests) for n in names])
-
+    domain = F.col("_ref.domain")
+    names = tuple(metrics) if metrics is not None else tuple(sorted({n for used in DOMAIN_METRICS.values() for n in used}))
+    featured = with_text_features(joined, F.col("prediction"), F.col("_ref.expected_output"), names)
     if metrics is not None:
-        scored = F.explode(listed(tuple(metrics)))
+        scored = F.array(*[metric_struct(n, tests) for n in names])
     else:
         # each metric once, switched off where the domain does not use it
-        names = sorted({n for used in DOMAIN_METRICS.values() for n in used})
-        per_metric = []
-        for n in names:
-            domains = [d for d, used in DOMAIN_METRICS.items() if n in used]
-            per_metric.append(F.when(F.col("_ref.domain").isin(*domains), metric_struct(n, prediction, reference, tests)))
-        scored = F.explode(F.array_compact(F.array(*per_metric)))
-    return joined.select("cell_id", "model_id", "task_id", F.col("_ref.domain").alias("domain"), scored.alias("m")).select(
+        per_metric = [
+            F.when(domain.isin(*[d for d, used in DOMAIN_METRICS.items() if n in used]), metric_struct(n, tests)) for n in names
+        ]
+        scored = F.array_compact(F.array(*per_metric))
+    return featured.select("cell_id", "model_id", "task_id", domain.alias("domain"), F.explode(scored).alias("m")).select(
         "cell_id", "model_id", "task_id", "domain", "m.*"
     )
 
@@ -88,8 +99,8 @@ def corpus_metric(name: str, df: DataFrame) -> DataFrame:
     """(name, value, success, n): mean of a row metric over a corpus; an empty corpus scores 0."""
     if name not in ("accuracy", "exact_match", "contains_expected", "length", "lexical_overlap"):
         raise ValueError(f"unknown corpus metric: {name}")
-    m = metric_struct(name, F.col("prediction"), F.col("expected_output"))
-    one = df.select(m["metric_value"].alias("v")).agg(
+    featured = with_text_features(df, F.col("prediction"), F.col("expected_output"), (name,))
+    one = featured.select(metric_struct(name)["metric_value"].alias("v")).agg(
         F.coalesce(F.avg("v"), F.lit(0.0)).alias("value"), F.coalesce(F.bool_and(F.col("v") > 0), F.lit(False)).alias("all_positive"),
         F.count(F.lit(1)).alias("n"),
     )

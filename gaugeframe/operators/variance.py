@@ -25,16 +25,19 @@ def present_facets(df: DataFrame, facets: list[str] | None = None) -> list[str]:
     return [f for f in (facets or FACETS) if f in df.columns]
 
 
-def _member(facets: list[str], index: int, part: str) -> Column:
-    named = F.array(
-        *[
-            F.struct(
-                F.grouping(f).alias("out"), F.lit(f).alias("facet"), F.col(f).cast("string").alias("level")
-            )
-            for f in facets
-        ]
-    )
-    return F.get(F.filter(named, lambda m: m["out"] == 0), index)[part]
+def _labels(columns: list[str], sets: list[list[str]], by: list[str], depth: int) -> list[Column]:
+    """f0,l0,f1,l1,…: names and levels of each grouping set's facets, told apart by its grouping id."""
+    out = []
+    for i in range(depth):
+        name, level = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for members in sets:
+            facets = [c for c in members if c not in by]
+            if i < len(facets):
+                gid = sum(1 << (len(columns) - 1 - k) for k, c in enumerate(columns) if c not in members)
+                here = F.grouping_id() == gid
+                name, level = F.when(here, facets[i]).otherwise(name), F.when(here, F.col(facets[i])).otherwise(level)
+        out += [name.alias(f"f{i}"), level.alias(f"l{i}")]
+    return out
 
 
 def level_sets(
@@ -44,20 +47,25 @@ def level_sets(
     by: list[str] | None = None,
     value: str = "metric_value",
 ) -> DataFrame:
-    """Count, mean and variance for every combination of ``depths`` facets, one pass.
+    """Count, mean and variance for every combination of ``depths`` facets.
 
-    Columns f0,l0,f1,l1,… name the facets (in the given order) and their levels.
+    Rows are first summed per full combination of facets (one shuffle of narrow rows, combined
+    before it); the grouping sets then multiply those cells instead of the rows. Columns
+    f0,l0,f1,l1,… name the facets (in the given order) and their levels.
     """
     by = by or []
-    rows = df.select(*by, *[F.col(f).cast("string").alias(f) for f in facets], F.col(value).alias("_y"))
-    rows = rows.dropna()
+    rows = df.select(*by, *[F.col(f).cast("string").alias(f) for f in facets], F.col(value).cast("double").alias("_y"))
+    cells = rows.dropna().groupBy(*by, *facets).agg(
+        F.count(F.lit(1)).alias("_n"), F.avg("_y").alias("_mean"), (F.var_pop("_y") * F.count(F.lit(1))).alias("_m2")
+    )
     sets = [[*by, *c] for d in depths for c in combinations(facets, d)]
-    stats = rows.groupingSets(sets, *by, *facets).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("_y").alias("mean"),
-        F.var_samp("_y").alias("var"),
-        *[_member(facets, i, "facet").alias(f"f{i}") for i in range(max(depths))],
-        *[_member(facets, i, "level").alias(f"l{i}") for i in range(max(depths))],
+    n, total = F.sum("_n"), F.sum(F.col("_n") * F.col("_mean"))
+    squares = F.sum(F.col("_m2") + F.col("_n") * F.col("_mean") * F.col("_mean"))
+    stats = cells.groupingSets(sets, *by, *facets).agg(
+        n.alias("n"),
+        (total / n).alias("mean"),
+        F.when(n > 1, F.greatest((squares - total * total / n) / (n - 1), F.lit(0.0))).alias("var"),
+        *_labels([*by, *facets], sets, by, max(depths)),
     )
     return stats.drop(*facets)
 
@@ -362,10 +370,12 @@ def _extremes(moments: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def cohens_d(
-    df: DataFrame, factors: list[str], value: str = "metric_value", by: list[str] | None = None
+    df: DataFrame, factors: list[str], value: str = "metric_value", by: list[str] | None = None,
+    moments: DataFrame | None = None,
 ) -> DataFrame:
     """Highest-mean level minus lowest-mean level over the pooled SD, per factor."""
-    return _cohens_from(_extremes(level_moments(df, factors, value, by), by), by)
+    moments = level_moments(df, factors, value, by) if moments is None else moments
+    return _cohens_from(_extremes(moments, by), by)
 
 
 def _cohens_from(ends: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -380,14 +390,22 @@ def _cohens_from(ends: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def cliffs_delta(df: DataFrame, factors: list[str], value: str = "metric_value") -> DataFrame:
+def summary_moments(summary: DataFrame) -> DataFrame:
+    """(factor, level, n, mean, var) out of ``gram``."""
+    single = summary.filter("f0 IS NOT NULL AND f1 IS NULL")
+    return single.select(F.col("f0").alias("factor"), F.col("l0").alias("level"), "n", "mean", "var")
+
+
+def cliffs_delta(
+    df: DataFrame, factors: list[str], value: str = "metric_value", moments: DataFrame | None = None
+) -> DataFrame:
     """(#(low > high) - #(low < high)) / (n*m) from value histograms, never from row pairs.
 
     The sign is the published one (negative when the high level is larger);
     ``cliffs_delta_high_minus_low`` has the usual sign.
     """
     counts = level_values(df, factors, value)
-    ends = _extremes(level_moments(df, factors, value)).filter("levels >= 2")
+    ends = _extremes(level_moments(df, factors, value) if moments is None else moments).filter("levels >= 2")
     sides = ends.select(
         "factor",
         F.explode(
@@ -422,11 +440,13 @@ def cliffs_delta(df: DataFrame, factors: list[str], value: str = "metric_value")
 def publication_effects(df: DataFrame, value: str = "metric_value") -> DataFrame:
     """Cohen's d, Cliff's delta, eta squared and the published ad-hoc omega squared per factor."""
     factors = present_facets(df)
-    components = variance_components(df, factors, value=value)
+    summary = gram(df, factors, value=value)
+    components = variance_components(df, factors, value=value, summary=summary)
     total = components.filter("component = 'total'").select(F.col("variance").alias("total_var"))
-    ends = _extremes(level_moments(df, factors, value))
+    moments = summary_moments(summary)
+    ends = _extremes(moments)
     d = _cohens_from(ends).join(ends.select("factor", "levels"), "factor")
-    delta = cliffs_delta(df, factors, value).select("factor", "cliffs_delta")
+    delta = cliffs_delta(df, factors, value, moments).select("factor", "cliffs_delta")
     vc, tv = F.col("variance"), F.col("total_var")
     omega = F.greatest((vc - (F.col("levels") - 1) * tv * 0.01) / (tv + tv * 0.01), F.lit(0.0))
     return (

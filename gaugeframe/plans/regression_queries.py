@@ -118,8 +118,7 @@ cr AS (SELECT c.term, est, rse AS se FROM c JOIN r USING (term))"""
 
 @query("f18_cluster_robust_se", f"WITH {_CLUSTER} SELECT {_OR} FROM cr", _OR_D)
 def f18(spark, sf):
-    frame = _by_model(spark, sf)
-    return M.cluster_robust_se(frame, M.binomial_glm(frame)).select("term", *_OR_D.split())
+    return M.cluster_robust_se(M.binomial_glm(_by_model(spark, sf))).select("term", *_OR_D.split())
 
 
 @query(
@@ -132,9 +131,8 @@ FROM a JOIN z USING (term)""",
     "odds_ratio_full odds_ratio_reduced",
 )
 def f18c(spark, sf):
-    frame = _by_model(spark, sf)
-    fit = M.binomial_glm(frame)
-    return M.compare_fixed_effects(M.cluster_robust_se(frame, fit), fit.coefficients(spark))
+    fit = M.binomial_glm(_by_model(spark, sf))
+    return M.compare_fixed_effects(M.cluster_robust_se(fit), fit.coefficients(spark))
 
 
 # One row per model and task: REML has the closed form of the two-way table.

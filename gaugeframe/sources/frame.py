@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.operators.log import completed_latest
+from gaugeframe.operators.log import ORDER, completed_latest
 from gaugeframe.sources.results import write_results
 
 # Canonical column and the names it may carry in results and evaluations.
@@ -38,9 +38,9 @@ def prepare_results(df: DataFrame, metric: str | None = None) -> DataFrame:
                 renames[source] = name
     out = df.withColumnsRenamed(renames)
     if metric is not None and "scores" in out.columns:
-        # a map without the metric anywhere leaves the stored score in place
+        # where a stored score exists too, a map without the metric anywhere leaves it in place
         scored = F.element_at("scores", F.lit(metric))
-        if out.filter(scored.isNotNull()).limit(1).count():
+        if "metric_value" not in out.columns or out.filter(scored.isNotNull()).limit(1).count():
             out = out.filter(scored.isNotNull()).withColumns({"metric_value": scored, "metric_name": F.lit(metric)})
     missing = [c for c in REQUIRED if c not in out.columns]
     if missing:
@@ -81,8 +81,13 @@ def analysis_frame(
 
 
 def build_statistical_dataset(log: DataFrame, metric: str, path: str | None = None) -> DataFrame:
-    """Completed-latest rows of the log as a statistical frame; written by metric when a path is given."""
-    frame = use_replicate_index(prepare_results(completed_latest(log), metric))
+    """Completed-latest rows of the log as a statistical frame; written by metric when a path is given.
+
+    Only the columns of the frame pass the shuffle; predictions and metadata stay behind.
+    """
+    used = {"cell_id", "status", "scores", "run_index", *ORDER, *[o for options in ALIASES.values() for o in options]}
+    narrow = log.select(*[c for c in log.columns if c in used])
+    frame = use_replicate_index(prepare_results(completed_latest(narrow), metric)).drop("scores")
     if path is None:
         return frame
     write_results(frame, path, "parquet", partition_by="metric_name")

@@ -308,7 +308,7 @@ def test_bug_removed(spark):
 
 def test_unsupported_metric(spark):
     with pytest.raises(ValueError):
-        S.metric_struct("bleu", F.lit("a"), F.lit("b"))
+        S.metric_struct("bleu")
 
 
 def test_task_lines(spark):

@@ -99,7 +99,7 @@ def test_binomial_and_cluster_errors(frame, rows):
     u = np.array([(x[groups == g] * (y - p)[groups == g, None]).sum(axis=0) for g in sorted(set(groups))])
     n, k, g = len(rows), x.shape[1], len(u)
     want = np.sqrt(np.diag(bread @ (u.T @ u) @ bread) * g / (g - 1) * (n - 1) / (n - k))
-    got = {r.term: r.std_error for r in M.cluster_robust_se(pf, fit).collect()}
+    got = {r.term: r.std_error for r in M.cluster_robust_se(fit).collect()}
     assert np.allclose([got[t] for t in fit.terms], want, rtol=1e-5)
 
 
@@ -109,7 +109,7 @@ def test_separation_is_flagged(spark):
         data, "model string, prompt_id string, task_id string, run_id int, temperature double, metric_name string, metric_value double"
     )
     pf = V.pass_fail_frame(df)
-    assert [r.level for r in M.separated_levels(pf).filter("factor = 'model_id'").collect()] == ["a"]
+    assert [r.level for r in M.separated_levels(M.outcome_cells(pf)).filter("factor = 'model_id'").collect()] == ["a"]
     assert not any(r.include_in_publication for r in M.binomial_glm(pf).coefficients(spark).collect())
 
 
