@@ -9,8 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-# Fixed values. Unicode white space, spelled out because \s of Java covers ASCII only.
+# Unicode white space, as code point ranges and as a pattern (Java's own class is ASCII only).
+SPACE_RANGES = (
+    (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+    (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
+)
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+SPACES = "".join(chr(c) for a, b in SPACE_RANGES for c in range(a, b + 1))
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 FENCED_PYTHON = rf"(?is)```python{SPACE}*\n(.*?)```"
 FENCED_ANY = r"(?s)```[^\n]*\n(.*?)```"
@@ -18,7 +23,7 @@ DEF = "def "
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def normalize_text(text: Column) -> Column:
@@ -64,7 +69,7 @@ def normalize_code(text: Column) -> Column:
 
 def tidy_code(code: Column) -> Column:
     lines = F.split(code, LINE_BREAK)
-    joined = F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, f"{SPACE}+$", "")), "\n")
+    joined = F.array_join(F.transform(lines, lambda x: F.rtrim(x, F.lit(SPACES))), "\n")
     return F.regexp_replace(F.regexp_replace(joined, "^\n+|\n+$", ""), "\n{3,}", "\n\n")
 
 
