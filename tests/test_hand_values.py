@@ -186,7 +186,8 @@ def test_components_of_three_models(spark):
     assert got["run_id"] == pytest.approx(12 * 2 * 0.001**2 / (n - 1))
     assert got["residual"] == pytest.approx(0.0, abs=1e-12)
     assert got["model"] + got["run_id"] == pytest.approx(got["total"])
-    assert got["temperature"] == got["prompt_id"] == pytest.approx(0.0, abs=1e-12)
+    assert got["temperature"] == pytest.approx(0.0, abs=1e-12)
+    assert got["prompt_id"] == pytest.approx(0.0, abs=1e-12)
 
 
 def test_shares_sum_to_one_hundred(spark):
