@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeframe.llm import fingerprints, mixing, native, sharding
-from gaugeframe.llm.tables import shuffle_partitions, table
+from gaugeframe.llm import fingerprints, jaccard, mixing, native, sharding
+from gaugeframe.llm.storage import parts_of
+from gaugeframe.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,4 +76,9 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_fingerprints")
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.with_edited(table(spark, sf_dir, "documents"), native.words, 4 * shuffle_partitions(spark))
+    return fingerprints.with_edited(table(spark, sf_dir, "documents"), native.words, 4 * parts_of(spark))
+
+
+@query("op1_jaccard_join")
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"))
