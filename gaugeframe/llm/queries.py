@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeframe.llm import fingerprints, jaccard, mixing, native, sharding
+from gaugeframe.llm import automata, fingerprints, jaccard, mixing, native, sharding, suffix_groups
 from gaugeframe.llm.storage import parts_of
 from gaugeframe.llm.tables import table
 
@@ -82,3 +82,13 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_jaccard_join")
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op2_suffix_groups")
+def op2_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_groups.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+@query("op3_suffix_automata")
+def op3_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automata.remove_repeated_words(table(spark, sf_dir, "documents")).drop("n_spans")
