@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeframe.llm import automata, fingerprints, jaccard, mixing, native, sharding, suffix_groups
+from gaugeframe.llm import automata, decontamination, fingerprints, jaccard, mixing, native, sharding, suffix_groups
 from gaugeframe.llm.storage import parts_of
 from gaugeframe.llm.tables import table
 
@@ -92,3 +92,8 @@ def op2_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_suffix_automata")
 def op3_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automata.remove_repeated_words(table(spark, sf_dir, "documents")).drop("n_spans")
+
+
+@query("op8_decontamination")
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("node")
