@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeframe.llm import automata, decontamination, fingerprints, jaccard, mixing, native, sharding, suffix_groups
+from gaugeframe.llm import automata, context_trees, decontamination, fingerprints, jaccard, mixing, native, sharding, suffix_groups
 from gaugeframe.llm.storage import parts_of
 from gaugeframe.llm.tables import table
 
@@ -25,6 +25,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def held_out(doc_id: Column, parts: int, rest: int) -> Column:
+    """Rows kept out of training: crc32 of the doc_id's digits leaves `rest` on division by `parts`."""
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts)) == rest
+
+
 def with_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents with `_quality`: 2 where labelled good, 0.5 where labelled bad, 1 without a label."""
     known = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("_label"))
@@ -97,3 +102,8 @@ def op3_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_decontamination")
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("node")
+
+
+@query("op10_context_trees")
+def op10_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_trees.score_texts(table(spark, sf_dir, "documents"), lambda doc_id: held_out(doc_id, 7, 2))
