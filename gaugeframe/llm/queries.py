@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeframe.llm import automata, context_trees, decontamination, fingerprints, jaccard, mixing, native, sharding, suffix_groups
+from gaugeframe.llm import automata, context_trees, decontamination, fingerprints, jaccard, language, mixing, native, sharding, suffix_groups, toxicity
 from gaugeframe.llm.storage import parts_of
 from gaugeframe.llm.tables import table
 
@@ -107,3 +107,20 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_context_trees")
 def op10_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_trees.score_texts(table(spark, sf_dir, "documents"), lambda doc_id: held_out(doc_id, 7, 2))
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    out = F.coalesce(held_out(F.col("doc_id"), 4, 2), F.lit(False))
+    model = language.fit(documents, ~out)
+    return language.identify(documents.select("doc_id", out.alias("held_out"), "text"), model).drop("text")
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    out = F.coalesce(held_out(F.col("doc_id"), 3, 1), F.lit(False))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(documents.filter(~out).select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.score(documents.select("doc_id", out.alias("held_out"), "text"), model).drop("text")
