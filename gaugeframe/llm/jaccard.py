@@ -15,6 +15,8 @@ from gaugeframe.llm.storage import parts_of, stored
 
 #: A token's bytes within its part. With the part they name it to 40 + log2(parts) bits.
 WIDTH = 5
+#: Stands for a null doc_id, after all others.
+LAST = (1 << 63) - 1
 #: Texts are tokenised together up to so many bytes; this bounds memory and changes no result.
 CHUNK = 1 << 20
 #: Salts of the token orders beside the one by frequency.
@@ -191,23 +193,8 @@ def shingle_sets(texts: DataFrame, k: int, percent: int) -> DataFrame:
     return stored(rows.select("node", "size", F.unhex(whole("tokens")).alias("tokens"), F.unhex(whole("counts")).alias("counts")), "shingles")
 
 
-def similar_groups(documents: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of (doc_id, text).
-
-    Two documents link when 100 * |A and B| >= percent * |A or B| for their sets of k-word shingles (a text of fewer
-    words has one, its whole sequence); a component is what links reach, named by its smallest doc_id.
-
-    Candidates come from prefix tokens. Under any order of all tokens, two sets that link share one of their first
-    n - ceil(percent * n / 100) + 1 tokens. Order 0 (rare tokens first) makes the buckets; a candidate pair must also
-    share a prefix token under order 1 (rare first, other ties) and order 2 (by hash) before its tokens are counted.
-    A bucket never emits all its pairs: two rounds compare its members with one of them (the least, then the greatest);
-    what these links join is one component, and a last round takes the pairs of a bucket across components only. A link
-    not found by then would join two components that share a bucket, so none is lost.
-
-    Equal texts are one node, linked by definition; hashes of texts have 64 bits, tokens 40 + log2(parts). Texts that are null, empty or
-    without words have n_shingles 0 and are alone. Null doc_ids rank after all others in component_id and stand for
-    themselves when alone; repeated rows give a row each. An empty table gives an empty result. Other columns are not used.
-    """
+def _classes(documents: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, node, n_shingles, component, least) of every row: the component's name and its least doc_id."""
     keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     sets = shingle_sets(keyed, k, percent)
     live = sets.filter(F.col("tokens").isNotNull())
@@ -240,10 +227,45 @@ def similar_groups(documents: DataFrame, k: int = 5, percent: int = 75) -> DataF
         new = stored(joined.mapInArrow(_verify(percent), "a long, b long, both int"), "links")
         edges = new if edges is None else edges.union(new)
     labels = components(edges)
-    texts = keyed.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("least"))
+    texts = keyed.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("least"))
     sized = sets.select("node", F.col("size").cast("long").alias("n_shingles")).join(texts, "node").join(labels, "node", "left")
     named = sized.withColumn("component", F.coalesce("component", "node"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = named.join(smallest, "component").select("node", "n_shingles", "component_id")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.nullif(F.col("component_id"), F.lit((1 << 63) - 1)))
-    return keyed.select("doc_id", "node").join(classes, "node").select("doc_id", "n_shingles", own.alias("component_id"))
+    smallest = named.groupBy("component").agg(F.min("least").alias("least"))
+    return keyed.select("doc_id", "node").join(named.drop("least").join(smallest, "component"), "node")
+
+
+def similar_groups(documents: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of (doc_id, text).
+
+    Two documents link when 100 * |A and B| >= percent * |A or B| for their sets of k-word shingles (a text of fewer
+    words has one, its whole sequence); a component is what links reach, named by its smallest doc_id.
+
+    Candidates come from prefix tokens. Under any order of all tokens, two sets that link share one of their first
+    n - ceil(percent * n / 100) + 1 tokens. Order 0 (rare tokens first) makes the buckets; a candidate pair must also
+    share a prefix token under order 1 (rare first, other ties) and order 2 (by hash) before its tokens are counted.
+    A bucket never emits all its pairs: two rounds compare its members with one of them (the least, then the greatest);
+    what these links join is one component, and a last round takes the pairs of a bucket across components only. A link
+    not found by then would join two components that share a bucket, so none is lost.
+
+    Equal texts are one node, linked by definition; hashes of texts have 64 bits, tokens 40 + log2(parts). Texts that are null, empty or
+    without words have n_shingles 0 and are alone. Null doc_ids rank after all others in component_id and stand for
+    themselves when alone; repeated rows give a row each. An empty table gives an empty result. Other columns are not used.
+    """
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.nullif("least", F.lit(LAST)))
+    return _classes(documents, k, percent).select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """The documents, all columns, without those that link (see `similar_groups`) to one that stays: of each group the one
+    with the least doc_id. Texts without words all stay. Of repeated rows, or of a group with null doc_ids only, any one stays."""
+    found = stored(_classes(documents, k, percent), "classes")
+    first = found.filter((F.col("n_shingles") == 0) | (F.coalesce("doc_id", F.lit(LAST)) == F.col("least")))
+    first = first.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), "component", "n_shingles").distinct()
+    same = documents["doc_id"].cast("long").eqNullSafe(first["_id"]) & (F.xxhash64(F.coalesce(documents["text"], F.lit(""))) == first["_node"])
+    columns = [documents[c] for c in documents.columns]
+    more = found.filter("n_shingles > 0").filter(F.coalesce("doc_id", F.lit(LAST)) == F.col("least")).groupBy("component").count().filter("count > 1")
+    if more.isEmpty():
+        return documents.join(first, same, "left_semi")
+    rows = documents.join(first, same).select(F.struct(*columns).alias("_row"), "component", "n_shingles")
+    once = rows.filter("n_shingles > 0").dropDuplicates(["component"]).unionByName(rows.filter("n_shingles = 0"))
+    return once.select("_row.*")
