@@ -24,7 +24,7 @@ FIT_ROWS = 12_000
 BEGINNINGS = (4, 5, 6)
 #: A feature is kept if so many texts hold it and its share differs between the labels by so many standard errors.
 LEAST_TEXTS, LEAST_Z, MOST_FEATURES = 3, 4.0, 4000
-RIDGE, PENALTY, STEPS = 1e-3, 1.0, 400
+RIDGE, PENALTY, STEPS = 1e-4, 1.0, 600
 THRESHOLD = 0.7
 
 
