@@ -10,6 +10,8 @@ SAMPLES = 32
 #: Bits of a sample kept in the fingerprint.
 MARK_BITS = 32
 NONE = "-"
+#: Stands for a null id, after all others.
+LAST = (1 << 63) - 1
 
 
 def _unit(bits: Column, shift: int, width: int) -> Column:
@@ -81,10 +83,8 @@ def with_next(documents: DataFrame, ranges: int) -> DataFrame:
     end of the range before it (`last` marks these copies), so no window spans the table. Null ids come last; equal ids
     are ordered by a hash of the text.
     """
-    keyed = documents.select(
-        F.col("doc_id").alias("id"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_k"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
-    ).withColumn("_h", F.xxhash64("text"))
+    keyed = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_k"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    keyed = keyed.withColumn("_h", F.xxhash64("text"))
     keyed = keyed.withColumn("bucket", id_ranges(keyed, "_k", ranges))
     # one row for each range
     firsts = keyed.groupBy("bucket").agg(F.min("_k").alias("_k"))
@@ -92,10 +92,12 @@ def with_next(documents: DataFrame, ranges: int) -> DataFrame:
     order = Window.orderBy("bucket")
     before = F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy()))
     ends = hashes.select(F.col("_k"), F.col("_h"), before.alias("_to"))
-    sent = keyed.join(F.broadcast(ends), ["_k", "_h"]).select("id", "_k", "text", "_h", F.col("_to").alias("bucket"), F.lit(True).alias("last"))
-    dealt = keyed.select("id", "_k", "text", "_h", "bucket", F.lit(False).alias("last")).unionByName(sent).repartition("bucket")
+    sent = keyed.join(F.broadcast(ends), ["_k", "_h"]).select("_k", "text", "_h", F.col("_to").alias("bucket"), F.lit(True).alias("last"))
+    dealt = keyed.select("_k", "text", "_h", "bucket", F.lit(False).alias("last")).unionByName(sent).repartition(max(1, ranges // 2), "bucket")
     inside = Window.partitionBy("bucket").orderBy("last", "_k", "_h")
-    return dealt.select("bucket", F.row_number().over(inside).alias("at"), "id", "text", F.lead("text").over(inside).alias("next_text"), "last")
+    # an id comes from its key, so that all branches read one and the same shuffle
+    id_ = F.nullif(F.col("_k"), F.lit(LAST)).alias("id")
+    return dealt.select("bucket", F.row_number().over(inside).alias("at"), id_, "text", F.lead("text").over(inside).alias("next_text"), "last")
 
 
 def with_edited(documents: DataFrame, terms_of, ranges: int, samples: int = SAMPLES) -> DataFrame:
