@@ -65,8 +65,9 @@ FROM summed"""
 
 @query("op4_mixing", MIX_SQL)
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = with_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    slim = documents.select("doc_id", "source", "_quality", native.n_words(F.col("text")).alias("_size"))
+    # words are counted before the join, so no text is shuffled
+    slim = table(spark, sf_dir, "documents").select("doc_id", "source", native.n_words(F.col("text")).alias("_size"))
+    slim = with_quality(slim, table(spark, sf_dir, "labels"))
     return mixing.mix(slim, F.col("_size"), F.col("_quality"), ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
