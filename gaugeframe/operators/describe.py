@@ -173,5 +173,5 @@ def run_agreement(df: DataFrame, value: str = "metric_value") -> DataFrame:
     out = per_cell.groupingSets([["temperature"], []], "temperature").agg(
         F.grouping("temperature").alias("_all"), F.avg("same").alias("agreement"), F.count(F.lit(1)).alias("n_cells")
     )
-    scope = F.when(F.col("_all") == 1, "overall").otherwise(F.format_string("T=%.1f", "temperature"))
-    return out.select(scope.alias("scope"), "agreement", "n_cells")
+    scope = F.when(F.col("_all") == 1, "overall").otherwise("temperature")
+    return out.select(scope.alias("scope"), "temperature", "agreement", "n_cells")

@@ -221,20 +221,13 @@ def reliability_thresholds(simulation: DataFrame) -> DataFrame:
     return share.groupBy("metric", "target").agg(F.min(enough).alias("recommended_min_tasks_80pct_subsets"))
 
 
-RANK_TABLE_SIZE = 40
-
-
 def rank_uncertainty(simulation: DataFrame) -> DataFrame:
-    """Per size: SD of the overall mean and tau quantiles; empty when no subset has 40 tasks.
-
-    The SD stands for every model alike, as in the published table.
-    """
-    has_size = simulation.filter(F.col("n_tasks") == RANK_TABLE_SIZE).select(F.lit(1).alias("_has")).limit(1)
+    """Per size: SD of the overall mean and tau quantiles. The SD stands for every model alike, as in the published table."""
     stats = simulation.groupBy("n_tasks").agg(
         F.stddev_samp("overall_pass_at_1").alias("pass_at_1_std"),
         F.percentile("kendall_tau", F.array(F.lit(0.5), F.lit(0.05), F.lit(0.95))).alias("q"),
     )
-    return stats.join(F.broadcast(has_size)).select(
+    return stats.select(
         "n_tasks", "pass_at_1_std",
         F.col("q")[0].alias("kendall_tau_median"), F.col("q")[1].alias("kendall_tau_p05"), F.col("q")[2].alias("kendall_tau_p95"),
     )
@@ -357,10 +350,14 @@ def leave_one_out(df: DataFrame, value: str = "metric_value") -> DataFrame:
 
     No level is refitted on rows. One pass gives counts and means for levels, pairs and triples of
     levels; leaving out level d changes a level mean only where (level, d) was observed, and the
-    components follow from those changes. Work grows with the observed pairs and triples.
+    components follow from those changes. Pairs of levels meet the dropped levels seen with the first of them, of other
+    facets than their own, so work grows with observed pairs and triples.
     """
     facets = present_facets(df)
-    g = cut_lineage(level_sets(df, facets, (0, 1, 2, 3), value=value))
+    sets = level_sets(df, facets, (0, 1, 2, 3), value=value)
+    # one row: means are taken from the grand mean, as only differences matter and squares of large means would cancel
+    grand = cut_lineage(sets).filter("f0 IS NULL").select(F.col("mean").alias("_m"))
+    g = cut_lineage(sets.join(F.broadcast(grand)).withColumn("mean", F.col("mean") - F.col("_m")).drop("_m"))
     drop_labels = {f: DROPPED_FACETS[f] for f in facets if f in DROPPED_FACETS}
     n_pairs = len(facets) * (len(facets) - 1) // 2
     total = g.filter("f0 IS NULL").select(F.col("n").alias("n_all"), F.col("mean").alias("m"), F.col("var").alias("v"))
@@ -406,9 +403,11 @@ def leave_one_out(df: DataFrame, value: str = "metric_value") -> DataFrame:
     ).groupBy("drop_f", "drop_l").agg(F.sum(F.col("a_d") * F.col("n_lk") * F.col("b")).alias("t4"))
     o0 = obs.select("drop_f", "drop_l", F.col("f").alias("f0"), F.col("l").alias("l0"), F.col("a").alias("a0"), F.col("b").alias("b0"))
     o1 = obs.select("drop_f", "drop_l", F.col("f").alias("f1"), F.col("l").alias("l1"), F.col("a").alias("a1"), F.col("b").alias("b1"))
+    # a level is never seen with another level of its facet, so a pair meets dropped levels of the other facets only
+    others = F.filter(F.array(*[F.lit(f) for f in drop_labels]), lambda x: (x != F.col("f0")) & (x != F.col("f1")))
     second = (
-        pair.select("f0", "l0", "f1", "l1", F.col("n").alias("n_lm"))
-        .join(o0, ["f0", "l0"])
+        pair.select("f0", "l0", "f1", "l1", F.col("n").alias("n_lm"), F.explode(others).alias("drop_f"))
+        .join(o0, ["f0", "l0", "drop_f"])
         .join(o1, ["drop_f", "drop_l", "f1", "l1"])
         .groupBy("drop_f", "drop_l")
         .agg(F.sum(F.col("n_lm") * (F.col("b0") - F.col("a0")) * (F.col("b1") - F.col("a1"))).alias("t2"))

@@ -47,26 +47,22 @@ def level_sets(
     by: list[str] | None = None,
     value: str = "metric_value",
 ) -> DataFrame:
-    """Count, mean and variance for every combination of ``depths`` facets.
+    """Count, mean and variance for every combination of ``depths`` facets, in one shuffle.
 
-    Rows are first summed per full combination of facets (one shuffle of narrow rows, combined
-    before it); the grouping sets then multiply those cells instead of the rows. Columns
-    f0,l0,f1,l1,… name the facets (in the given order) and their levels.
+    Each task combines its rows per level set before the shuffle, and variances are merged as centred moments, so an
+    offset of all values cancels nothing. A row without a value is left out; one with a null facet is left out of
+    that facet's sets only. Columns f0,l0,f1,l1,… name the facets (in the given order) and their levels.
     """
     by = by or []
     rows = df.select(*by, *[F.col(f).cast("string").alias(f) for f in facets], F.col(value).cast("double").alias("_y"))
-    cells = rows.dropna().groupBy(*by, *facets).agg(
-        F.count(F.lit(1)).alias("_n"), F.avg("_y").alias("_mean"), (F.var_pop("_y") * F.count(F.lit(1))).alias("_m2")
-    )
     sets = [[*by, *c] for d in depths for c in combinations(facets, d)]
-    n, total = F.sum("_n"), F.sum(F.col("_n") * F.col("_mean"))
-    squares = F.sum(F.col("_m2") + F.col("_n") * F.col("_mean") * F.col("_mean"))
-    stats = cells.groupingSets(sets, *by, *facets).agg(
-        n.alias("n"),
-        (total / n).alias("mean"),
-        F.when(n > 1, F.greatest((squares - total * total / n) / (n - 1), F.lit(0.0))).alias("var"),
+    n = F.count(F.lit(1))
+    stats = rows.filter(F.col("_y").isNotNull() & ~F.isnan("_y")).groupingSets(sets, *by, *facets).agg(
+        n.alias("n"), F.avg("_y").alias("mean"), F.when(n > 1, F.var_samp("_y")).alias("var"),
         *_labels([*by, *facets], sets, by, max(depths)),
     )
+    for i in range(max(depths)):
+        stats = stats.filter(F.col(f"f{i}").isNull() | F.col(f"l{i}").isNotNull())
     return stats.drop(*facets)
 
 
@@ -329,7 +325,10 @@ def interaction_shares(df: DataFrame, value: str = "metric_value") -> DataFrame:
         .when(F.col("f1").isNotNull(), "cell")
         .otherwise(F.col("f0"))
     )
-    # SS between groups = sum n*mean^2 - N*m^2, so one more aggregate over the summary is enough
+    # SS between groups = sum n*(mean - m)^2, so one more aggregate over the summary is enough
+    g = cut_lineage(g)
+    grand = g.filter("f0 IS NULL").select(F.col("mean").alias("_m"))  # one row
+    g = g.join(F.broadcast(grand)).withColumn("mean", F.col("mean") - F.col("_m"))
     by_kind = g.groupBy(kind.alias("kind")).agg(
         F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("q"),
         F.max("n").alias("n"),
@@ -426,12 +425,13 @@ def cliffs_delta(
     # for each distinct value: how many low-level rows lie below and above it
     placed = with_counts_below(both, ["factor"], "value", "w")
     sums = placed.groupBy("factor").agg(
-        F.sum(F.col("h") * F.col("below")).alias("low_below"),
-        F.sum(F.col("h") * (F.col("n") - F.col("below") - F.col("w"))).alias("low_above"),
+        # products of counts leave the range of a long
+        F.sum(F.col("h").cast("double") * F.col("below")).alias("low_below"),
+        F.sum(F.col("h").cast("double") * (F.col("n") - F.col("below") - F.col("w"))).alias("low_above"),
         F.sum("h").alias("nh"),
         F.max("n").alias("nl"),
     )
-    delta = (F.col("low_above") - F.col("low_below")) / (F.col("nh") * F.col("nl"))
+    delta = (F.col("low_above") - F.col("low_below")) / (F.col("nh").cast("double") * F.col("nl"))
     return sums.select(
         "factor", delta.alias("cliffs_delta"), (-delta).alias("cliffs_delta_high_minus_low")
     )
@@ -472,6 +472,7 @@ def prompt_effect(df: DataFrame, value: str = "metric_value") -> DataFrame:
     return means.agg(F.coalesce(F.stddev_pop("m"), F.lit(0.0)).alias("prompt_effect_std"))
 
 
+# Accepted names of the columns of a pass/fail frame.
 PASS_FAIL_ALIASES = {
     "model_id": ("model_id", "model"),
     "prompt_variant_id": ("prompt_variant_id", "prompt_id"),
@@ -482,7 +483,10 @@ PASS_FAIL_ALIASES = {
 
 
 def pass_fail_frame(df: DataFrame, metric: str = "pass_at_1") -> DataFrame:
-    """Binary outcome (value >= 0.5) with the canonical design columns; all five are required."""
+    """Binary outcome (value >= 0.5) with the canonical design columns; all five are required.
+
+    A row without a value did not pass and counts as 0. Rows of another metric are left out where ``metric_name`` says so.
+    """
     chosen, missing = [], []
     for name, options in PASS_FAIL_ALIASES.items():
         source = next((o for o in options if o in df.columns), None)
@@ -496,9 +500,10 @@ def pass_fail_frame(df: DataFrame, metric: str = "pass_at_1") -> DataFrame:
     if outcome is None:
         raise ValueError(f"no outcome column: {metric}, metric_value or score")
     kinds = {"run_index": "int", "temperature": "double"}
-    return df.filter(F.col(outcome).isNotNull()).select(
+    rows = df.filter(F.col("metric_name") == metric) if outcome == "metric_value" and "metric_name" in df.columns else df
+    return rows.select(
         *[F.col(s).cast(kinds.get(n, "string")).alias(n) for n, s in chosen],
-        (F.col(outcome) >= 0.5).cast("int").alias("pass_fail"),
+        F.coalesce((F.col(outcome) >= 0.5).cast("int"), F.lit(0)).alias("pass_fail"),
     )
 
 

@@ -53,7 +53,7 @@ def micros(name: str, alias: str):
 # ---- sources ----
 
 
-@query("a1_read_results", "SELECT event_id, epoch_us(ts) AS ts_us, user_id, event_type, value, props FROM events", "value")
+@query("a1_read_results", "SELECT event_id, epoch_us(ts) AS ts_us, user_id, event_type, value, props FROM events", exact=True)
 def a1(spark, sf):
     df = R.read_results(spark, f"{sf.rstrip('/')}/events.parquet")
     return df.withColumn("ts", utc(df, "ts")).select("event_id", micros("ts", "ts_us"), "user_id", "event_type", "value", "props")
@@ -64,7 +64,7 @@ def a1(spark, sf):
     """WITH f AS (SELECT unnest(['parquet', 'json', 'csv']) AS fmt)
 SELECT fmt, cell_id, status, seq, epoch_us(executed_at) AS ts_us, latency_ms, prediction FROM log, f
 UNION ALL SELECT fmt, cell_id, NULL, seq, NULL, NULL, prediction FROM texts, f""",
-    "latency_ms",
+    exact=True,
 )
 def a2(spark, sf):
     flat = log(spark, sf).select("cell_id", "status", "seq", "executed_at", "latency_ms", "prediction").unionByName(
@@ -555,8 +555,9 @@ def c14(spark, sf):
 
 @query(
     "c15_table_fingerprint",
-    """SELECT CAST(sum(('0x' || substr(md5(concat_ws('|', cell_id, status, coalesce(error, '\\N'), CAST(seq AS VARCHAR))), 1, 12))::BIGINT) AS VARCHAR) AS fingerprint,
-    count(*) AS n_rows FROM log""",
+    """WITH r AS (SELECT md5(concat_ws('', coalesce(length(cell_id) || ':' || cell_id, 'N'), coalesce(length(status) || ':' || status, 'N'),
+        coalesce(length(error) || ':' || error, 'N'), coalesce(length(CAST(seq AS VARCHAR)) || ':' || seq, 'N'))) AS h FROM log)
+    SELECT sum(('0x' || substr(h, 1, 15))::BIGINT)::VARCHAR || '-' || sum(('0x' || substr(h, 16, 15))::BIGINT)::VARCHAR AS fingerprint, count(*) AS n_rows FROM r""",
 )
 def c15(spark, sf):
     return C.table_fingerprint(log(spark, sf).select("cell_id", "status", "error", "seq"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,22 +21,24 @@ SCALE = 1e6
 # Sums of doubles differ in the last bits between engines. The small surplus over one half makes an
 # exact tie at the seventh place round up in both, instead of either way.
 HALF_UP = 0.5001
+# Beyond it a double has no sixth place to round, and floor would leave the range of a long.
+LARGEST = 9e9
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Round every double to 6 places."""
-    return df.select(
-        *[
-            (F.floor(F.col(f"`{f.name}`") * F.lit(SCALE) + F.lit(HALF_UP)) / F.lit(SCALE)).alias(f.name)
-            if isinstance(f.dataType, T.DoubleType)
-            else F.col(f"`{f.name}`")
-            for f in df.schema.fields
-        ]
-    )
+    """Round doubles below LARGEST to 6 places; larger ones, infinities and NaN stay as they are."""
+
+    def place(name: str) -> Column:
+        x = F.col(f"`{name}`")
+        return F.when(F.abs(x) < LARGEST, F.floor(x * F.lit(SCALE) + F.lit(HALF_UP)) / F.lit(SCALE)).otherwise(x).alias(name)
+
+    return df.select(*[place(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
 def rounded_sql(column: str) -> str:
-    return f"floor(CAST({column} AS DOUBLE) * CAST({SCALE} AS DOUBLE) + CAST({HALF_UP} AS DOUBLE)) / CAST({SCALE} AS DOUBLE) AS {column}"
+    x = f"CAST({column} AS DOUBLE)"
+    floor = f"floor({x} * CAST({SCALE} AS DOUBLE) + CAST({HALF_UP} AS DOUBLE)) / CAST({SCALE} AS DOUBLE)"
+    return f"CASE WHEN abs({x}) < CAST({LARGEST} AS DOUBLE) THEN {floor} ELSE {x} END AS {column}"
 
 
 def with_views(sql: str) -> str:
@@ -63,11 +65,11 @@ def with_views(sql: str) -> str:
     return f"WITH {recursive}{head}\n{body}"
 
 
-def query(name: str, sql: str | None = None, doubles: str = "") -> Callable[[Query], Query]:
-    """Register a query; ``doubles`` names the columns of ``sql`` to round to 6 places."""
+def query(name: str, sql: str | None = None, doubles: str = "", exact: bool = False) -> Callable[[Query], Query]:
+    """Register a query; ``doubles`` names the columns of ``sql`` to round to 6 places, ``exact`` leaves all as they are."""
 
     def register(fn: Query) -> Query:
-        QUERIES[name] = lambda spark, sf: rounded(fn(spark, sf))
+        QUERIES[name] = fn if exact else lambda spark, sf: rounded(fn(spark, sf))
         if sql is not None:
             body = sql.strip()
             if doubles:

@@ -115,9 +115,9 @@ def e6(spark, sf):
     "e7_run_agreement",
     """WITH c AS (SELECT temperature, CASE WHEN min(metric_value) = max(metric_value) THEN 1.0 ELSE 0.0 END AS same
 FROM cells GROUP BY model, task_id, prompt_id, temperature)
-SELECT 'T=' || printf('%.1f', temperature) AS scope, avg(same) AS agreement, count(*) AS n_cells FROM c GROUP BY temperature
-UNION ALL SELECT 'overall', avg(same), count(*) FROM c""",
-    "agreement",
+SELECT 'temperature' AS scope, temperature, avg(same) AS agreement, count(*) AS n_cells FROM c GROUP BY temperature
+UNION ALL SELECT 'overall', NULL, avg(same), count(*) FROM c""",
+    "agreement temperature",
 )
 def e7(spark, sf):
     return D.run_agreement(cells(spark, sf))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,11 +30,14 @@ _OWN_ROOTS: dict[str, str] = {}
 def scratch_root(spark: SparkSession) -> str:
     """Folder shared by all executors: the session's ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests, one machine) gets a temporary folder of its own.
+    A session on one machine that names none gets a temporary folder of its own; on a cluster, where executors could not
+    read each other's files there, that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_ROOTS:
         _OWN_ROOTS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -40,7 +40,10 @@ def prepare_results(df: DataFrame, metric: str | None = None) -> DataFrame:
     if metric is not None and "scores" in out.columns:
         # where a stored score exists too, a map without the metric anywhere leaves it in place
         scored = F.element_at("scores", F.lit(metric))
-        if "metric_value" not in out.columns or out.filter(scored.isNotNull()).limit(1).count():
+        found = not out.filter(scored.isNotNull()).isEmpty()
+        if not found and "metric_value" not in out.columns:
+            raise ValueError(f"no row has a score named {metric}, and there is no metric_value")
+        if found:
             out = out.filter(scored.isNotNull()).withColumns({"metric_value": scored, "metric_name": F.lit(metric)})
     missing = [c for c in REQUIRED if c not in out.columns]
     if missing:
