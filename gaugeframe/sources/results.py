@@ -1,8 +1,9 @@
-"""Result tables in Parquet, JSON lines and CSV."""
+"""Result tables in Parquet, JSON lines and CSV. CSV keeps maps, lists and structs as JSON text."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # File suffixes and the writer format they stand for.
@@ -46,20 +47,44 @@ def format_of(path: str) -> str:
     raise ValueError(f"unsupported results format: {path}")
 
 
+def _nested(schema: T.StructType) -> list[T.StructField]:
+    return [f for f in schema.fields if isinstance(f.dataType, T.MapType | T.ArrayType | T.StructType)]
+
+
+def _read_csv(reader, path: str, schema: T.StructType) -> DataFrame:
+    nested = {f.name: f.dataType for f in _nested(schema)}
+    flat = T.StructType([T.StructField(f.name, T.StringType() if f.name in nested else f.dataType) for f in schema.fields])
+    out = reader.schema(flat).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return out.withColumns({name: F.from_json(name, kind) for name, kind in nested.items()}) if nested else out
+
+
+def with_position(df: DataFrame) -> DataFrame:
+    """Add ``seq``, the place of a row in its file and of the file by name: what "last row wins" needs among equal times.
+
+    Only for a table as it is read, before anything else is done with it.
+    """
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
+    )
+    return df.withColumn("seq", place)
+
+
 def read_results(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str | None = None
+    spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str | None = None, position: bool = False
 ) -> DataFrame:
-    """Read results; JSON and CSV take a schema, so no pass is spent on inference."""
+    """Read results; JSON and CSV take a schema, so no pass is spent on inference. ``position`` adds ``seq``."""
     fmt = fmt or format_of(path)
-    reader = spark.read
+    schema = schema or RESULT_SCHEMA
+    reader = spark.read.option("timestampFormat", TIME_FORMAT)
     if fmt == "parquet":
-        return reader.parquet(path)
-    reader = reader.schema(schema or RESULT_SCHEMA).option("timestampFormat", TIME_FORMAT)
-    if fmt == "json":
-        return reader.json(path)
-    if fmt == "csv":
-        return reader.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    raise ValueError(f"unsupported results format: {fmt}")
+        out = spark.read.parquet(path)
+    elif fmt == "json":
+        out = reader.schema(schema).json(path)
+    elif fmt == "csv":
+        out = _read_csv(reader, path, schema)
+    else:
+        raise ValueError(f"unsupported results format: {fmt}")
+    return with_position(out) if position else out
 
 
 def write_results(
@@ -69,6 +94,8 @@ def write_results(
     fmt = fmt or format_of(path)
     if fmt not in set(FORMATS.values()):
         raise ValueError(f"unsupported results format: {fmt}")
+    if fmt == "csv":
+        df = df.withColumns({f.name: F.to_json(f.name) for f in _nested(df.schema)})
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(partition_by)

@@ -387,3 +387,39 @@ def test_nested_prefixes(spark):
     sets = {s: {r.k for r in rows.filter(F.col("size") == s).collect()} for s in (10, 100, 900)}
     assert [len(sets[s]) for s in (10, 100, 900)] == [10, 100, 500]
     assert sets[10] < sets[100] < sets[900]
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "json", "csv"])
+def test_whole_log_schema_round_trips(spark, tmp_path, fmt):
+    schema = RS.RESULT_SCHEMA
+    values = {"cell_id": "a|b", "scores": {"pass_at_1": 1.0, "x,y": 0.5}, "metadata": {"k": 'quote " and\nline'}, "score": 0.25, "seed": 2**40, "prediction": "a,\n\"b\""}
+    rows = [tuple(values.get(f.name) for f in schema.fields), tuple("c" if f.name == "cell_id" else None for f in schema.fields)]
+    df = spark.createDataFrame(rows, schema).coalesce(1)
+    path = RS.write_results(df, str(tmp_path / fmt), fmt)
+    back = RS.read_results(spark, path, fmt=fmt, position=True)
+    assert [f.name for f in back.schema.fields] == [f.name for f in schema.fields] + ["seq"]
+    assert sorted(tuple(r)[:-1] for r in back.collect()) == sorted(rows)
+    assert back.orderBy("seq").first()["cell_id"] == "a|b"
+
+
+def test_last_row_of_a_file_wins_among_equal_times(spark, tmp_path):
+    rows = [("c", "failed", 1), ("c", "completed", 1), ("c", "failed", 1), ("d", "completed", 1)]
+    df = spark.createDataFrame(rows, "cell_id string, status string, executed_at long").coalesce(1)
+    path = RS.write_results(df, str(tmp_path / "log"), "parquet")
+    latest = C.latest_by_cell(RS.read_results(spark, path, fmt="parquet", position=True))
+    assert {r["cell_id"]: r["status"] for r in latest.collect()} == {"c": "failed", "d": "completed"}
+
+
+def test_a_metric_that_no_row_has_is_an_error(spark):
+    df = spark.createDataFrame([("m", "t", {"x": 1.0})], "model string, task_id string, scores map<string,double>")
+    with pytest.raises(ValueError, match="pass_at_1"):
+        A.prepare_results(df, "pass_at_1")
+
+
+def test_comparison_rounding_leaves_large_values_alone(spark):
+    from gaugeframe.plans.registry import rounded
+
+    values = [1e14, 3e13, float("inf"), float("-inf"), 0.12345649, -2.5]
+    got = [r[0] for r in rounded(spark.createDataFrame([(v,) for v in values], "x double").coalesce(1)).collect()]
+    assert got == [1e14, 3e13, float("inf"), float("-inf"), 0.123456, -2.5]
+    assert rounded(spark.createDataFrame([(float("nan"),)], "x double")).filter("isnan(x)").count() == 1

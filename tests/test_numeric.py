@@ -164,3 +164,33 @@ def test_power_grows(frame):
 
 def test_power_needs_two_cells(frame):
     assert M.power_grid(frame, 0.4, [1], [1], [1]).first().power == 0.0
+
+
+def component_values(df, **kw):
+    return {r["component"]: (r["variance"], r["n"]) for r in V.variance_components(df, **kw).collect()}
+
+
+def test_an_offset_changes_no_variance(frame):
+    plain, moved = component_values(frame), component_values(frame.withColumn("metric_value", F.col("metric_value") + 1e9))
+    assert plain.keys() == moved.keys()
+    for name, (v, n) in plain.items():
+        assert moved[name][1] == n and moved[name][0] == pytest.approx(v, rel=1e-4, abs=1e-5)
+
+
+def test_a_null_facet_keeps_its_rows(frame):
+    gaps = frame.withColumn("prompt_id", F.when(F.col("prompt_id") != "p1", F.col("prompt_id")))
+    plain, found = component_values(frame), component_values(gaps)
+    assert {n for _, n in found.values()} == {n for _, n in plain.values()}
+    assert found["total"] == pytest.approx(plain["total"]) and found["model"] == pytest.approx(plain["model"])
+
+
+def test_leave_one_out_ignores_an_offset(frame):
+    from gaugeframe.operators import resampling as H
+
+    def table(df):
+        return {(r[0], r[1]): [r[c] for c in ("model_variance_change", "prompt_variance_change", "task_variance_change", "residual_variance_change")] for r in H.leave_one_out(df).collect()}
+
+    plain, moved = table(frame), table(frame.withColumn("metric_value", F.col("metric_value") + 1e6))
+    assert plain.keys() == moved.keys()
+    for key, values in plain.items():
+        assert moved[key] == pytest.approx(values, abs=1e-6)
