@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 1024
+#: Ranges of values per group; their bounds are approximate quantiles of the group's distinct values.
+BINS = 256
 
 
 def with_counts_below(
@@ -13,18 +14,16 @@ def with_counts_below(
 ) -> DataFrame:
     """Add ``below`` (weight of strictly smaller values), ``n`` (total weight), ``lowest`` and ``highest``.
 
-    ``counts`` holds each distinct value of a group once. Values are cut into equal-width bins:
-    bin totals are accumulated over at most ``BINS`` rows per group, and the running sum inside a
-    bin is taken per (group, bin), so a hot group is worked on by many tasks.
+    ``counts`` holds each distinct value of a group once. Values are cut into bins with about equally
+    many distinct values, however skewed they are: bin totals are accumulated over at most ``BINS``
+    rows per group, and the running sum inside a bin is taken per (group, bin), so a hot group is
+    worked on by many tasks.
     """
     spans = counts.groupBy(*by).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum(count).alias("n")
-    )
-    share = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    binned = counts.join(spans, by).withColumn(
-        "_bin",
-        F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(share * BINS), F.lit(BINS - 1))).otherwise(0),
+        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum(count).alias("n"),
+        F.percentile_approx(value, [i / BINS for i in range(1, BINS)], 10 * BINS).alias("_cuts"),
     )
+    binned = counts.join(spans, by).withColumn("_bin", F.expr(f"size(filter(_cuts, c -> c <= `{value}`))")).drop("_cuts")
     totals = binned.groupBy(*by, "_bin").agg(F.sum(count).alias("_c"))
     before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*by, "_bin", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))

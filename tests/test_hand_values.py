@@ -423,3 +423,17 @@ def test_comparison_rounding_leaves_large_values_alone(spark):
     got = [r[0] for r in rounded(spark.createDataFrame([(v,) for v in values], "x double").coalesce(1)).collect()]
     assert got == [1e14, 3e13, float("inf"), float("-inf"), 0.123456, -2.5]
     assert rounded(spark.createDataFrame([(float("nan"),)], "x double")).filter("isnan(x)").count() == 1
+
+
+def test_skewed_values_fill_their_bins_evenly(spark):
+    import math
+
+    from gaugeframe.functions.order_stats import BINS, with_counts_below
+
+    values = [math.exp(i / 100) for i in range(4000)]
+    df = spark.createDataFrame([("g", v, 2) for v in values], "g string, value double, c long")
+    rows = {r["value"]: r["below"] for r in with_counts_below(df, ["g"]).collect()}
+    assert [rows[v] for v in values] == [2 * i for i in range(4000)]
+    cuts = df.groupBy("g").agg(F.percentile_approx("value", [i / BINS for i in range(1, BINS)], 10 * BINS).alias("cuts"))
+    most = df.join(cuts, "g").groupBy(F.expr("size(filter(cuts, c -> c <= value))")).count().agg(F.max("count")).first()[0]
+    assert most < 4000 / BINS * 4
