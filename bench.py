@@ -14,6 +14,7 @@ from gaugeframe.plans import catalog  # noqa: E402
 from gaugeframe.session import local_session  # noqa: E402
 
 HEADLINE = [
+    "a2_write_results",
     "a9_build_statistical_dataset",
     "b2_cell_id",
     "c1_completed_latest",
@@ -21,6 +22,7 @@ HEADLINE = [
     "c14_integrity_audit",
     "d14_evaluate_results_all",
     "e2_describe_all",
+    "e4_performance_table",
     "f1_variance_components",
     "f3_type1_orderings",
     "f9_anova_type2_unbalanced",
@@ -30,8 +32,12 @@ HEADLINE = [
     "g7_bootstrap_all_facets",
     "g10_fragility_summary",
     "h1_bootstrap_ci_by_counts",
+    "h2_bootstrap_ci_by",
     "h3_task_subsets",
+    "h8_convergence",
     "h9_leave_one_out",
+    "s1_stream_latest",
+    "s3_stream_status",
 ]
 
 
