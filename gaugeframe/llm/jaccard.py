@@ -19,6 +19,10 @@ WIDTH = 5
 LAST = (1 << 63) - 1
 #: Texts are tokenised together up to so many bytes; this bounds memory and changes no result.
 CHUNK = 1 << 20
+#: Members of a bucket in a block, and tokens in a product of matrices.
+BLOCK, COLUMNS = 256, 4096
+#: Chunks that share packed rows.
+CHUNKS = 6
 #: Salts of the token orders beside the one by frequency.
 ORDERS = (U64(0), U64(0xD1B54A32D192ED03), U64(0x8CB92BA72F3D8DD7))
 
@@ -61,40 +65,57 @@ PACKED = "part int, nodes binary, sizes binary, counts binary, tokens binary"
 
 
 def _pack(k: int, parts: int):
-    """Texts to packed rows: for a batch and a part, the tokens of each text that fall in the part. Part -1 has all set sizes."""
+    """Texts to packed rows: for a group of texts and a part, the tokens of each text that fall in the part. Part -1 has all set sizes.
+
+    Equal texts of a task count once. Groups are a few chunks of text, so a task's memory doesn't depend on its batches.
+    """
+
+    def rows(hashes: np.ndarray, owner: np.ndarray, token: np.ndarray) -> pa.RecordBatch:
+        sizes = np.bincount(owner, minlength=len(hashes)).astype(np.int32)
+        part = ((token & U64(0xFFFF)) % U64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        owner, token = owner[order], token[order] >> U64(24)
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
+        out = [(-1, hashes.astype("<i8").tobytes(), sizes.tobytes(), b"", b"")]
+        for p in range(parts):
+            a, b = cuts[p], cuts[p + 1]
+            if a < b:
+                own = owner[a:b]
+                first = runs(own)
+                held = own[first]
+                counts = np.diff(np.append(first, b - a)).astype(np.int32)
+                out.append((p, hashes[held].astype("<i8").tobytes(), sizes[held].tobytes(), counts.tobytes(), narrow(token[a:b], WIDTH)))
+        names = ["part", "nodes", "sizes", "counts", "tokens"]
+        types = [pa.int32()] + [pa.binary()] * 4
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
 
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            hashes, once = np.unique(batch.column(0).to_numpy(), return_index=True)  # equal texts of a batch count once
-            texts = batch.column(1).take(pa.array(once)).to_pylist()
-            owners, tokens = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
-            done = 0
-            for some, held in chunked(hashes, texts):
-                o, t = document_sets(held, k)
-                owners.append(o + done), tokens.append(t)
-                done += len(some)
-            owner, token = np.concatenate(owners), np.concatenate(tokens)
-            sizes = np.bincount(owner, minlength=len(hashes)).astype(np.int32)
-            part = ((token & U64(0xFFFF)) % U64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            part, owner, token = part[order], owner[order], token[order] >> U64(24)
-            out = [(-1, hashes.astype("<i8").tobytes(), sizes.tobytes(), b"", b"")]
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            for p in range(parts):
-                a, b = cuts[p], cuts[p + 1]
-                if a < b:
-                    own = owner[a:b]
-                    first = runs(own)
-                    held = own[first]
-                    counts = np.diff(np.append(first, b - a)).astype(np.int32)
-                    out.append((p, hashes[held].astype("<i8").tobytes(), sizes[held].tobytes(), counts.tobytes(), narrow(token[a:b], WIDTH)))
-            names = ["part", "nodes", "sizes", "counts", "tokens"]
-            types = [pa.int32()] + [pa.binary()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
+            new = []
+            for i, h in enumerate(batch.column(0).to_pylist()):
+                if h not in seen:
+                    seen.add(h)
+                    new.append(i)
+            hashes, texts = batch.column(0).to_numpy()[new], batch.column(1).take(pa.array(new, pa.int64()))
+            held: list[tuple] = []
+            for at in range(0, len(new), 500):
+                for some, chunk in chunked(hashes[at : at + 500], texts.slice(at, 500).to_pylist()):
+                    held.append((some, *document_sets(chunk, k)))
+                    if len(held) == CHUNKS:
+                        yield rows(*_joined(held))
+                        held = []
+            if held:
+                yield rows(*_joined(held))
 
     return f
 
 
+def _joined(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    first = np.cumsum([0] + [len(h[0]) for h in held[:-1]])
+    return np.concatenate([h[0] for h in held]), np.concatenate([h[1] + f for h, f in zip(held, first, strict=True)]), np.concatenate([h[2] for h in held])
+
+
 SHARED = "node long, size int, shared int, tokens binary, counts binary"
 
 
@@ -155,12 +176,71 @@ def _postings(percent: int):
     return f
 
 
+def _products(rows: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
+    """How many tokens each two of n sets share, from (row, token): products of 0/1 matrices, some tokens at a time."""
+    out = np.zeros((n, n), np.float32)
+    order = np.argsort(tokens, kind="stable")
+    rows, tokens = rows[order], tokens[order]
+    place = np.cumsum(np.concatenate([[0], (tokens[1:] != tokens[:-1]).astype(np.int64)])) if len(tokens) else tokens
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        x, y = np.searchsorted(place, [low, low + COLUMNS])
+        part = np.zeros((n, COLUMNS), np.float32)
+        part[rows[x:y], place[x:y] - low] = 1.0
+        out += part @ part.T
+    return out
+
+
+def _spanning(x: np.ndarray, y: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links between places, those that join components not yet joined: fewer than there are components."""
+    parent = {c: c for c in component.tolist()}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    kept = []
+    for i, (a, b) in enumerate(zip(component[x].tolist(), component[y].tolist(), strict=True)):
+        a, b = root(a), root(b)
+        if a != b:
+            parent[a] = b
+            kept.append(i)
+    return x[kept], y[kept]
+
+
+def _compare_blocks(percent: int):
+    """Links that join components between two blocks of a bucket. Pairs must pass the prefix filter of every order first."""
+
+    def f(table: pa.Table) -> pa.Table:
+        node, n = table.column("node").to_numpy(), table.column("size").to_numpy().astype(np.float64)
+        component, block = table.column("component").to_numpy(), table.column("block").to_numpy()
+        tokens = [np.frombuffer(t, "<u8") for t in table.column("tokens").to_pylist()]
+        counts = [np.frombuffer(c, "<u2") for c in table.column("counts").to_pylist()]
+        row = lambda sets: np.repeat(np.arange(len(node)), [len(x) for x in sets])
+        wanted = (component[:, None] != component[None, :]) & np.triu(np.ones((len(node), len(node)), bool), 1)
+        if table.column("low")[0].as_py() != table.column("high")[0].as_py():
+            wanted &= block[:, None] != block[None, :]
+        for order in range(len(ORDERS)):
+            if wanted.any():
+                first = [_prefix(order, t, c, int(m), percent) for t, c, m in zip(tokens, counts, n, strict=True)]
+                wanted &= _products(row(first), np.concatenate(first), len(node)) > 0
+        x, y = np.nonzero(wanted)
+        if len(x):
+            both = _products(row(tokens), np.concatenate(tokens), len(node))[x, y]
+            link = 100 * both >= percent * (n[x] + n[y] - both)
+            x, y = _spanning(x[link], y[link], component)
+        return pa.table([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
+
+    return f
+
+
 def _verify(percent: int):
     """Pairs that pass the prefix filters of the other orders too, and then the count of shared tokens."""
 
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, alike = [], [], []
+            a, b = [], []
             for x, y, n, m, s, t, f, g in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True):
                 s, t, f, g = np.frombuffer(s, "<u8"), np.frombuffer(t, "<u8"), np.frombuffer(f, "<u2"), np.frombuffer(g, "<u2")
                 for order in range(1, len(ORDERS)):
@@ -169,8 +249,8 @@ def _verify(percent: int):
                 else:
                     both = len(np.intersect1d(s, t, assume_unique=True))
                     if 100 * both >= percent * (n + m - both):
-                        a.append(x), b.append(y), alike.append(both)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(alike, pa.int32())], names=["a", "b", "both"])
+                        a.append(x), b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return f
 
@@ -199,33 +279,28 @@ def _classes(documents: DataFrame, k: int, percent: int) -> DataFrame:
     sets = shingle_sets(keyed, k, percent)
     live = sets.filter(F.col("tokens").isNotNull())
     postings = stored(live.select("node", "size", "tokens", "counts").mapInArrow(_postings(percent), "token long, node long, size int"), "postings")
-    edges = None
-    for pivot in (F.min, F.max, None):
-        if edges is None:
-            labelled = postings.withColumn("component", F.col("node"))
-        else:
-            found = components(edges)
-            labelled = postings.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_ = labelled.groupBy("token").agg(pivot("node").alias("pivot") if pivot else F.lit(None).alias("pivot"), F.min("component").alias("_least"), F.max("component").alias("_most"))
-        open_ = open_.filter("_least != _most").select("token", "pivot")
-        close = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-        if pivot:
-            pairs = labelled.join(open_, "token").filter("node != pivot").select(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y"))
-        else:
-            left = labelled.join(open_, "token", "left_semi")
-            right = left.select("token", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("component").alias("component2"))
-            pairs = left.join(right, "token").filter("component < component2").filter(close("size", "size2"))
-            pairs = pairs.select(F.least("node", "node2").alias("x"), F.greatest("node", "node2").alias("y"))
-        pairs = pairs.distinct()
-        if edges is not None:
-            same = found.select(F.col("node").alias("x"), F.col("component").alias("c"))
-            other = found.select(F.col("node").alias("y"), F.col("component").alias("d"))
-            pairs = pairs.join(same, "x", "left").join(other, "y", "left").filter("not (c <=> d) or c is null").select("x", "y")
-        left = live.select(F.col("node").alias("x"), F.col("size").alias("n"), F.col("tokens").alias("s"), F.col("counts").alias("f"))
-        right = live.select(F.col("node").alias("y"), F.col("size").alias("m"), F.col("tokens").alias("t"), F.col("counts").alias("g"))
-        joined = pairs.join(left, "x").join(right, "y").filter(close("n", "m")).select("x", "y", "n", "m", "s", "t", "f", "g")
-        new = stored(joined.mapInArrow(_verify(percent), "a long, b long, both int"), "links")
-        edges = new if edges is None else edges.union(new)
+    # the members of a bucket against the least of them
+    pivots = postings.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("_most")).filter("pivot != _most").drop("_most")
+    close = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
+    pairs = postings.join(pivots, "token").filter("node != pivot").select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct()
+    left = live.select(F.col("node").alias("x"), F.col("size").alias("n"), F.col("tokens").alias("s"), F.col("counts").alias("f"))
+    right = live.select(F.col("node").alias("y"), F.col("size").alias("m"), F.col("tokens").alias("t"), F.col("counts").alias("g"))
+    joined = pairs.join(left, "x").join(right, "y").filter(close("n", "m")).select("x", "y", "n", "m", "s", "t", "f", "g")
+    edges = stored(joined.mapInArrow(_verify(percent), "a long, b long"), "links")
+    # buckets that still have several components: blocks of their members against each other
+    labelled = postings.join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = labelled.groupBy("token").agg(F.min("node").alias("pivot"), F.min("component").alias("_least"), F.max("component").alias("_most"))
+    open_ = open_.filter("_least != _most").select("token", "pivot")
+    # any two members of a bucket are also members of its pivot's group, and most tokens of a document have one pivot
+    members = stored(labelled.join(open_, "token").select("pivot", "node", "size", "component").distinct(), "members")
+    counts = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(counts, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.join(live.select("node", "tokens", "counts"), "node").select(
+        "pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "size", "component", "block", "tokens", "counts"
+    )
+    more = dealt.groupBy("pivot", "low", "high").applyInArrow(_compare_blocks(percent), "a long, b long")
+    edges = edges.union(stored(more, "links"))
     labels = components(edges)
     texts = keyed.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("least"))
     sized = sets.select("node", F.col("size").cast("long").alias("n_shingles")).join(texts, "node").join(labels, "node", "left")
@@ -243,9 +318,10 @@ def similar_groups(documents: DataFrame, k: int = 5, percent: int = 75) -> DataF
     Candidates come from prefix tokens. Under any order of all tokens, two sets that link share one of their first
     n - ceil(percent * n / 100) + 1 tokens. Order 0 (rare tokens first) makes the buckets; a candidate pair must also
     share a prefix token under order 1 (rare first, other ties) and order 2 (by hash) before its tokens are counted.
-    A bucket never emits all its pairs: two rounds compare its members with one of them (the least, then the greatest);
-    what these links join is one component, and a last round takes the pairs of a bucket across components only. A link
-    not found by then would join two components that share a bucket, so none is lost.
+    A bucket never emits its pairs: first its members are compared with the least of them, and what these links join is one
+    component. A link not found by then joins two components that share a bucket. So the members of buckets with several
+    components are dealt out in blocks, and tasks compare two blocks at a time, across components only, by products
+    of 0/1 matrices. Members that don't link with each other cost a square of their number there, but no row.
 
     Equal texts are one node, linked by definition; hashes of texts have 64 bits, tokens 40 + log2(parts). Texts that are null, empty or
     without words have n_shingles 0 and are alone. Null doc_ids rank after all others in component_id and stand for
