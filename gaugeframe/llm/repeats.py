@@ -7,6 +7,8 @@ share meet where the anchors are grouped by their hash, with the context of an a
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -21,6 +23,8 @@ from gaugeframe.llm.storage import parts_of, stored
 #: Bytes of an anchor's and a context's hash while they are compared; with the part they name both to over 80 bits.
 WIDTH = 5
 LAST = (1 << 63) - 1
+#: Numbers that documents are hashed to before texts are shuffled.
+SLOTS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -37,17 +41,17 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def anchors(symbols: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each anchor, hash of its context, and the context's start and end."""
+def anchors(symbols: np.ndarray, kind: Kind) -> tuple[np.ndarray, ...]:
+    """Hash of each anchor, hash of its context, the context's start and end, and the anchor's place."""
     n, reach = len(symbols), kind.length - kind.k
     if n < kind.length:
         none = np.zeros(0, np.int64)
-        return none.astype(U64), none.astype(U64), none, none
+        return none.astype(U64), none.astype(U64), none, none, none
     ranges = Ranges(symbols)
     values = ranges.every(kind.k)
     at = minimizers(values, reach + 1)
     low, high = np.maximum(at - reach, 0), np.minimum(at + kind.length, n)
-    return values[at], mixed(ranges.of(low, high) + (at - low).astype(U64)), low, high
+    return values[at], mixed(ranges.of(low, high) + (at - low).astype(U64)), low, high, at
 
 
 def _names(anchor: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -76,7 +80,7 @@ def _anchor_rows(kind: Kind, parts: int):
             once = order[runs(nodes[order])]
             found, owners = [], []
             for i, text in enumerate(batch.column(2).take(pa.array(once)).to_pylist()):
-                a, c, _, _ = anchors(kind.symbols(_bytes(text)), kind)
+                a, c, *_ = anchors(kind.symbols(_bytes(text)), kind)
                 if len(a):
                     a, c = np.unique(np.stack([a, c]), axis=1) if len(a) != len(np.unique(a)) else (a, c)
                     found.append((a, c)), owners.append(np.full(len(a), i))
@@ -141,13 +145,28 @@ def _judge(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(ids[held]), pa.array(nodes[held]), cells(covered), cells(~covered)], names=["id", "node", "covered", "wanted"])
 
 
-WORKED = "id long, node long, text string, starts binary, ends binary, names binary, lows binary, part int, ids binary, nodes binary, sizes binary, codes binary"
+WORKED = "id long, node long, n_removed long, n_spans long, kept string, text binary, starts binary, ends binary, names binary, lows binary, part int, ids binary, nodes binary, sizes binary, lefts binary, codes binary"
 COLUMNS = [c.split() for c in WORKED.split(", ")]
 KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
 
 
-def _context_rows(kind: Kind, parts: int):
-    """For each document that shares an anchor: a row with its covered ranges, and packed rows with its wanted contexts."""
+def _without(kind: Kind, data: np.ndarray, edge: np.ndarray, keep) -> tuple[int, int, str]:
+    """Symbols and runs that go, and the hash of what stays; `edge` has +1 where a range starts and -1 where it ends."""
+    gone = np.cumsum(edge[:-1]) > 0
+    spans = int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum())
+    return int(gone.sum()), spans, hashlib.sha256(keep(data, ~gone)).hexdigest()
+
+
+def _edges(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, ends, -1)
+    return edge
+
+
+def _context_rows(kind: Kind, parts: int, keep):
+    """For each document that shares an anchor: its result if no context is wanted; else a row with its text and
+    covered ranges, and packed rows with its wanted contexts."""
 
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,19 +175,23 @@ def _context_rows(kind: Kind, parts: int):
             for id_, node, text, covered, wanted in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
                 data = _bytes(text)
                 codes = kind.codes(data)
-                a, c, low, high = anchors(kind.symbols(data), kind)
+                a, c, low, high, at = anchors(kind.symbols(data), kind)
                 names = _names(a, c)
                 hit = np.isin(names, np.frombuffer(b"".join(covered), "<u8"))
                 want = np.isin(names, np.frombuffer(b"".join(wanted), "<u8"))
-                rows.append({"id": id_, "node": node, "text": text, "starts": low[hit].astype("<i4").tobytes(), "ends": high[hit].astype("<i4").tobytes(),
+                if not want.any():
+                    removed, spans, kept = _without(kind, data, _edges(len(codes), low[hit], high[hit]), keep)
+                    rows.append({"id": id_, "node": node, "n_removed": removed, "n_spans": spans, "kept": kept})
+                    continue
+                rows.append({"id": id_, "node": node, "text": zlib.compress(data.tobytes(), 1), "starts": low[hit].astype("<i4").tobytes(), "ends": high[hit].astype("<i4").tobytes(),
                              "names": names[want].astype("<u8").tobytes(), "lows": low[want].astype("<i4").tobytes()})
                 _, once = np.unique(names[want], return_index=True)
                 for i, p in zip(np.flatnonzero(want)[once], _part(a[want][once], parts), strict=True):
-                    packed.setdefault(int(p), []).append((id_, node, int(names[i]), codes[low[i] : high[i]]))
+                    packed.setdefault(int(p), []).append((id_, node, int(names[i]), codes[low[i] : high[i]], at[i] - low[i]))
             for p, held in packed.items():
                 rows.append({"part": p, "ids": np.array([h[0] for h in held], "<i8").tobytes(), "nodes": np.array([h[1] for h in held], "<i8").tobytes(),
                              "names": np.array([h[2] for h in held], "<u8").tobytes(), "sizes": np.array([len(h[3]) for h in held], "<i4").tobytes(),
-                             "codes": np.concatenate([h[3] for h in held]).tobytes()})
+                             "lefts": np.array([h[4] for h in held], "<i4").tobytes(), "codes": zlib.compress(np.concatenate([h[3] for h in held]).tobytes(), 1)})
             yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], KINDS[t]) for c, t in COLUMNS], names=[c for c, _ in COLUMNS])
 
     return f
@@ -178,26 +201,64 @@ SPANS = "id long, node long, spans binary"
 SPAN = np.dtype([("name", "<u8"), ("start", "<i4"), ("end", "<i4")])
 
 
-def _indexed(index, dtype: str, most: int):
-    """Search the contexts of a part: `index` gets some at a time, all of an anchor together, and tells what to remove of each."""
+def _reach(codes: np.ndarray, begin: np.ndarray, room: np.ndarray, step: int, most: int, anchor: np.ndarray) -> np.ndarray:
+    """How many symbols from `begin` on (backwards for step -1) each context shares with any other one of its anchor, at most."""
+    inside = np.arange(most)[None, :] < room[:, None]
+    at = np.where(inside, begin[:, None] + step * np.arange(most)[None, :], 0)
+    wide = np.uint16 if codes.itemsize == 1 else np.uint64
+    rows = np.where(inside, codes[at].astype(wide) + wide(1), wide(0))
+    order = np.lexsort((*rows.T[::-1], anchor))
+    rows = rows[order]
+    same = (rows[1:] == rows[:-1]) & (rows[1:] > 0)
+    shared = np.where(same.all(axis=1), most, (~same).argmax(axis=1)) * (anchor[order][1:] == anchor[order][:-1])
+    out = np.zeros(len(order), np.int64)
+    out[order] = np.maximum(np.append(shared, 0), np.append(0, shared))
+    return out
+
+
+def _indexed(index, dtype: str, most: int, kind: Kind):
+    """Search the contexts of a part: `index` gets some at a time, all of an anchor together, and tells what to remove of each.
+
+    A context is first cut to what it shares with any other of its anchor, before and behind; shorter than a window, it is
+    done. Strings that are equal then go in once, for the least document; in the others they are covered. Where an
+    anchor still has different strings, the index tells what they share.
+    """
 
     def f(table: pa.Table) -> pa.Table:
         ids, nodes, names = (_concat(table.column(c), t) for c, t in (("ids", "<i8"), ("nodes", "<i8"), ("names", "<u8")))
-        sizes, codes = _concat(table.column("sizes"), "<i4").astype(np.int64), _concat(table.column("codes"), dtype)
-        first = np.cumsum(sizes) - sizes
-        order = np.lexsort((ids, names >> U64(24)))
-        anchor = names[order] >> U64(24)
-        held, volume, found = [], 0, [np.zeros(0, np.int64)] * 3
-        for at, i in enumerate(order):
-            held.append(i)
-            volume += sizes[i]
-            last = at + 1 == len(order)
-            if last or volume >= most and anchor[at] != anchor[at + 1]:
-                held = sorted(held, key=lambda x: ids[x])
-                which, start, end = index([codes[first[x] : first[x] + sizes[x]] for x in held], ids[held])
-                found = [np.concatenate([x, y]) for x, y in zip(found, (np.array(held)[which], start, end), strict=True)]
+        sizes, lefts = (_concat(table.column(c), "<i4").astype(np.int64) for c in ("sizes", "lefts"))
+        codes = np.frombuffer(b"".join(map(zlib.decompress, table.column("codes").to_pylist())), dtype)
+        first, anchor, more = np.cumsum(sizes) - sizes, names >> U64(24), kind.length - kind.k
+        before = _reach(codes, first + lefts - 1, lefts, -1, more, anchor)
+        behind = _reach(codes, first + lefts + kind.k, sizes - lefts - kind.k, 1, more, anchor)
+        low, high = lefts - before, lefts + kind.k + behind
+        order = np.lexsort((ids, anchor))
+        order = order[(high - low)[order] >= kind.length]
+        string = lambda i: codes[first[i] + low[i] : first[i] + high[i]]
+        which, start, end = [], [], []
+        held: list[int] = []
+        volume = 0
+        for group in np.split(order, runs(anchor[order])[1:]) if len(order) else []:
+            owners: dict[bytes, int] = {}
+            twins = []  # of an owner, with the same id
+            for i in group.tolist():  # by ascending ids
+                other = owners.setdefault(string(i).tobytes(), i)
+                if ids[other] < ids[i]:
+                    which.append(i), start.append(low[i]), end.append(high[i])
+                elif other != i:
+                    twins.append(i)
+            if len(owners) > 1:
+                held += [*owners.values(), *twins]
+                volume += int((high - low)[list(owners.values())].sum())
+            if held and (volume >= most or group[-1] == order[-1]):
+                held.sort(key=lambda x: ids[x])
+                w, s, e = index([string(x) for x in held], ids[held])
+                w = np.array(held)[w]
+                which += w.tolist()
+                start += (s + low[w]).tolist()
+                end += (e + low[w]).tolist()
                 held, volume = [], 0
-        which, start, end = found
+        which, start, end = (np.array(x, np.int64) for x in (which, start, end))
         by = np.lexsort((ids[which], nodes[which]))
         which, start, end = which[by], start[by], end[by]
         spans = np.zeros(len(which), SPAN)
@@ -211,7 +272,7 @@ def _indexed(index, dtype: str, most: int):
     return f
 
 
-DONE = "id long, node long, n_removed long, n_spans long, kept binary"
+DONE = "id long, node long, n_removed long, n_spans long, kept string"
 
 
 def _removed(kind: Kind, keep: Callable[[np.ndarray, np.ndarray], bytes]):
@@ -221,10 +282,8 @@ def _removed(kind: Kind, keep: Callable[[np.ndarray, np.ndarray], bytes]):
         for batch in batches:
             out = []
             for id_, node, text, starts, ends, names, lows, spans in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True):
-                data = _bytes(text)
-                edge = np.zeros(len(kind.codes(data)) + 1, np.int64)
-                np.add.at(edge, np.frombuffer(starts, "<i4"), 1)
-                np.add.at(edge, np.frombuffer(ends, "<i4"), -1)
+                data = np.frombuffer(zlib.decompress(text), np.uint8)
+                edge = _edges(len(kind.codes(data)), np.frombuffer(starts, "<i4"), np.frombuffer(ends, "<i4"))
                 found = np.frombuffer(b"".join(spans or []), SPAN)
                 names, lows = np.frombuffer(names, "<u8"), np.frombuffer(lows, "<i4")
                 found = found[np.argsort(found["name"], kind="stable")]
@@ -233,9 +292,8 @@ def _removed(kind: Kind, keep: Callable[[np.ndarray, np.ndarray], bytes]):
                 base = np.repeat(lows, right - left)
                 np.add.at(edge, base + found["start"][which], 1)
                 np.add.at(edge, base + found["end"][which], -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                out.append((id_, node, int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum()), keep(data, ~gone)))
-            types = [pa.int64()] * 4 + [pa.binary()]
+                out.append((id_, node, *_without(kind, data, edge, keep)))
+            types = [pa.int64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[c.split()[0] for c in DONE.split(", ")])
 
     return f
@@ -253,15 +311,18 @@ def remove_repeats(documents: DataFrame, kind: Kind, index, dtype: str, most: in
     keyed = keyed.withColumn("node", F.xxhash64("text"))
     packed = keyed.select("id", "node", "text").mapInArrow(_anchor_rows(kind, parts), ANCHORS)
     judged = packed.groupBy("part").applyInArrow(_judge, JUDGED)
-    said = judged.groupBy("id", "node").agg(F.collect_list("covered").alias("covered"), F.collect_list("wanted").alias("wanted"))
-    touched = keyed.select("id", "node", "text").join(said, ["id", "node"])
-    worked = stored(touched.mapInArrow(_context_rows(kind, parts), WORKED), "contexts")
-    contexts = worked.filter(F.col("part").isNotNull()).select("part", "ids", "nodes", "names", "sizes", "codes")
-    spans = contexts.groupBy("part").applyInArrow(_indexed(index, dtype, most), SPANS)
+    said = stored(judged.groupBy("id", "node").agg(F.collect_list("covered").alias("covered"), F.collect_list("wanted").alias("wanted")), "judged")
+    # a broadcast of SLOTS numbers at most keeps most texts that share nothing out of the shuffle; the join is what decides
+    slot = F.pmod(F.xxhash64("id", "node"), F.lit(SLOTS)).alias("slot")
+    texts = keyed.select("id", "node", "text", slot).join(F.broadcast(said.select(slot).distinct()), "slot", "left_semi").drop("slot")
+    touched = texts.join(said, ["id", "node"])
+    worked = stored(touched.mapInArrow(_context_rows(kind, parts, keep), WORKED), "contexts")
+    contexts = worked.filter(F.col("part").isNotNull()).select("part", "ids", "nodes", "names", "sizes", "lefts", "codes")
+    spans = contexts.groupBy("part").applyInArrow(_indexed(index, dtype, most, kind), SPANS)
     spans = spans.groupBy("id", "node").agg(F.collect_list("spans").alias("spans"))
-    begun = worked.filter(F.col("part").isNull()).select("id", "node", "text", "starts", "ends", "names", "lows")
+    begun = worked.filter(F.col("text").isNotNull()).select("id", "node", "text", "starts", "ends", "names", "lows")
     done = begun.join(spans, ["id", "node"], "left").mapInArrow(_removed(kind, keep), DONE)
-    done = done.select("id", "node", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept")).dropDuplicates(["id", "node"])
+    done = done.union(worked.filter(F.col("kept").isNotNull()).select("id", "node", "n_removed", "n_spans", "kept")).dropDuplicates(["id", "node"])
     light = keyed.select("doc_id", "id", "node", F.md5("text").alias("digest"), size.alias("size"), F.sha2(whole, 256).alias("whole"))
     first = light.groupBy("digest").agg(F.min("id").alias("id")).withColumn("first", F.lit(True))
     copy = F.col("first").isNull() & (F.col("size") >= kind.length)

@@ -10,7 +10,7 @@ from gaugeframe.session import scratch_path
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write `df` below `spark.checkpoint.dir` and go on from the files: lineage is cut and a lost executor loses nothing."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

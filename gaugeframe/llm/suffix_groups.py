@@ -130,8 +130,8 @@ def joined_spans(which: np.ndarray, start: np.ndarray, length: int) -> tuple[np.
     return which[head], start[head], start[np.append(head[1:], len(which)) - 1] + length
 
 
-#: Anchors of 17 bytes: any 50 bytes hold 34 of them.
-KIND = Kind(symbols=lambda data: SYMBOLS[data], codes=lambda data: data, length=LENGTH, k=17)
+#: Anchors of 25 bytes: any 50 bytes hold 26 of them, and few are equal by chance.
+KIND = Kind(symbols=lambda data: SYMBOLS[data], codes=lambda data: data, length=LENGTH, k=25)
 
 
 def remove_repeated_bytes(documents: DataFrame) -> DataFrame:
