@@ -11,7 +11,7 @@ from gaugeframe.llm.storage import stored
 SHINGLE = 5
 PERCENT = 75
 BITS = 64
-#: At a similarity of 0.75 about 11 of 64 bits differ, with a standard deviation of 3: 23 is four of them away.
+#: Of `blocks` only; `matches` goes by no radius, as repeated shingles can put a match beyond any.
 RADIUS = 23
 #: Item shingles up to this count are broadcast (8 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
@@ -28,6 +28,11 @@ def shingle_hashes(tokens: Column, k: int) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
+def votes(column: str) -> Column:
+    """For each of 64 bits, how many more hashes of an array have it than lack it."""
+    return F.expr(f"transform(sequence(0, {BITS - 1}), b -> aggregate({column}, 0, (a, h) -> a + cast(shiftrightunsigned(h, b) & 1L as int) * 2 - 1))")
+
+
 def simhash(column: str) -> Column:
     """64 majority bits of an array of hashes; a shingle votes as often as it occurs."""
     return F.expr(
@@ -56,9 +61,9 @@ def matches(documents: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
     has a weighted shingle similarity of `percent` % or more: sum of the lesser over sum of the greater counts of five-word
     shingles (all words, if the item has fewer), in lower case. A document with fewer words is one window.
 
-    Windows are those that put a shared shingle at its place in the item; a window without a shared shingle has
-    similarity 0. SimHash fingerprints of windows and items of one size meet in one of 24 blocks of bits if they differ in
-    at most 23 bits, and those that do are compared by their counts.
+    Windows are all starts with as many shingles of the item, in any order, as that similarity takes; others cannot reach
+    it. Of these, a window is dropped if its SimHash differs from the item's in a bit whose votes a match cannot turn; the
+    rest are compared by their counts. Neither step loses a match, and no radius of bits decides.
 
     Null, empty and blank texts match nothing, on both sides. Rows equal in doc_id and text give one result; `node` is a
     hash of the text and tells rows with equal or null doc_ids apart. Equal items each match. Empty tables give an empty
@@ -66,39 +71,48 @@ def matches(documents: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
     """
     keyed = documents.select("doc_id", F.col("text")).withColumn("node", F.xxhash64("text"))
     sized = items.select("item_id", lower_words(F.col("text")).alias("words")).withColumn("n_words", F.size("words")).filter("n_words > 0")
-    sized = sized.withColumn("k", F.least("n_words", F.lit(SHINGLE)))
+    sized = sized.withColumn("k", F.least("n_words", F.lit(SHINGLE))).withColumn("item", F.xxhash64("words"))
     sizes = sorted(r[0] for r in sized.select("k").distinct().collect()) or [SHINGLE]  # five values at most
     by_size = lambda tokens, k: F.coalesce(*[F.when(k == s, shingle_hashes(tokens, s)) for s in sizes])
-    sized = sized.withColumn("item_hashes", by_size(F.col("words"), F.col("k")))
-    placed = sized.select("item_id", "n_words", "k", F.posexplode("item_hashes").alias("item_at", "hash"))
-    known = placed.select("hash").distinct()
-    if known.count() <= MOST_BROADCAST:
-        known = F.broadcast(known)
+    wanted = sized.dropDuplicates(["item"]).select("item", "n_words", "k", by_size(F.col("words"), F.col("k")).alias("item_hashes"))
+    placed = wanted.select("item", "n_words", "k", F.explode(F.array_distinct("item_hashes")).alias("hash"))
+    few = placed.count() <= MOST_BROADCAST
+    at_hand = F.broadcast if few else lambda df: df
     hits = None
     for k in sizes:
         tokens = keyed.select("doc_id", "node", lower_words(F.col("text")).alias("words"))
         here = tokens.select("doc_id", "node", F.size("words").alias("n"), F.posexplode(shingle_hashes(F.col("words"), k)).alias("at", "hash"))
-        here = here.join(known, "hash").withColumn("k", F.lit(k))
+        here = here.join(at_hand(placed.filter(F.col("k") == k)), "hash")
         hits = here if hits is None else hits.union(here)
-    start = F.greatest(F.least(F.col("at") - F.col("item_at"), F.col("n") - F.col("n_words")), F.lit(0))
-    windows = hits.join(placed, ["hash", "k"]).select("doc_id", "node", "n_words", "k", start.alias("start")).distinct()
-    per_document = windows.groupBy(F.col("doc_id").alias("id"), "node").agg(F.collect_list(F.struct("start", "n_words", "k")).alias("windows"))
+    # places are a set, as equal rows give each of them again
+    shared = hits.groupBy("doc_id", "node", "item", "n_words", "k").agg(F.max("n").alias("n"), F.sort_array(F.collect_set("at")).alias("at"))
+    shared = shared.withColumn("size", F.least("n", "n_words") - F.col("k") + 1)  # shingles of a window
+    shingles = F.col("size") + F.col("n_words") - F.col("k") + 1
+    need = F.greatest(F.lit(1), F.floor((shingles * percent + 99 + percent) / (100 + percent)).cast("int"))
+    shared = shared.withColumn("need", need).filter(F.size("at") >= F.col("need"))
+    # the starts whose windows hold places i to i + need - 1, without those of i - 1
+    last = "greatest(n - n_words, 0)"
+    spans = f"transform(sequence(0, size(at) - need), i -> struct(greatest(at[i + need - 1] - size + 1, 0, if(i > 0, least(at[i - 1], {last}) + 1, 0)) as a, least(at[i], {last}) as b))"
+    starts = F.expr(f"flatten(transform(filter({spans}, s -> s.a <= s.b), s -> sequence(s.a, s.b)))")
+    spread = shared.select("doc_id", "node", "k", F.struct("item", "n_words", "size", "need", starts.alias("starts")).alias("w"))
+    per_document = spread.filter(F.size("w.starts") > 0).groupBy(F.col("doc_id").alias("id"), "node", "k").agg(F.collect_list("w").alias("windows"))
     found = keyed.alias("d").join(per_document.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.id")) & (F.col("d.node") == F.col("w.node")))
-    found = found.select("d.doc_id", "d.node", lower_words(F.col("d.text")).alias("words"), F.explode("w.windows").alias("w"))
-    cut = found.select("doc_id", "node", "w.*", F.slice("words", F.col("w.start") + 1, F.col("w.n_words")).alias("words"))
-    cut = cut.withColumn("hashes", by_size(F.col("words"), F.col("k"))).drop("words", "k")
-    # written, as the optimizer would otherwise copy the whole expression of a mark into each of its blocks
+    # a document is split and hashed once: exploding keeps the optimizer from moving these into the expressions that use them
+    split = found.select("d.doc_id", "d.node", "w.windows", "w.k", F.explode(F.array(lower_words(F.col("d.text")))).alias("words"))
+    hashed = split.select("doc_id", "node", "windows", F.explode(F.array(by_size(F.col("words"), F.col("k")))).alias("all"))
+    held = F.expr("flatten(transform(windows, w -> transform(w.starts, s -> struct(w.item, w.n_words, w.size, w.need, s as start, slice(all, s + 1, w.size) as hashes))))")
+    cut = hashed.select("doc_id", "node", F.inline(held))
+    # written, as the optimizer would otherwise copy the whole expression of a mark into each of its uses
     marked = stored(cut.withColumn("mark", simhash("hashes")), "windows")
-    wanted = sized.select("item_id", "n_words", "item_hashes").withColumn("item_mark", simhash("item_hashes"))
-    left = marked.withColumn("blocks", blocks(F.col("mark"))).select("*", F.posexplode("blocks").alias("block", "value"))
-    right = wanted.withColumn("item_blocks", blocks(F.col("item_mark"))).select("*", F.posexplode("item_blocks").alias("block", "value"))
-    near = left.join(right, ["n_words", "block", "value"]).withColumn("hamming", F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))))
-    # a pair is kept in the first of the blocks that it shares
-    first = F.expr("array_position(zip_with(blocks, item_blocks, (x, y) -> x = y), true) - 1")
-    near = near.filter((F.col("hamming") <= RADIUS) & (F.col("block") == first))
+    wanted = wanted.select("item", "item_hashes", votes("item_hashes").alias("item_votes"), simhash("item_hashes").alias("item_mark"))
+    near = marked.join(at_hand(wanted), "item").withColumn("hamming", F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))))
+    near = near.withColumn("turned", F.col("size") + F.size("item_hashes") - 2 * F.col("need")).filter(
+        f"not exists(sequence(0, {BITS - 1}), b -> abs(item_votes[b]) > turned and (shiftrightunsigned(mark ^ item_mark, b) & 1L) = 1L)"
+    )
     both = near.withColumn("_both", overlap("hashes", "item_hashes")).withColumn("_all", F.size("hashes") + F.size("item_hashes") - F.col("_both"))
     alike = both.filter(F.col("_both") * 100 >= F.col("_all") * percent).withColumn("similarity", F.col("_both") / F.col("_all"))
-    best = alike.groupBy("doc_id", "node", "item_id").agg(F.max(F.struct("similarity", -F.col("start"), "n_words", "hamming")).alias("_m"))
+    best = alike.groupBy("doc_id", "node", "item").agg(F.max(F.struct("similarity", -F.col("start"), "n_words", "hamming")).alias("_m"))
+    best = best.join(sized.select("item_id", "item").distinct(), "item").groupBy("doc_id", "node", "item_id").agg(F.max("_m").alias("_m"))
     return best.select(
         "doc_id", "item_id", (-F.col("_m.col2")).cast("long").alias("start_word"), F.col("_m.n_words").cast("long").alias("n_words"),
         F.col("_m.hamming").alias("hamming"), F.col("_m.similarity").alias("similarity"), "node",

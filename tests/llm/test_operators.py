@@ -207,6 +207,17 @@ def test_benchmark_items_are_found(spark, edges, nothing):
     assert decontamination.matches(nothing, table).count() == 0 and decontamination.matches(edges, table.limit(0)).count() == 0
 
 
+def test_items_in_another_order_are_found(spark):
+    item = words(70, 40)
+    rows = [(1, " ".join(words(71, 30) + item[20:] + item[:20] + words(72, 30))), (2, " ".join(item[20:] + item[:20])), (3, " ".join(words(73, 9) + item[10:20])),
+            (4, " ".join("babababab" "ab")), (5, " ".join(item[2:])), (6, " ".join(words(74, 5) + item[:37] + item[:37]))]
+    items = [(1, " ".join(item)), (2, " ".join("abababababa"))]
+    out = decontamination.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = Counter((r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in out)
+    assert found == plain_matches(rows, items) and {(1, 1), (2, 1), (4, 2)} <= {k[:2] for k in found}
+    assert {r["doc_id"]: r["start_word"] for r in out}[1] == 30
+
+
 def test_hamming_blocks_meet_within_the_radius(spark):
     r = random.Random(5)
     pairs = []
