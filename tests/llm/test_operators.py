@@ -5,12 +5,14 @@ import itertools
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from gaugeframe.llm import automata, context_trees, decontamination, fingerprints, jaccard, language, mixing, native, sharding, suffix_groups, toxicity
 from tests.llm.conftest import edge_rows, words
 
@@ -289,6 +291,21 @@ def test_language_of_odd_texts(edges, nothing):
     assert {r["lang_pred"] for r in language.identify(edges, language.fit(nothing, F.lit(True))).collect()} == {"und"}
 
 
+def test_language_stage_drops_foreign_texts_only(spark):
+    clean = [(i, " ".join(words(500 + i, 60)), "en") for i in range(60)] + [(60, "ung", "en"), (61, "ok", None), (62, "thonre Ж", None)]
+    foreign = [(70, "Это русский текст о погоде и людях, и он не короткий", None), (71, "日本語の文章です。今日は天気がいい", "en"), (72, "xkqzj vwpqx zzkxj qjxkv wqxzk jjqkx vxzqw", "en")]
+    empty = [(80, "!!! 123", "en"), (81, None, "en"), (82, "", None)]
+    kept = lambda rows: sorted(r[0] for r in corpus_pipeline.known_language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect())
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    # foreign rows are held out or without a language, so that they are not learned
+    apart = [(r[0], r[1], r[2] if held(r[0]) else None) for r in foreign]
+    assert kept(clean + apart + empty) == [r[0] for r in clean]
+    unknown = [(d, t, None) for d, t, _ in clean + foreign + empty]
+    assert kept(unknown) == [r[0] for r in clean + foreign]
+    out = [(d, t, "en") for d, t, _ in clean if held(d)]
+    assert out and kept(out) == [r[0] for r in out]
+
+
 def test_forward_sums_all_segmentations():
     pieces = ["a", "ab", "b", "ba", "c"]
     lattice = language.Pieces(pieces)
