@@ -16,7 +16,7 @@ def rows():
     for _ in range(700):
         m, t, p = rng.integers(3), rng.integers(12), rng.choice(3, p=[0.6, 0.3, 0.1])
         score = 0.3 * m + 0.1 * np.sin(t) + 0.05 * p + rng.normal(0, 0.4)
-        out.append((f"m{m}", f"t{t}", f"p{p}", int(rng.integers(2)), float(rng.choice([0.0, 0.2])), "s", float(score)))
+        out.append((f"m{m}", f"t{t}", f"p{p}", int(rng.integers(2)), float(rng.choice([0.0, 0.2])), "pass_at_1", float(score)))
     return out
 
 
@@ -103,6 +103,13 @@ def test_binomial_and_cluster_errors(frame, rows):
     assert np.allclose([got[t] for t in fit.terms], want, rtol=1e-5)
 
 
+def test_rows_of_other_metrics_stay_out(frame):
+    other = frame.withColumns({"metric_name": F.lit("length"), "metric_value": F.lit(1.0)})
+    counts = lambda df: sorted(V.pass_fail_frame(df).groupBy("pass_fail").count().collect())
+    assert counts(frame.union(other)) == counts(frame)
+    assert V.pass_fail_frame(other).count() == 0
+
+
 def test_separation_is_flagged(spark):
     data = [("a", "p", "t", 0, 0.0, "pass_at_1", 1.0)] * 5 + [("b", "p", "t", 0, 0.0, "pass_at_1", float(i % 2)) for i in range(6)]
     df = spark.createDataFrame(
