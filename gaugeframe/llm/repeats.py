@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from gaugeframe.llm.arrays import U64, Ranges, binaries, minimizers, mixed, narrow, runs, widen
 from gaugeframe.llm.storage import parts_of, stored
 
-#: Bytes of an anchor's and a context's hash while they are compared; with the part they name both to over 80 bits.
+#: Bytes of an anchor's hash while anchors are compared; with the part they name it to over 50 bits. Contexts keep all 64.
 WIDTH = 5
 LAST = (1 << 63) - 1
 #: Numbers that documents are hashed to before texts are shuffled.
@@ -42,7 +42,10 @@ def _bytes(text: str | None) -> np.ndarray:
 
 
 def anchors(symbols: np.ndarray, kind: Kind) -> tuple[np.ndarray, ...]:
-    """Hash of each anchor, hash of its context, the context's start and end, and the anchor's place."""
+    """Hash of each anchor, hash of its context, the context's start and end, and the anchor's place.
+
+    The hash of a context covers its symbols and the anchor's place in it, so it names the anchor too.
+    """
     n, reach = len(symbols), kind.length - kind.k
     if n < kind.length:
         none = np.zeros(0, np.int64)
@@ -54,11 +57,6 @@ def anchors(symbols: np.ndarray, kind: Kind) -> tuple[np.ndarray, ...]:
     return values[at], mixed(ranges.of(low, high) + (at - low).astype(U64)), low, high, at
 
 
-def _names(anchor: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """One number for an anchor with its context, unique within a document."""
-    return ((anchor >> U64(24)) << U64(24)) | (context >> U64(40))
-
-
 def _part(anchor: np.ndarray, parts: int) -> np.ndarray:
     return ((anchor & U64(0xFFFF)) % U64(parts)).astype(np.int64)
 
@@ -89,7 +87,7 @@ def _anchor_rows(kind: Kind, parts: int):
             a, c, owner = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]), np.concatenate(owners)
             part = _part(a, parts)
             order = np.argsort(part, kind="stable")
-            part, a, c, owner = part[order], a[order] >> U64(24), c[order] >> U64(24), owner[order]
+            part, a, c, owner = part[order], a[order] >> U64(24), c[order], owner[order]
             cuts, out = np.searchsorted(part, np.arange(parts + 1)), []
             for p in range(parts):
                 x, y = cuts[p], cuts[p + 1]
@@ -98,7 +96,7 @@ def _anchor_rows(kind: Kind, parts: int):
                     first = runs(own)
                     held = once[own[first]]
                     counts = np.diff(np.append(first, y - x)).astype(np.int32)
-                    out.append((p, ids[held].tobytes(), nodes[held].tobytes(), counts.tobytes(), narrow(a[x:y], WIDTH), narrow(c[x:y], WIDTH)))
+                    out.append((p, ids[held].tobytes(), nodes[held].tobytes(), counts.tobytes(), narrow(a[x:y], WIDTH), c[x:y].astype("<u8").tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in out], pa.int32() if not i else pa.binary()) for i in range(6)], names=["part", "ids", "nodes", "counts", "anchors", "contexts"]
             )
@@ -117,7 +115,7 @@ def _judge(table: pa.Table) -> pa.Table:
     contexts, they are wanted for the index.
     """
     ids, nodes, counts = (_concat(table.column(c), t) for c, t in (("ids", "<i8"), ("nodes", "<i8"), ("counts", "<i4")))
-    a, c = widen(b"".join(table.column("anchors").to_pylist()), WIDTH), widen(b"".join(table.column("contexts").to_pylist()), WIDTH)
+    a, c = widen(b"".join(table.column("anchors").to_pylist()), WIDTH), _concat(table.column("contexts"), "<u8")
     owner = np.repeat(np.arange(len(ids)), counts)
     who = ids[owner]
     order = np.lexsort((who, c, a))
@@ -131,10 +129,9 @@ def _judge(table: pa.Table) -> pa.Table:
     covered = several & (who > spread(who[by_context], by_context))
     contexts = spread(np.add.reduceat(new.astype(np.int64), by_anchor), by_anchor)
     wanted = several & ~covered & (contexts > 1)
-    names = (a << U64(24)) | (c >> U64(16))
     keep = np.flatnonzero(covered | wanted)
     keep = keep[np.argsort(owner[keep], kind="stable")]
-    owner, names, covered = owner[keep], names[keep], covered[keep]
+    owner, names, covered = owner[keep], c[keep], covered[keep]
     head = runs(owner)
     held = owner[head]
 
@@ -145,7 +142,7 @@ def _judge(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(ids[held]), pa.array(nodes[held]), cells(covered), cells(~covered)], names=["id", "node", "covered", "wanted"])
 
 
-WORKED = "id long, node long, n_removed long, n_spans long, kept string, text binary, starts binary, ends binary, names binary, lows binary, part int, ids binary, nodes binary, sizes binary, lefts binary, codes binary"
+WORKED = "id long, node long, n_removed long, n_spans long, kept string, text binary, starts binary, ends binary, names binary, lows binary, part int, ids binary, nodes binary, anchors binary, sizes binary, lefts binary, codes binary"
 COLUMNS = [c.split() for c in WORKED.split(", ")]
 KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
 
@@ -175,8 +172,7 @@ def _context_rows(kind: Kind, parts: int, keep):
             for id_, node, text, covered, wanted in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
                 data = _bytes(text)
                 codes = kind.codes(data)
-                a, c, low, high, at = anchors(kind.symbols(data), kind)
-                names = _names(a, c)
+                a, names, low, high, at = anchors(kind.symbols(data), kind)
                 hit = np.isin(names, np.frombuffer(b"".join(covered), "<u8"))
                 want = np.isin(names, np.frombuffer(b"".join(wanted), "<u8"))
                 if not want.any():
@@ -187,10 +183,10 @@ def _context_rows(kind: Kind, parts: int, keep):
                              "names": names[want].astype("<u8").tobytes(), "lows": low[want].astype("<i4").tobytes()})
                 _, once = np.unique(names[want], return_index=True)
                 for i, p in zip(np.flatnonzero(want)[once], _part(a[want][once], parts), strict=True):
-                    packed.setdefault(int(p), []).append((id_, node, int(names[i]), codes[low[i] : high[i]], at[i] - low[i]))
+                    packed.setdefault(int(p), []).append((id_, node, int(names[i]), codes[low[i] : high[i]], at[i] - low[i], int(a[i] >> U64(24))))
             for p, held in packed.items():
                 rows.append({"part": p, "ids": np.array([h[0] for h in held], "<i8").tobytes(), "nodes": np.array([h[1] for h in held], "<i8").tobytes(),
-                             "names": np.array([h[2] for h in held], "<u8").tobytes(), "sizes": np.array([len(h[3]) for h in held], "<i4").tobytes(),
+                             "names": np.array([h[2] for h in held], "<u8").tobytes(), "anchors": np.array([h[5] for h in held], "<u8").tobytes(), "sizes": np.array([len(h[3]) for h in held], "<i4").tobytes(),
                              "lefts": np.array([h[4] for h in held], "<i4").tobytes(), "codes": zlib.compress(np.concatenate([h[3] for h in held]).tobytes(), 1)})
             yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], KINDS[t]) for c, t in COLUMNS], names=[c for c, _ in COLUMNS])
 
@@ -225,10 +221,10 @@ def _indexed(index, dtype: str, most: int, kind: Kind):
     """
 
     def f(table: pa.Table) -> pa.Table:
-        ids, nodes, names = (_concat(table.column(c), t) for c, t in (("ids", "<i8"), ("nodes", "<i8"), ("names", "<u8")))
+        ids, nodes, names, anchor = (_concat(table.column(c), t) for c, t in (("ids", "<i8"), ("nodes", "<i8"), ("names", "<u8"), ("anchors", "<u8")))
         sizes, lefts = (_concat(table.column(c), "<i4").astype(np.int64) for c in ("sizes", "lefts"))
         codes = np.frombuffer(b"".join(map(zlib.decompress, table.column("codes").to_pylist())), dtype)
-        first, anchor, more = np.cumsum(sizes) - sizes, names >> U64(24), kind.length - kind.k
+        first, more = np.cumsum(sizes) - sizes, kind.length - kind.k
         before = _reach(codes, first + lefts - 1, lefts, -1, more, anchor)
         behind = _reach(codes, first + lefts + kind.k, sizes - lefts - kind.k, 1, more, anchor)
         low, high = lefts - before, lefts + kind.k + behind
@@ -317,7 +313,7 @@ def remove_repeats(documents: DataFrame, kind: Kind, index, dtype: str, most: in
     texts = keyed.select("id", "node", "text", slot).join(F.broadcast(said.select(slot).distinct()), "slot", "left_semi").drop("slot")
     touched = texts.join(said, ["id", "node"])
     worked = stored(touched.mapInArrow(_context_rows(kind, parts, keep), WORKED), "contexts")
-    contexts = worked.filter(F.col("part").isNotNull()).select("part", "ids", "nodes", "names", "sizes", "lefts", "codes")
+    contexts = worked.filter(F.col("part").isNotNull()).select("part", "ids", "nodes", "names", "anchors", "sizes", "lefts", "codes")
     spans = contexts.groupBy("part").applyInArrow(_indexed(index, dtype, most, kind), SPANS)
     spans = spans.groupBy("id", "node").agg(F.collect_list("spans").alias("spans"))
     begun = worked.filter(F.col("text").isNotNull()).select("id", "node", "text", "starts", "ends", "names", "lows")

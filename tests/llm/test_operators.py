@@ -92,6 +92,27 @@ def test_repeated_bytes(edges, nothing):
     assert suffix_groups.remove_repeated_bytes(nothing).count() == 0
 
 
+def test_thousands_of_occurrences_of_one_anchor(spark):
+    """A line that one document repeats in 12,000 different surroundings: each occurrence has its own context."""
+    r = random.Random(17)
+    line = "".join(r.choice("abcdefghij ") for _ in range(87))
+    rows = [(d, "".join(line + "".join(r.choices("klmnopqrstuvwxyz", k=30)) for _ in range(12_000))) for d in (1, 2)]
+    out = suffix_groups.remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"))
+    first = rows[0][1]
+    known = {first[i : i + 50] for i in range(len(first) - 49)}
+    text = rows[1][1]
+    edge = np.zeros(len(text) + 1, np.int64)
+    for i in range(len(text) - 49):
+        if text[i : i + 50] in known:
+            edge[i] += 1
+            edge[i + 50] -= 1
+    kept = np.cumsum(edge[:-1]) == 0
+    got = {x.doc_id: x for x in out.collect()}
+    assert got[1].n_removed == 0
+    assert got[2].n_removed == len(text) - kept.sum()
+    assert got[2].kept_sha256 == hashlib.sha256(np.frombuffer(text.encode(), np.uint8)[kept].tobytes()).hexdigest()
+
+
 def test_repeated_words(edges, nothing):
     out = automata.remove_repeated_words(edges)
     assert Counter(tuple(r) for r in out.collect()) == plain_removal(ROWS, lambda t: t.encode().split(), b" ".join)
