@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeframe.llm import automata, context_trees, decontamination, fingerprints, jaccard, language, mixing, native, sharding, suffix_groups, toxicity
+from gaugeframe.llm import automata, context_trees, decontamination, fingerprints, jaccard, language, mixing, native, re_pair, sharding, suffix_groups, toxicity
 from gaugeframe.llm.storage import parts_of
 from gaugeframe.llm.tables import table
+from gaugeframe.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +126,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.fit(documents.filter(~out).select("doc_id", "text").join(labels, "doc_id"))
     return toxicity.score(documents.select("doc_id", out.alias("held_out"), "text"), model).drop("text")
+
+
+@query("op12_token_files")
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-ids")
+    re_pair.write_ids(table(spark, sf_dir, "documents"), path, re_pair.public_model(), end=2)
+    return re_pair.document_digests(spark, path)
