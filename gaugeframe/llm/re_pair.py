@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from gaugeframe.llm.storage import stored
+
 #: Ids of a shard, the id that ends a document, and how often a pair stands in a shard before a rule replaces it.
 SHARD = 1 << 19
 END = 2
@@ -28,7 +30,7 @@ LEAST = 6
 #: Rounds end when one would replace less than this share of the sequence.
 GAIN = 0.01
 #: Different words whose ids a task keeps, and bytes of text it encodes at a time.
-KNOWN = 1_000_000
+KNOWN = 1_500_000
 TEXT_BYTES = 1 << 22
 
 FILES = (
@@ -160,24 +162,34 @@ class WordIds:
     """Ids of texts by a tokenizer that drops white space, each different word encoded once.
 
     White space (blank, tab, line ends) separates words for such a tokenizer, so a text's ids are those of its words in a row.
-    Words are encoded many at a time, with a special token of the tokenizer between them.
+    Words are encoded many at a time. Plain ones (A-Z and a-z alone) are told apart by the ids that end a word, others by a
+    special token of the tokenizer that is set between them.
     """
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        known = json.loads(model)
         self.encode = Tokenizer.from_str(model).encode_batch_fast
-        mark = next((t for t in json.loads(model)["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"])), None)
+        mark = next((t for t in known["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"])), None)
         self.mark, self.mark_id = (mark["content"], mark["id"]) if mark else (None, None)
+        suffix, words = known["model"].get("end_of_word_suffix"), known["model"]["vocab"]
+        self.ends = np.zeros(1 + max([*words.values(), *[t["id"] for t in known["added_tokens"]]]), bool)
+        self.ends[[i for w, i in words.items() if suffix and w.endswith(suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.size, self.first, self.flat, self.filled = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.int32), 0
 
-    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _ids(self, words: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
         """(ids in a row, how many each word has)."""
+        if plain:
+            flat = np.array(self.encode([" ".join(words)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.ends[flat])
+            if len(ends) == len(words) and ends[-1] == len(flat) - 1:
+                return flat, np.diff(ends, prepend=-1)
         if self.mark is None or any(self.mark[:2] in w for w in words):
             ids = [e.ids for e in self.encode(words, add_special_tokens=False)]
             return np.fromiter((t for e in ids for t in e), np.int32), np.array([len(e) for e in ids], np.int64)
@@ -187,8 +199,11 @@ class WordIds:
 
     def _learn(self, words: list[str]) -> None:
         sizes = [self.size]
-        for i in range(0, len(words), 1024):
-            flat, size = self._ids(words[i : i + 1024])
+        kinds = [w for w in words if w.isascii() and w.isalpha()], [w for w in words if not (w.isascii() and w.isalpha())]
+        words = kinds[0] + kinds[1]
+        pieces = [(k[i : i + 1024], k is kinds[0]) for k in kinds for i in range(0, len(k), 1024)]
+        for some, plain in pieces:
+            flat, size = self._ids(some, plain)
             if self.filled + len(flat) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(flat)), np.int32)])
             self.flat[self.filled : self.filled + len(flat)] = flat
@@ -381,7 +396,8 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row for a written file
     parts = parts.select("part", F.coalesce(F.sum("n").over(earlier(F.lit(0), "part")), F.lit(0)).alias("base"))
     starts = inside.join(parts, "part").select("part", "shard", (F.col("base") + F.col("before")).alias("first"))
-    placed = shards.mapInArrow(_digests, PIECES).join(starts, ["part", "shard"]).withColumn("start", F.col("first") + F.col("offset"))
+    pieces = stored(shards.mapInArrow(_digests, PIECES), "pieces")  # two branches read them, so that files are decoded once
+    placed = pieces.join(starts, ["part", "shard"]).withColumn("start", F.col("first") + F.col("offset"))
     columns = ["doc_id", "start", "n_tokens", "ids_crc32"]
     whole = placed.filter("whole").withColumnRenamed("crc", "ids_crc32").select(*columns)
     cut = placed.filter("NOT whole").groupBy("part", "doc").agg(
