@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeframe.llm import automata, context_trees, decontamination, fingerprints, jaccard, language, mixing, native, re_pair, sharding, suffix_groups, toxicity
+from gaugeframe.llm import automata, context_trees, decontamination, fingerprints, jaccard, language, mixing, native, re_pair, sharding, suffix_groups, toxicity, turn_repair
 from gaugeframe.llm.storage import parts_of
 from gaugeframe.llm.tables import table
 from gaugeframe.session import scratch_path
@@ -133,3 +133,9 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-ids")
     re_pair.write_ids(table(spark, sf_dir, "documents"), path, re_pair.public_model(), end=2)
     return re_pair.document_digests(spark, path)
+
+
+@query("op13_turn_repair")
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turn_repair.damaged(table(spark, sf_dir, "conversations"))
+    return turn_repair.repair(rows, F.col("dropped")).summary
