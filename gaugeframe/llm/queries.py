@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeframe.llm import automata, context_trees, decontamination, fingerprints, jaccard, language, mixing, native, re_pair, sharding, suffix_groups, toxicity, turn_repair
+from gaugeframe.llm import automata, context_trees, decontamination, fingerprints, jaccard, language, mixing, native, re_pair, sharding, spelling, suffix_groups, toxicity, turn_repair
 from gaugeframe.llm.storage import parts_of
 from gaugeframe.llm.tables import table
 from gaugeframe.session import scratch_path
@@ -128,6 +128,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents.select("doc_id", out.alias("held_out"), "text"), model).drop("text")
 
 
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.misspelt_words(table(spark, sf_dir, "documents"))
+    return spelling.variants(spelling.common(words))
+
+
 @query("op12_token_files")
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-ids")
