@@ -33,6 +33,9 @@ from gaugeframe.session import cut_lineage
 
 # distinct values per group up to which resampling by counts keeps them in one array
 MAX_DISTINCT = 10_000
+# values of a block that draws look up, and rows up to which all blocks are sent to the draws (8 MB of doubles)
+BLOCK = 4096
+LOCAL_ROWS = 1_000_000
 
 
 def bootstrap_statistics(
@@ -46,17 +49,28 @@ def bootstrap_statistics(
 ) -> DataFrame:
     """(by…, iteration, stat): every iteration redraws all rows of its group with replacement.
 
-    Draws are joined to rows on a dense index, so the work is n_bootstrap x rows, spread evenly.
-    ``statistic`` is any aggregate of a column.
+    Rows lie in blocks of ``BLOCK`` values by a dense index, and a draw looks its value up in its block. Where all rows are few,
+    the blocks go to the draws and no draw is shuffled; otherwise the draws go to their blocks. Work is n_bootstrap x rows,
+    spread evenly. ``statistic`` is any aggregate of a column.
     """
     by = by or []
     rows = df.filter(F.col(value).isNotNull())
     indexed = dense_index(rows.select(*dict.fromkeys([*by, *id_cols, value])), id_cols, by)
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut_lineage(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")))
+    blocks = value_blocks(indexed, value, by)
+    few = (sizes.agg(F.sum("n").alias("n")).first().n or 0) <= LOCAL_ROWS
+    blocks = F.broadcast(blocks) if few else blocks.hint("shuffle_hash")
     draws = index_draws(sizes, by, n_bootstrap, seed)
-    return draws.join(indexed.select(*by, "idx", value), [*by, "idx"]).groupBy(*by, "iteration").agg(
-        statistic(value).alias("stat")
-    )
+    placed = draws.select(*by, "iteration", F.floor(F.col("idx") / BLOCK).alias("_block"), (F.col("idx") % BLOCK).cast("int").alias("_at"))
+    drawn = placed.join(blocks, [*by, "_block"]).select(*by, "iteration", F.col("_values")[F.col("_at")].alias(value))
+    return drawn.groupBy(*by, "iteration").agg(statistic(value).alias("stat"))
+
+
+def value_blocks(indexed: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by…, _block, _values): values of ``BLOCK`` consecutive positions ``idx`` in an array."""
+    keyed = indexed.select(*by, F.floor(F.col("idx") / BLOCK).alias("_block"), F.struct("idx", F.col(value).alias("v")).alias("_v"))
+    packed = keyed.groupBy(*by, "_block").agg(F.array_sort(F.collect_list("_v")).alias("_sorted"))
+    return packed.select(*by, "_block", F.col("_sorted.v").alias("_values"))
 
 
 def resampled_means_by_counts(
