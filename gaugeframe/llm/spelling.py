@@ -21,8 +21,8 @@ from gaugeframe.llm.storage import stored
 SYMBOLS = 8
 #: Words of a block: those of a reduced word that many words share are compared block by block, in different tasks.
 BLOCK = 256
-#: Letters that are compared at once.
-CELLS = 1 << 21
+#: Pairs of words that are looked at, and letters that are compared, at once.
+PAIRS, CELLS = 1 << 19, 1 << 21
 #: Rows of a generated batch.
 ROWS = 1 << 17
 SHORTEST, FEWEST, FAR_MORE = 6, 5, 5
@@ -120,54 +120,68 @@ def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- comparison of words ----
 
 
-def one_edit(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray) -> np.ndarray:
-    """Whether words differ by one edit; a and b are rows of code points, filled with zeros on the right."""
-    width = a.shape[1]
-    place = np.arange(width)[None, :]
-    both = place < np.minimum(a_size, b_size)[:, None]
-    same = (a == b) & both
-    front = np.where(same.all(axis=1), width, (~same).argmax(axis=1))
-    moved = lambda x, size: np.take_along_axis(x, np.maximum(size[:, None] - 1 - place, 0), axis=1)
-    same = (moved(a, a_size) == moved(b, b_size)) & both
-    back = np.where(same.all(axis=1), width, (~same).argmax(axis=1))
+def one_edit(letters: np.ndarray, a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Whether the words that begin at places a and b of `letters` differ by one edit: what they share in front and behind leaves one letter."""
     longer, shorter = np.maximum(a_size, b_size), np.minimum(a_size, b_size)
-    equal = (a_size == b_size) & (front >= a_size)
-    return ~equal & (longer - shorter <= 1) & (front + back >= longer - 1)
+    place = np.arange(int(shorter.max(initial=0)))[None, :]
+    both = place < shorter[:, None]
 
+    def shared(x: np.ndarray, y: np.ndarray, step: int) -> np.ndarray:
+        same = (letters[np.where(both, x[:, None] + step * place, 0)] == letters[np.where(both, y[:, None] + step * place, 0)]) & both
+        return np.where(same.all(axis=1), shorter, (~same).argmax(axis=1)) if place.size else shorter
 
-NEAR = "word string, n_near long, form struct<n: long, word: string>"
+    front, back = shared(a, b, 1), shared(a + a_size - 1, b + b_size - 1, -1)
+    return (longer - shorter <= 1) & (front + back >= longer - 1) & ~((a_size == b_size) & (front == a_size))
 
 
-def _matrix(words: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(w) for w in words], np.int64)
-    out = np.zeros((len(words), width), np.uint32)
-    out[np.arange(width)[None, :] < sizes[:, None]] = _letters("".join(words))
-    return out, sizes
+class Words:
+    """The words of a list column, one after another."""
+
+    def __init__(self, column: pa.ListArray):
+        self.words = column.flatten()
+        held = self.words.to_pylist()
+        self.letters = _letters("".join(held))
+        self.size = np.array([len(w) for w in held], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        lists = np.diff(column.offsets.to_numpy())
+        self.lists, self.first = lists, np.cumsum(lists) - lists
+        # an edit changes the first three letters of a word or the last three, not both, if the word has six
+        packed = lambda at: sum(self.letters[at + i].astype(np.int64) << (21 * i) for i in range(3))
+        long_ = self.size >= SHORTEST
+        self.head, self.tail = np.zeros(len(held), np.int64), np.zeros(len(held), np.int64)
+        self.head[long_], self.tail[long_] = packed(self.begin[long_]), packed((self.begin + self.size)[long_] - 3)
+
+
+NEAR = "word string, other string, n long"
 
 
 def _compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For two blocks of words a row: of each word of the first, how many of the second are near and the most frequent of them."""
+    """Near words (word, other, count of other) from rows with two blocks of words and the counts of the second."""
     for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(4)]
-        out: list[tuple] = []
-        for words, counts, others, other_counts in zip(*columns, strict=True):
-            width = 1 + max(map(len, words + others))
-            b, b_size = _matrix(others, width)
-            n_b, step = np.array(other_counts, np.int64), max(1, CELLS // (width * len(others)))
-            for i in range(0, len(words), step):
-                a, a_size = _matrix(words[i : i + step], width)
-                # sizes first: what differs by more than one letter in length is never laid side by side
-                x, y = np.nonzero(np.abs(a_size[:, None] - b_size[None, :]) <= 1)
-                near = one_edit(a[x], a_size[x], b[y], b_size[y])
-                x, y = x[near], y[near]
-                for p, q in zip(np.split(x, runs(x)[1:]), np.split(y, runs(x)[1:]), strict=True):
-                    if len(p):
-                        most = q[n_b[q] == n_b[q].max()]
-                        out.append((words[i + p[0]], len(q), {"n": int(n_b[q].max()), "word": min((others[k] for k in most), key=lambda w: [*map(ord, w)])}))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.struct([("n", pa.int64()), ("word", pa.string())]))],
-            names=["word", "n_near", "form"],
-        )
+        a, b = Words(batch.column(0)), Words(batch.column(1))
+        letters = np.concatenate([a.letters, b.letters])
+        pairs = a.lists * b.lists
+        # some rows at a time, and of these some pairs at a time
+        row_cuts = runs(np.cumsum(pairs) // PAIRS)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for low, high in zip(row_cuts, np.append(row_cuts[1:], len(pairs)), strict=True):
+            row = np.repeat(np.arange(low, high), pairs[low:high])
+            k = np.arange(len(row)) - np.repeat(np.cumsum(pairs[low:high]) - pairs[low:high], pairs[low:high])
+            x, y = a.first[row] + k // b.lists[row], b.first[row] + k % b.lists[row]
+            shorter = np.minimum(a.size[x], b.size[y])
+            maybe = (np.abs(a.size[x] - b.size[y]) <= 1) & ((a.head[x] == b.head[y]) | (a.tail[x] == b.tail[y]) | (shorter < SHORTEST))
+            x, y, shorter = x[maybe], y[maybe], shorter[maybe]
+            order = np.argsort(shorter, kind="stable")
+            x, y, shorter = x[order], y[order], shorter[order]
+            # words of about one length together, so that none is laid out in the width of a far longer one
+            cuts = runs((np.cumsum(shorter) // CELLS) * 64 + np.ceil(np.log2(shorter + 1)).astype(np.int64))
+            for i, j in zip(cuts, np.append(cuts[1:], len(x)), strict=True):
+                p, q = x[i:j], y[i:j]
+                near = one_edit(letters, a.begin[p], a.size[p], len(a.letters) + b.begin[q], b.size[q])
+                found.append((p[near], q[near]))
+        if found:
+            x, y = (np.concatenate(v) for v in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([a.words.take(pa.array(x)), b.words.take(pa.array(y)), batch.column(2).flatten().take(pa.array(y))], names=["word", "other", "n"])
 
 
 def near_words(vocabulary: DataFrame) -> DataFrame:
@@ -185,10 +199,10 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     pairs = near.join(classes.select(F.col("key").alias("other")), "other", "left_semi")
     first = blocks.select("key", F.col("held").alias("a"))
     second = blocks.select(F.col("key").alias("other"), F.col("held").alias("b"))
-    sides = pairs.join(first, "key").join(second, "other").select(F.col("a.word").alias("a"), F.col("a.n").alias("a_n"), F.col("b.word").alias("b"), F.col("b.n").alias("b_n"))
+    sides = pairs.join(first, "key").join(second, "other").select(F.col("a.word").alias("a"), F.col("b.word").alias("b"), F.col("b.n").alias("b_n"))
     found = sides.mapInArrow(_compared, NEAR)
-    best = F.min(F.struct((-F.col("form.n")).alias("n"), F.col("form.word").alias("word"))).alias("best")
-    merged = found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best)
+    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("other").alias("word"))).alias("best")
+    merged = found.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best)
     return merged.select("word", "n_near", F.struct((-F.col("best.n")).alias("n"), F.col("best.word").alias("word")).alias("form"))
 
 
