@@ -34,7 +34,8 @@ from gaugeframe.session import cut_lineage
 # distinct values per group up to which resampling by counts keeps them in one array
 MAX_DISTINCT = 10_000
 # values of a block that draws look up, and rows up to which all blocks are sent to the draws (8 MB of doubles)
-BLOCK = 4096
+BLOCK_BITS = 12
+BLOCK = 1 << BLOCK_BITS
 LOCAL_ROWS = 1_000_000
 
 
@@ -61,14 +62,14 @@ def bootstrap_statistics(
     few = (sizes.agg(F.sum("n").alias("n")).first().n or 0) <= LOCAL_ROWS
     blocks = F.broadcast(blocks) if few else blocks.hint("shuffle_hash")
     draws = index_draws(sizes, by, n_bootstrap, seed)
-    placed = draws.select(*by, "iteration", F.floor(F.col("idx") / BLOCK).alias("_block"), (F.col("idx") % BLOCK).cast("int").alias("_at"))
+    placed = draws.select(*by, "iteration", F.shiftright("idx", BLOCK_BITS).alias("_block"), F.col("idx").bitwiseAND(BLOCK - 1).cast("int").alias("_at"))
     drawn = placed.join(blocks, [*by, "_block"]).select(*by, "iteration", F.col("_values")[F.col("_at")].alias(value))
     return drawn.groupBy(*by, "iteration").agg(statistic(value).alias("stat"))
 
 
 def value_blocks(indexed: DataFrame, value: str, by: list[str]) -> DataFrame:
     """(by…, _block, _values): values of ``BLOCK`` consecutive positions ``idx`` in an array."""
-    keyed = indexed.select(*by, F.floor(F.col("idx") / BLOCK).alias("_block"), F.struct("idx", F.col(value).alias("v")).alias("_v"))
+    keyed = indexed.select(*by, F.shiftright("idx", BLOCK_BITS).alias("_block"), F.struct("idx", F.col(value).alias("v")).alias("_v"))
     packed = keyed.groupBy(*by, "_block").agg(F.array_sort(F.collect_list("_v")).alias("_sorted"))
     return packed.select(*by, "_block", F.col("_sorted.v").alias("_values"))
 

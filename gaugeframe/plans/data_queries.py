@@ -910,27 +910,19 @@ def _finish(query):
 def s1(spark, sf):
     path, schema = _log_files(spark, sf, newest_first=True)
     out = scratch_path(spark, "latest")
-    stream = ST.stream_latest(ST.read_log_stream(spark, path, schema, 1))
-
-    def keep(batch, epoch):
-        batch.write.mode("overwrite").parquet(f"{out}/trigger={epoch}")
-
-    _finish(
-        stream.writeStream.outputMode("update").option("checkpointLocation", scratch_path(spark, "state")).foreachBatch(keep)
-        .trigger(availableNow=True).start()
-    )
-    # the newest update of a cell is its state
-    updates = spark.read.parquet(out)
-    rest = [c for c in updates.columns if c not in ("cell_id", "trigger")]
-    final = updates.groupBy("cell_id").agg(F.max_by(F.struct(*rest), "trigger").alias("r")).select("cell_id", "r.*")
-    return final.select("cell_id", "status", "seq", micros("executed_at", "ts_us"))
+    stream = ST.read_log_stream(spark, path, schema, 1)
+    _finish(ST.start_latest(stream, out, scratch_path(spark, "state"), buckets=16).trigger(availableNow=True).start())
+    return ST.read_latest(spark, out, ST.stream_latest(stream).schema).select("cell_id", "status", "seq", micros("executed_at", "ts_us"))
 
 
 @query(
     "s2_stream_throughput",
-    """SELECT epoch_us(date_trunc('day', executed_at)) AS window_us, count(*) FILTER (WHERE status = 'completed') AS completed,
-    count(*) FILTER (WHERE status = 'failed') AS failed FROM log
-    WHERE date_trunc('day', executed_at) + INTERVAL 1 DAY <= (SELECT max(executed_at) - INTERVAL 1 HOUR FROM log) GROUP BY 1""",
+    """WITH placed AS (SELECT cell_id, status, date_trunc('day', executed_at) AS day,
+      lead(executed_at) OVER (PARTITION BY cell_id ORDER BY executed_at, seq) AS next_at,
+      row_number() OVER (PARTITION BY cell_id, date_trunc('day', executed_at) ORDER BY executed_at DESC, seq DESC) AS age FROM log)
+    SELECT epoch_us(day) AS window_us, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed
+    FROM placed WHERE age = 1 AND (next_at IS NULL OR next_at >= day + INTERVAL 25 HOUR)
+      AND day + INTERVAL 1 DAY <= (SELECT max(day) - INTERVAL 1 HOUR FROM placed) GROUP BY 1""",
 )
 def s2(spark, sf):
     path, schema = _log_files(spark, sf, newest_first=False)
@@ -950,6 +942,4 @@ def s3(spark, sf):
     stream = ST.read_log_stream(spark, path, schema, 1)
     writer = ST.start_status(stream, expected(spark, sf), f"{NOW}Z", out, scratch_path(spark, "state"))
     _finish(writer.trigger(availableNow=True).start())
-    updates = spark.read.parquet(out)
-    last = updates.agg(F.max("trigger").alias("trigger"))
-    return updates.join(F.broadcast(last), "trigger").drop("trigger")
+    return ST.read_status(spark, out)
