@@ -101,14 +101,11 @@ def index_draws(
     last = F.least(first + half, F.floor((n + 1) / 2)) - 1
     pairs = chunks.withColumn("_pair", F.explode(F.sequence(first, last)))
     hashed = pairs.withColumn("_h", digest(F.col("_seed"), *by_cols(by), F.col("iteration"), F.col("_pair")))
-    both = F.array(
-        F.substring("_h", 1, HEX_DIGITS), F.substring("_h", SECOND_AT, HEX_DIGITS)
-    )
-    one = F.array(F.substring("_h", 1, HEX_DIGITS))
+    # numbers are read inside the array, so that a later filter on idx does not read them again
+    number = lambda at: hex_to_long(F.substring("_h", at, HEX_DIGITS)) % n
     full = F.col("_pair") * 2 + 1 < n
-    return hashed.withColumn("_x", F.explode(F.when(full, both).otherwise(one))).select(
-        *by, "iteration", (hex_to_long(F.col("_x")) % n).alias("idx")
-    )
+    drawn = F.when(full, F.array(number(1), number(SECOND_AT))).otherwise(F.array(number(1)))
+    return hashed.select(*by, "iteration", F.explode(drawn).alias("idx"))
 
 
 def by_cols(by: list[str]) -> list[Column]:
