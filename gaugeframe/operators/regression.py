@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeframe.functions import tails
+from gaugeframe.operators import least_squares
 from gaugeframe.operators.variance import (
     cliffs_delta,
     cohens_d,
@@ -85,21 +86,18 @@ def _level_order(levels: list[str]) -> list[str]:
         return sorted(levels)
 
 
-def _anova_inputs(df: DataFrame, by: str | None, value: str, summary: DataFrame | None):
+def _used_facets(df: DataFrame, g: DataFrame, key: Column) -> tuple[list[str], dict[str, int]]:
+    """Facets with two levels at least, and the numbers of levels."""
+    single = g.filter("f0 IS NOT NULL AND f1 IS NULL").select(key, F.col("f0").alias("f"), F.col("l0").alias("l"))
+    sizes = {r.f: r.k for r in single.groupBy("f").agg(F.countDistinct("l").alias("k")).collect()}
+    return [f for f in present_facets(df) if sizes.get(f, 0) > 1], sizes
+
+
+def _anova_inputs(df: DataFrame, g: DataFrame, key: Column, used: list[str], sizes: dict[str, int]):
     """Per stratum: counts and sums of the small facets, raw and with the largest facet eliminated."""
-    facets = present_facets(df)
-    strata = [by] if by else []
-    g = gram(df, facets, strata, value) if summary is None else summary
-    key = (F.col(by).cast("string") if by else F.lit("all")).alias("key")
     single = g.filter("f0 IS NOT NULL AND f1 IS NULL").select(key, F.col("f0").alias("f"), F.col("l0").alias("l"), "n", "mean", "var")
-    sizes = {r.f: r.k for r in single.groupBy("f").agg(F.countDistinct("l").alias("k")).collect()}
-    used = [f for f in facets if sizes.get(f, 0) > 1]
-    if not used:
-        return None
     largest = max(used, key=lambda f: sizes[f])
     small = [f for f in used if f != largest]
-    if sum(sizes[f] for f in small) > MAX_COEFFICIENTS:
-        raise ValueError(f"the facets beside {largest} have more than {MAX_COEFFICIENTS} levels together")
     level_rows = single.filter(F.col("f").isin(*small)).toPandas() if small else pd.DataFrame(columns=["key", "f", "l", "n", "mean"])
     columns = [(f, l) for f in small for l in _level_order(level_rows.loc[level_rows.f == f, "l"].unique().tolist())]
     total = g.filter("f0 IS NULL").select(key, "n", "mean", "var").toPandas().set_index("key")
@@ -145,7 +143,7 @@ def _anova_inputs(df: DataFrame, by: str | None, value: str, summary: DataFrame
         wanted = spark.createDataFrame(list(firsts.items()), "key string, t string")
         for r in vectors.join(F.broadcast(wanted), ["key", "t"]).collect():
             base_rows[r.key] = np.asarray(r.x[:-1])
-    return used, largest, small, columns, total, big_ss, counts, sums, eliminated, base_rows
+    return largest, small, columns, total, big_ss, counts, sums, eliminated, base_rows
 
 
 def _explained(a: np.ndarray, b: np.ndarray, keep: list[int]) -> tuple[float, int, np.ndarray]:
@@ -175,10 +173,14 @@ def anova(
     enters the total that omega squared is taken from.
     """
     spark = df.sparkSession
-    inputs = _anova_inputs(df, by, value, summary)
-    if inputs is None:
+    g = gram(df, present_facets(df), [by] if by else [], value) if summary is None else summary
+    stratum = (F.col(by).cast("string") if by else F.lit("all")).alias("key")
+    used, sizes = _used_facets(df, g, stratum)
+    if not used:
         return spark.createDataFrame([], ANOVA_SCHEMA)
-    used, largest, small, columns, total, big_ss, counts, sums, eliminated, base_rows = inputs
+    if sum(sizes[f] for f in used) - max(sizes[f] for f in used) > MAX_COEFFICIENTS:
+        return spark.createDataFrame(_anova_by_gradients(g, stratum, used, sizes, anova_type), ANOVA_SCHEMA)
+    largest, small, columns, total, big_ss, counts, sums, eliminated, base_rows = _anova_inputs(df, g, stratum, used, sizes)
     size = len(columns)
     out = []
     for key, t in total.iterrows():
@@ -220,18 +222,58 @@ def anova(
             estimate = first["mean"] + (float(gap @ inverse @ b) if size else 0.0)
             scale = 1.0 / first["n"] + (float(gap @ inverse @ gap) if size else 0.0)
             rows.insert(0, ("Intercept", estimate * estimate / scale, 1, True))
-        mse = sse / df_error if df_error > 0 else 0.0
-        table_total = sum(r[1] for r in rows) + sse
-        for term, ss, df_f, intercept in rows:
-            usable = mse > 0 and df_error > 0
-            f_stat = ss / df_f / mse if usable else None
-            p = float(tails.f_sf(max(f_stat, 0.0), df_f, df_error)) if usable else None
-            eta = ss / (ss + sse) if ss + sse > 0 else 0.0
-            omega = max((ss - df_f * mse) / (table_total + mse), 0.0) if table_total + mse > 0 else 0.0
-            out.append((str(key), term, f"anova_type_{anova_type}", float(ss), float(df_f), f_stat, p, float(eta), float(omega), intercept))
+        out += _anova_rows(key, rows, sse, df_error, anova_type)
     return spark.createDataFrame(out, ANOVA_SCHEMA)
 
 
+def _anova_rows(key: str, rows: list[tuple], sse: float, df_error: float, anova_type: int) -> list[tuple]:
+    """Table rows of a stratum from (term, sum of squares, df, is the intercept)."""
+    out = []
+    mse = sse / df_error if df_error > 0 else 0.0
+    table_total = sum(r[1] for r in rows) + sse
+    for term, ss, df_f, intercept in rows:
+        usable = mse > 0 and df_error > 0
+        f_stat = ss / df_f / mse if usable else None
+        p = float(tails.f_sf(max(f_stat, 0.0), df_f, df_error)) if usable else None
+        eta = ss / (ss + sse) if ss + sse > 0 else 0.0
+        omega = max((ss - df_f * mse) / (table_total + mse), 0.0) if table_total + mse > 0 else 0.0
+        out.append((str(key), term, f"anova_type_{anova_type}", float(ss), float(df_f), f_stat, p, float(eta), float(omega), intercept))
+    return out
+
+
+def _anova_by_gradients(g: DataFrame, stratum: Column, used: list[str], sizes: dict[str, int], anova_type: int) -> list[tuple]:
+    """The table where facets have too many levels for a matrix: every model, with all facets and without each, by conjugate gradients."""
+    total = {r.key: r for r in g.filter("f0 IS NULL").select(stratum, "n", "mean", "var").collect()}
+    centre = g.filter("f0 IS NULL").select(stratum, F.col("mean").alias("grand"))
+    single = g.filter(F.col("f0").isin(*used) & F.col("f1").isNull()).select(stratum, F.col("f0").alias("f"), F.col("l0").alias("l"), "n", "mean")
+    levels = single.join(F.broadcast(centre), "key").withColumn("b", F.col("n") * (F.col("mean") - F.col("grand")))
+    wanted = None
+    if anova_type == 3:
+        # the first level of each facet: by number where all levels are numbers, but as text in the facet with most levels
+        largest = max(used, key=lambda f: sizes[f])
+        number = F.expr("try_cast(l AS double)")
+        textual = levels.groupBy("f").agg(F.bool_or(number.isNull()).alias("_textual"))
+        order = F.when(F.col("_textual") | (F.col("f") == largest), F.struct(F.lit(0.0).alias("a"), F.col("l").alias("b"))).otherwise(F.struct(number.alias("a"), F.col("l").alias("b")))
+        firsts = levels.join(F.broadcast(textual), "f").groupBy("key", "f").agg(F.min_by("l", order).alias("l")).withColumn("_first", F.lit(True))
+        levels = levels.join(F.broadcast(firsts), ["key", "f", "l"], "left")
+        wanted = F.coalesce("_first", F.lit(False))
+    pairs = g.filter(F.col("f0").isin(*used) & F.col("f1").isin(*used)).select(stratum, "f0", "l0", "f1", "l1", "n")
+    ordered = sorted(used, key=lambda f: -sizes[f])
+    sets = [ordered, *[[o for o in ordered if o != f] for f in used]]
+    found = least_squares.fits(cut_lineage(levels), pairs, sets, wanted)
+    out = []
+    for key, t in total.items():
+        whole = found[(key, 0)]
+        sst = float(t["var"]) * (t["n"] - 1) if t["n"] > 1 else 0.0
+        sse, df_error = sst - whole.explained, t["n"] - whole.rank
+        rows = [(f, whole.explained - found[(key, i + 1)].explained, whole.rank - found[(key, i + 1)].rank, False) for i, f in enumerate(used)]
+        rows = [r for r in rows if r[2] > 0]
+        if anova_type == 3:
+            rows.insert(0, ("Intercept", (t["mean"] + whole.estimate) ** 2 / whole.scale, 1, True))
+        out += _anova_rows(key, rows, sse, df_error, anova_type)
+    return out
+
+
 def max_partial_eta(df: DataFrame, by: str, value: str = "metric_value") -> DataFrame:
     """Largest type II partial eta squared per stratum."""
     return anova(df, 2, by, value).groupBy("stratum").agg(F.max("partial_eta_squared").alias("max_partial_eta_squared_type2"))

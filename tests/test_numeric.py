@@ -80,6 +80,39 @@ def test_sequential_shares_against_projection(frame, rows):
         assert got[f] == pytest.approx(ss, rel=1e-9)
 
 
+@pytest.mark.parametrize("kind", [2, 3])
+def test_anova_by_gradients_equals_the_matrix(frame, monkeypatch, kind):
+    want = M.anova(frame, kind).collect()
+    monkeypatch.setattr(M, "MAX_COEFFICIENTS", 3)
+    got = {r.term: r for r in M.anova(frame, kind).collect()}
+    assert len(got) == len(want)
+    for r in want:
+        for c in ("sum_sq", "df", "f_stat", "p_value", "partial_eta_squared", "omega_squared"):
+            assert got[r.term][c] == pytest.approx(r[c], rel=1e-7, abs=1e-10), (r.term, c)
+
+
+def test_anova_of_sparse_and_disconnected_levels(spark, monkeypatch):
+    """Some hundred tasks and prompts, each task under few prompts; the last ten tasks share no prompt with the others."""
+    rng = np.random.default_rng(8)
+    tasks, prompts = rng.normal(size=310), rng.normal(size=260)
+    rows = [(f"m{i % 2}", t, p) for t in range(300) for i, p in enumerate(rng.choice(250, 4, replace=False))]
+    rows += [(f"m{i % 2}", t, p) for t in range(300, 310) for i, p in enumerate(range(250, 260))]
+    data = [(m, f"t{t}", f"p{p}", float(tasks[t] + prompts[p] + (m == "m1") + rng.normal())) for m, t, p in rows]
+    monkeypatch.setattr(M, "MAX_COEFFICIENTS", 100)
+    got = {r.term: r for r in M.anova(spark.createDataFrame(data, "model string, task_id string, prompt_id string, metric_value double"), 2).collect()}
+    y = np.array([d[3] for d in data])
+    parts = {"model": dummies(data, 0, drop=False), "task_id": dummies(data, 1, drop=False), "prompt_id": dummies(data, 2, drop=False)}
+    whole = np.hstack(list(parts.values()))
+    full, rank = sse(whole, y), np.linalg.matrix_rank(whole)
+    assert len(parts["task_id"].T) == 310
+    for f in parts:
+        rest = np.hstack([v for k, v in parts.items() if k != f])
+        assert got[f].sum_sq == pytest.approx(sse(rest, y) - full, rel=1e-7)
+        df = rank - np.linalg.matrix_rank(rest)
+        assert got[f].df == df
+        assert got[f].f_stat == pytest.approx((sse(rest, y) - full) / df / (full / (len(y) - rank)), rel=1e-7)
+
+
 def test_binomial_and_cluster_errors(frame, rows):
     binary = frame.withColumn("metric_value", (F.col("metric_value") > 0.4).cast("double"))
     pf = V.pass_fail_frame(binary)
