@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 from gaugeframe.functions.draws import dense_index, digest, index_draws
 from gaugeframe.operators.ranking import (
@@ -31,8 +31,8 @@ from gaugeframe.operators.variance import (
 )
 from gaugeframe.session import cut_lineage
 
-# distinct values per group up to which resampling by counts keeps them in one array
-MAX_DISTINCT = 10_000
+# distinct values of a bin, which resampling by counts keeps in one array
+BIN_VALUES = 10_000
 # values of a block that draws look up, and rows up to which all blocks are sent to the draws (8 MB of doubles)
 BLOCK_BITS = 12
 BLOCK = 1 << BLOCK_BITS
@@ -79,32 +79,53 @@ def resampled_means_by_counts(
 ) -> DataFrame:
     """The same law of resampled means from value counts: one multinomial per group and iteration.
 
-    Work is n_bootstrap x distinct values instead of n_bootstrap x rows. A group with more than
-    ``MAX_DISTINCT`` values is refused; ``bootstrap_statistics`` serves it.
+    Work is n_bootstrap x distinct values instead of n_bootstrap x rows. The values of a group lie in bins of about ``BIN_VALUES``:
+    an iteration first splits its draws over the bins by their counts, then each bin splits its own over its values, which is
+    the multinomial over all values. Bins are keys, so a group with any number of values is spread.
     """
     by = by or []
     rows = df.filter(F.col(value).isNotNull())
-    counts = rows.groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    sizes = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("k"))
-    if sizes.filter(F.col("k") > MAX_DISTINCT).limit(1).count():
-        raise ValueError(f"more than {MAX_DISTINCT} distinct values in a group; resample rows instead")
-    packed = counts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("vc"))
+    counts = cut_lineage(rows.groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c")))
+    sizes = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("n"))
+    n_bins = F.ceil(F.col("k") / BIN_VALUES)
+    placed = _with_group(counts, sizes.select(*by, n_bins.alias("_bins")), by).withColumn("_bin", F.pmod(F.xxhash64("v"), F.col("_bins")))
+    # one array of a bin's values, and one of a group's bins: as long as the values of the group in thousands
+    packed = placed.groupBy(*by, "_bin").agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("vc"), F.sum("c").alias("w"))
+    packed = cut_lineage(packed)
+    bins = packed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_bin", "w"))).alias("bw"), F.sum("w").alias("n"))
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in by]) if by else F.lit("")
 
-    @F.pandas_udf(DoubleType())
-    def redraw(keys: pd.Series, iterations: pd.Series, values: pd.Series, weights: pd.Series) -> pd.Series:
-        means = []
-        for k, i, v, w in zip(keys, iterations, values, weights, strict=True):
+    @F.pandas_udf(ArrayType(LongType()))
+    def split(keys: pd.Series, iterations: pd.Series, weights: pd.Series) -> pd.Series:
+        out = []
+        for k, i, w in zip(keys, iterations, weights, strict=True):
             w = np.asarray(w, dtype=np.int64)
             rng = np.random.default_rng([seed, zlib.crc32(k.encode()), int(i)])
-            means.append(float(rng.multinomial(w.sum(), w / w.sum()) @ np.asarray(v)) / w.sum())
-        return pd.Series(means)
+            out.append(rng.multinomial(w.sum(), w / w.sum()) if len(w) > 1 else w)
+        return pd.Series(out)
+
+    @F.pandas_udf(DoubleType())
+    def redraw(keys: pd.Series, iterations: pd.Series, bin_: pd.Series, draws: pd.Series, values: pd.Series, weights: pd.Series) -> pd.Series:
+        sums = []
+        for k, i, b, m, v, w in zip(keys, iterations, bin_, draws, values, weights, strict=True):
+            w = np.asarray(w, dtype=np.int64)
+            rng = np.random.default_rng([seed, zlib.crc32(k.encode()), int(i), int(b) + 1])
+            sums.append(float(rng.multinomial(int(m), w / w.sum()) @ np.asarray(v)))
+        return pd.Series(sums)
 
     slots = df.sparkSession.sparkContext.defaultParallelism
-    spread = packed.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1)))).repartition(
-        slots, *by, "iteration"
-    )
-    return spread.select(*by, "iteration", redraw(key, "iteration", F.col("vc.v"), F.col("vc.c")).alias("stat"))
+    listed = bins.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1)))).repartition(slots, *by, "iteration")
+    dealt = listed.select(*by, "iteration", "n", F.col("bw._bin").alias("_names"), split(key, "iteration", F.col("bw.w")).alias("_draws"))
+    dealt = dealt.select(*by, "iteration", "n", F.explode(F.arrays_zip("_names", "_draws")).alias("_d"))
+    dealt = dealt.select(*by, "iteration", "n", F.col("_d._names").alias("_bin"), F.col("_d._draws").alias("m")).filter("m > 0")
+    joined = dealt.join(packed.select(*by, "_bin", "vc"), [*by, "_bin"])
+    parts = joined.select(*by, "iteration", "n", redraw(key, "iteration", "_bin", "m", F.col("vc.v"), F.col("vc.c")).alias("s"))
+    return parts.groupBy(*by, "iteration").agg((F.sum("s") / F.first("n")).alias("stat"))
+
+
+def _with_group(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with the columns of their group; without ``by`` there is one group, a single row."""
+    return rows.join(groups, by) if by else rows.join(F.broadcast(groups))
 
 
 def _interval(stats: DataFrame, by: list[str], alpha: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugeframe.functions import tails
 from gaugeframe.operators import regression as M
+from gaugeframe.operators import resampling as R
 from gaugeframe.operators import variance as V
 
 
@@ -234,3 +235,41 @@ def test_leave_one_out_ignores_an_offset(frame):
     assert plain.keys() == moved.keys()
     for key, values in plain.items():
         assert moved[key] == pytest.approx(values, abs=1e-6)
+
+
+def test_counts_in_many_bins_keep_the_law(spark, monkeypatch):
+    """Means redrawn from value counts: the same law with one bin of values as with forty, and that of resampled means."""
+    rng = np.random.default_rng(12)
+    data = [("a", float(v)) for v in rng.exponential(size=1500)] + [("a", 9.0)] * 500 + [("b", float(v)) for v in rng.integers(0, 3, 300)]
+    df = spark.createDataFrame(data, "model string, score double")
+    tables = {}
+    for size in (10_000, 40):
+        monkeypatch.setattr(R, "BIN_VALUES", size)
+        drawn = R.resampled_means_by_counts(df, "score", ["model"], 1500, seed=3)
+        tables[size] = drawn.toPandas()
+        again = R.resampled_means_by_counts(df, "score", ["model"], 1500, seed=3).toPandas()
+        keyed = lambda t: t.set_index(["model", "iteration"]).sort_index()["stat"]
+        assert np.allclose(keyed(tables[size]), keyed(again), rtol=1e-12)
+    for name in ("a", "b"):
+        y = np.array([v for m, v in data if m == name])
+        for t in tables.values():
+            stats = t.loc[t.model == name, "stat"]
+            assert len(stats) == 1500
+            assert stats.mean() == pytest.approx(y.mean(), abs=4 * y.std() / np.sqrt(len(y) * 1500))
+            assert stats.std() == pytest.approx(y.std() / np.sqrt(len(y)), rel=0.1)
+    whole = R.resampled_means_by_counts(df, "score", n_bootstrap=50)
+    assert whole.columns == ["iteration", "stat"] and whole.count() == 50
+
+
+def test_row_bootstrap_broadcasts_no_draws(spark, monkeypatch):
+    """Few rows: their blocks are broadcast; many rows: draws and blocks meet in a shuffle. The results agree."""
+    df = spark.createDataFrame([(f"m{i % 2}", i, float(i * i % 97)) for i in range(9000)], "model string, id int, score double")
+    plans, found = [], []
+    for few in (1_000_000, 10):
+        monkeypatch.setattr(R, "LOCAL_ROWS", few)
+        drawn = R.bootstrap_statistics(df, "score", ["id"], ["model"], 20)
+        plans.append(drawn._jdf.queryExecution().executedPlan().toString())
+        found.append(sorted(map(tuple, drawn.collect())))
+    assert found[0] == found[1] and len(found[0]) == 40
+    assert "BroadcastHashJoin [model" in plans[0] and "BuildRight" in plans[0]
+    assert "BroadcastHashJoin" not in plans[1].split("_values")[0]
