@@ -162,9 +162,9 @@ def _compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = np.concatenate([a.letters, b.letters])
         pairs = a.lists * b.lists
         # some rows at a time, and of these some pairs at a time
-        row_cuts = runs(np.cumsum(pairs) // PAIRS)
+        row_cuts = np.append(runs(np.cumsum(pairs) // PAIRS), len(pairs))
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        for low, high in zip(row_cuts, np.append(row_cuts[1:], len(pairs)), strict=True):
+        for low, high in zip(row_cuts, row_cuts[1:]):
             row = np.repeat(np.arange(low, high), pairs[low:high])
             k = np.arange(len(row)) - np.repeat(np.cumsum(pairs[low:high]) - pairs[low:high], pairs[low:high])
             x, y = a.first[row] + k // b.lists[row], b.first[row] + k % b.lists[row]
@@ -174,8 +174,8 @@ def _compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.argsort(shorter, kind="stable")
             x, y, shorter = x[order], y[order], shorter[order]
             # words of about one length together, so that none is laid out in the width of a far longer one
-            cuts = runs((np.cumsum(shorter) // CELLS) * 64 + np.ceil(np.log2(shorter + 1)).astype(np.int64))
-            for i, j in zip(cuts, np.append(cuts[1:], len(x)), strict=True):
+            cuts = np.append(runs((np.cumsum(shorter) // CELLS) * 64 + np.ceil(np.log2(shorter + 1)).astype(np.int64)), len(x))
+            for i, j in zip(cuts, cuts[1:]):
                 p, q = x[i:j], y[i:j]
                 near = one_edit(letters, a.begin[p], a.size[p], len(a.letters) + b.begin[q], b.size[q])
                 found.append((p[near], q[near]))

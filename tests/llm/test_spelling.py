@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gaugeframe.llm import queries, spelling
@@ -108,3 +109,12 @@ def test_neighbourhoods_hold_all_edits_of_reduced_words():
         for other in (word, word[:i] + word[i + 1 :], word[:i] + c + word[i + 1 :], word[:i] + c + word[i:], word + c):
             if other:
                 assert int(spelling.reduced_key([other])[0]) in names
+
+
+def test_a_batch_without_any_near_pair():
+    words = lambda *held: pa.array([list(h) for h in held], pa.list_(pa.string()))
+    counts = pa.array([[5], [6, 7]], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([words(["abcdef"], ["uvwxyz"]), words(["ghijkl"], ["mnopqr", "mnopqs"]), counts], names=["a", "b", "b_n"])
+    assert sum(b.num_rows for b in spelling._compared([batch, batch.slice(0, 0)])) == 0
+    near_ones = pa.RecordBatch.from_arrays([words(["abcdef"], ["uvwxyz"]), words(["abcdeg"], ["uvwxyz", "uvwxy"]), counts], names=["a", "b", "b_n"])
+    assert [tuple(r.values()) for b in spelling._compared([near_ones.slice(1, 1)]) for r in b.to_pylist()] == [("uvwxyz", "uvwxy", 7)]
