@@ -104,42 +104,70 @@ def _anchor_rows(kind: Kind, parts: int):
     return f
 
 
-JUDGED = "id long, node long, covered binary, wanted binary"
+JUDGED = "part int, ids binary, nodes binary, covered_counts binary, wanted_counts binary, covered binary, wanted binary"
 
 
-def _judge(table: pa.Table) -> pa.Table:
-    """What the anchors of a part say about each document.
+def _judge(parts: int):
+    """What the anchors of a part say about each document, packed in one row for each part that documents are dealt to.
 
     An anchor of one document says nothing. Of equal contexts only that of the least document is kept; the others are
     covered, as a context is a window at least and stands in a lesser document. Where an anchor still has different
     contexts, they are wanted for the index.
     """
-    ids, nodes, counts = (_concat(table.column(c), t) for c, t in (("ids", "<i8"), ("nodes", "<i8"), ("counts", "<i4")))
-    a, c = widen(b"".join(table.column("anchors").to_pylist()), WIDTH), _concat(table.column("contexts"), "<u8")
-    owner = np.repeat(np.arange(len(ids)), counts)
-    who = ids[owner]
-    order = np.lexsort((who, c, a))
-    a, c, owner, who = a[order], c[order], owner[order], who[order]
-    by_anchor = runs(a)
-    spread = lambda v, first: np.repeat(v, np.diff(np.append(first, len(a))))
-    several = spread(np.minimum.reduceat(who, by_anchor) != np.maximum.reduceat(who, by_anchor), by_anchor)
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-    by_context = np.flatnonzero(new)
-    covered = several & (who > spread(who[by_context], by_context))
-    contexts = spread(np.add.reduceat(new.astype(np.int64), by_anchor), by_anchor)
-    wanted = several & ~covered & (contexts > 1)
-    keep = np.flatnonzero(covered | wanted)
-    keep = keep[np.argsort(owner[keep], kind="stable")]
-    owner, names, covered = owner[keep], c[keep], covered[keep]
-    head = runs(owner)
-    held = owner[head]
-
-    def cells(which: np.ndarray) -> pa.Array:
-        ends = np.cumsum(which)[np.append(head[1:], len(owner)) - 1] if len(head) else head
-        return binaries(names[which].astype("<u8").tobytes(), ends * 8)
-
-    return pa.table([pa.array(ids[held]), pa.array(nodes[held]), cells(covered), cells(~covered)], names=["id", "node", "covered", "wanted"])
+
+    def f(table: pa.Table) -> pa.Table:
+        ids, nodes, counts = (_concat(table.column(c), t) for c, t in (("ids", "<i8"), ("nodes", "<i8"), ("counts", "<i4")))
+        a, c = widen(b"".join(table.column("anchors").to_pylist()), WIDTH), _concat(table.column("contexts"), "<u8")
+        owner = np.repeat(np.arange(len(ids)), counts)
+        who = ids[owner]
+        order = np.lexsort((who, c, a))
+        a, c, owner, who = a[order], c[order], owner[order], who[order]
+        by_anchor = runs(a)
+        spread = lambda v, first: np.repeat(v, np.diff(np.append(first, len(a))))
+        several = spread(np.minimum.reduceat(who, by_anchor) != np.maximum.reduceat(who, by_anchor), by_anchor)
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+        by_context = np.flatnonzero(new)
+        covered = several & (who > spread(who[by_context], by_context))
+        contexts = spread(np.add.reduceat(new.astype(np.int64), by_anchor), by_anchor)
+        wanted = several & ~covered & (contexts > 1)
+        keep = np.flatnonzero(covered | wanted)
+        to = (mixed(ids.astype(U64) ^ mixed(nodes.astype(U64))) % U64(parts)).astype(np.int64)
+        keep = keep[np.lexsort((owner[keep], to[owner[keep]]))]
+        owner, names, covered = owner[keep], c[keep].astype("<u8"), covered[keep]
+        docs = owner[runs(owner)]  # those of one part stand together, so each is one run
+        out = []
+        cuts = np.append(runs(to[docs]), len(docs))
+        for first, end in zip(cuts, cuts[1:]):
+            held = docs[first:end]
+            own = slice(np.searchsorted(to[owner], to[held[0]]), np.searchsorted(to[owner], to[held[0]], "right"))
+            sizes = lambda which: np.diff(np.append(0, np.cumsum(which)[np.append(runs(owner[own])[1:], len(which)) - 1])).astype("<i4").tobytes()
+            which = covered[own]
+            out.append((int(to[held[0]]), ids[held].tobytes(), nodes[held].tobytes(), sizes(which), sizes(~which), names[own][which].tobytes(), names[own][~which].tobytes()))
+        return pa.table([pa.array([r[i] for r in out], pa.int32() if not i else pa.binary()) for i in range(7)], names=[c.split()[0] for c in JUDGED.split(", ")])
+
+    return f
+
+
+SAID = "id long, node long, covered binary, wanted binary"
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """A row for each document of a part with all that was said about it."""
+    ids, nodes = (_concat(table.column(c), "<i8") for c in ("ids", "nodes"))
+    order = np.lexsort((nodes, ids))
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[order][1:] != ids[order][:-1]) | (nodes[order][1:] != nodes[order][:-1])
+    group = np.zeros(len(ids), np.int64)
+    group[order] = np.cumsum(new) - 1
+    first = order[new]
+
+    def cells(kind: str) -> pa.Array:
+        of = np.repeat(group, _concat(table.column(f"{kind}_counts"), "<i4"))
+        names = _concat(table.column(kind), "<u8")[np.argsort(of, kind="stable")]
+        return binaries(names.tobytes(), 8 * np.cumsum(np.bincount(of, minlength=len(first))))
+
+    return pa.table([pa.array(ids[first]), pa.array(nodes[first]), cells("covered"), cells("wanted")], names=["id", "node", "covered", "wanted"])
 
 
 WORKED = "id long, node long, n_removed long, n_spans long, kept string, text binary, starts binary, ends binary, names binary, lows binary, part int, ids binary, nodes binary, anchors binary, sizes binary, lefts binary, codes binary"
@@ -173,8 +201,8 @@ def _context_rows(kind: Kind, parts: int, keep):
                 data = _bytes(text)
                 codes = kind.codes(data)
                 a, names, low, high, at = anchors(kind.symbols(data), kind)
-                hit = np.isin(names, np.frombuffer(b"".join(covered), "<u8"))
-                want = np.isin(names, np.frombuffer(b"".join(wanted), "<u8"))
+                hit = np.isin(names, np.frombuffer(covered, "<u8"))
+                want = np.isin(names, np.frombuffer(wanted, "<u8"))
                 if not want.any():
                     removed, spans, kept = _without(kind, data, _edges(len(codes), low[hit], high[hit]), keep)
                     rows.append({"id": id_, "node": node, "n_removed": removed, "n_spans": spans, "kept": kept})
@@ -306,8 +334,8 @@ def remove_repeats(documents: DataFrame, kind: Kind, index, dtype: str, most: in
     keyed = documents.select(F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumn("node", F.xxhash64("text"))
     packed = keyed.select("id", "node", "text").mapInArrow(_anchor_rows(kind, parts), ANCHORS)
-    judged = packed.groupBy("part").applyInArrow(_judge, JUDGED)
-    said = stored(judged.groupBy("id", "node").agg(F.collect_list("covered").alias("covered"), F.collect_list("wanted").alias("wanted")), "judged")
+    judged = packed.groupBy("part").applyInArrow(_judge(parts), JUDGED)
+    said = stored(judged.groupBy("part").applyInArrow(_gathered, SAID), "judged")
     # a broadcast of SLOTS numbers at most keeps most texts that share nothing out of the shuffle; the join is what decides
     slot = F.pmod(F.xxhash64("id", "node"), F.lit(SLOTS)).alias("slot")
     texts = keyed.select("id", "node", "text", slot).join(F.broadcast(said.select(slot).distinct()), "slot", "left_semi").drop("slot")
