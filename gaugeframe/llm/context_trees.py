@@ -19,11 +19,13 @@ DEPTH = 5
 #: Leaves that are sent to every worker as a table of 12 bytes each; more are asked for by a shuffle instead.
 MOST_LEAVES = 6_000_000
 END = np.array([0x5BF0363DB9A1C3E7], U64)
+#: Coded after the last byte of a text. No UTF-8 text holds it, so no coded text is the beginning of another.
+STOP = b"\xff"
 LN10 = float(np.log(10.0))
 
 
-def _bytes_of(text: str) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
+def stopped(texts: list[bytes]) -> list[bytes]:
+    return [t + STOP for t in texts]
 
 
 def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +72,7 @@ def _count(parts: int):
             found, counts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
             texts = batch.column(0).to_pylist()
             for _, held in chunked(np.arange(len(texts)), texts):
-                k, n = np.unique(keys_of(held)[1], return_counts=True)
+                k, n = np.unique(keys_of(stopped(held))[1], return_counts=True)
                 found.append(k), counts.append(n)
             k, n = _summed(np.concatenate(found), np.concatenate(counts))
             yield _batch(list(_by_part(_part(k, parts), parts, k, n)), "part keys counts", [pa.int32(), pa.binary(), pa.binary()])
@@ -235,7 +237,7 @@ def _score(sent, parts: int):
             nodes, once = np.unique(batch.column(0).to_numpy(), return_index=True)
             texts = batch.column(1).take(pa.array(once)).to_pylist()
             for some, held in chunked(nodes, texts):
-                owner, key = keys_of(held)
+                owner, key = keys_of(stopped(held))
                 value, known = table.get(key)
                 logs = np.bincount(owner, weights=np.where(known, value, 0.0), minlength=len(held))
                 rows = [(int(n), float(x), None, None, None, None) for n, x in zip(some, logs, strict=True)]
@@ -253,7 +255,8 @@ def _answer(top: tuple):
         nodes, keys, counts = (_join(asked, c, t) for c, t in (("nodes", "<i8"), ("keys", "<u8"), ("counts", "<i8")))
         each, back = np.unique(keys, return_inverse=True)
         known = (_join(trees, "keys", "<u8"), _join(trees, "counts", "<i8")) if trees.num_rows else (np.zeros(0, U64), np.zeros(0, np.int64))
-        logs = (Trees(*known) if len(known[0]) else Nothing()).log_probability(each, top)[back] * counts
+        # in the precision of the table of leaves, so a byte has one score whichever way it is looked up
+        logs = (Trees(*known) if len(known[0]) else Nothing()).log_probability(each, top).astype("<f4").astype(float)[back] * counts
         held, at = np.unique(nodes, return_inverse=True)
         return pa.table([pa.array(held), pa.array(np.bincount(at, weights=logs, minlength=len(held)))], names=["node", "log"])
 
@@ -269,13 +272,14 @@ class Nothing(Trees):
 
 
 def tree_scores(texts: DataFrame, training: Column) -> DataFrame:
-    """(node, log) for each distinct node of (node, text): the natural log of the probability of the text's bytes.
+    """(node, log) for each distinct node of (node, text): the natural log of the probability of the text's bytes and its end.
 
     Counts of (five bytes, next byte) are summed over all rows where `training` holds. The latest two bytes of context
     deal them out, so each part weighs its trees from depth 5 up to 2; depths 1 and 0 are 65,792 nodes and come to the
     driver. A node's probability is half its own estimate and half the product of its children's, which gives each depth
     its weight in the mixture. A text's bytes are looked up in a table of the leaves met in training, if that
-    has at most MOST_LEAVES entries; what is not there (all, if the table is larger) goes to the part that has its trees.
+    has at most MOST_LEAVES entries; what is not there (all, if the table is larger) goes to the part that has its trees. Both
+    give the same numbers. The end is coded as byte 255, which UTF-8 never holds, so all texts together have at most 1.
     """
     spark = texts.sparkSession
     parts = parts_of(spark)
@@ -395,9 +399,9 @@ def score_texts(documents: DataFrame, held_out: Callable[[Column], Column]) -> D
 
     Both models learn from all rows where `held_out(doc_id)` does not hold (a null counts as false). Base: words in lower
     case A-Z and one end per text, each with log10((c + 1) / (N + V + 1)). Score: log10 of the probability that
-    context-tree weighting gives to the text's bytes (see `tree_scores`); bits_per_byte is its code length.
+    context-tree weighting gives to the text's bytes and then its end (see `tree_scores`); bits_per_byte is its code length.
 
-    Null texts count as empty: one token, the end, and score 0 (there is no byte to code; bits_per_byte is null). Repeated rows each give a row and each
+    Null texts count as empty: one token, the end, which both models pay for (bits_per_byte is null). Repeated rows each give a row and each
     count in training. With nothing to learn from, c, N and V are 0 and every bit costs one bit. An empty table gives an empty result; other columns are not used.
     """
     parts = parts_of(documents.sparkSession)

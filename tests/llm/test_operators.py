@@ -375,7 +375,7 @@ def plain_context_tree(training, texts, depth=context_trees.DEPTH):
     counts = {}
     bits = lambda c: [(1 << t | c >> (8 - t), (c >> (7 - t)) & 1) for t in range(8)]
     for t in training:
-        data = bytes(depth) + t.encode()
+        data = bytes(depth) + t.encode() + b"\xff"
         for i in range(depth, len(data)):
             for node, bit in bits(data[i]):
                 for d in range(depth + 1):
@@ -391,7 +391,7 @@ def plain_context_tree(training, texts, depth=context_trees.DEPTH):
         weighted[key] = own if len(key[0]) == depth else np.logaddexp(own, sum(weighted[k] for k in kids.get(key, []))) - math.log(2)
     out = []
     for t in texts:
-        data, total = bytes(depth) + t.encode(), 0.0
+        data, total = bytes(depth) + t.encode() + b"\xff", 0.0
         for i in range(depth, len(data)):
             for node, bit in bits(data[i]):
                 q = 0.5
@@ -432,6 +432,22 @@ def test_context_trees_by_definition(spark, edges, nothing, monkeypatch, leaves)
         assert context_trees.score_texts(nothing, lambda i: i % 7 == 2).count() == 0
 
 
+def test_texts_are_a_law_and_the_way_of_lookup_changes_nothing(spark, monkeypatch):
+    texts = ["".join(t) for n in range(5) for t in itertools.product("abc", repeat=n)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, None if i % 5 == 0 else "abab"[: i % 4]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = {}
+    for leaves in (context_trees.MOST_LEAVES, 0):
+        monkeypatch.setattr(context_trees, "MOST_LEAVES", leaves)
+        out = context_trees.score_texts(df, lambda i: i < 1000).collect()
+        scores[leaves] = {r["doc_id"]: r["score"] for r in out}
+    few, more = scores.values()
+    assert all(math.isclose(few[i], more[i], rel_tol=1e-12) for i in few)
+    chance = [10 ** few[i] for i in range(len(texts))]
+    assert few[0] == few[1000] and 0.1 < chance[0] < 1  # the empty text pays for its end
+    assert 0.5 < sum(chance) <= 1
+
+
 def test_chances_of_all_bytes_sum_to_one():
     owner, keys = context_trees.keys_of([b"the thing that then thawed", b"an anthem"])
     k, n = np.unique(keys, return_counts=True)
