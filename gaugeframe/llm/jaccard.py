@@ -15,6 +15,8 @@ from gaugeframe.llm.storage import parts_of, stored
 
 #: A token's bytes within its part. With the part they name it to 40 + log2(parts) bits.
 WIDTH = 5
+#: Bytes of a token with its part.
+NAME = WIDTH + 2
 #: Stands for a null doc_id, after all others.
 LAST = (1 << 63) - 1
 #: Texts are tokenised together up to so many bytes; this bounds memory and changes no result.
@@ -116,39 +118,81 @@ def _joined(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([h[0] for h in held]), np.concatenate([h[1] + f for h, f in zip(held, first, strict=True)]), np.concatenate([h[2] for h in held])
 
 
-SHARED = "node long, size int, shared int, tokens binary, counts binary"
-
-
-def _share(table: pa.Table) -> pa.Table:
-    """The tokens of one part that stand in two sets or more, with the number of sets (65,535 for more), by set."""
-    part = table.column("part")[0].as_py()
-    join = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
-    nodes, sizes = join("nodes", "<i8"), join("sizes", "<i4")
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    names = ["node", "size", "shared", "tokens", "counts"]
-    if part < 0:
-        n = len(nodes)
-        return pa.table([pa.array(nodes), pa.array(sizes), pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
-    # a text may have come with several batches
-    counts, tokens = join("counts", "<i4"), widen(b"".join(table.column("tokens").to_pylist()), WIDTH)
-    first = np.cumsum(counts) - counts
-    once = np.unique(nodes, return_index=True)[1]
-    nodes, sizes = nodes[once], sizes[once]
-    at = np.concatenate([np.arange(first[i], first[i] + counts[i]) for i in once])
-    counts, tokens = counts[once], tokens[at]
-    owner = np.repeat(np.arange(len(nodes)), counts)
-    order = np.argsort(tokens)
-    head = runs(tokens[order])
-    often = np.diff(np.append(head, len(tokens)))
-    df = np.empty(len(tokens), np.int64)
-    df[order] = np.repeat(often, often)
-    keep = df >= 2
-    owner, tokens, df = owner[keep], (tokens[keep] << U64(16)) | U64(part), np.minimum(df[keep], 65535).astype("<u2")
-    head = runs(owner)
-    ends = np.append(head[1:], len(owner)) if len(head) else head
-    held = owner[head]
-    columns = [pa.array(nodes[held]), pa.array(sizes[held]), pa.array((ends - head).astype(np.int32)), binaries(tokens.astype("<u8").tobytes(), ends * 8), binaries(df.tobytes(), ends * 2)]
-    return pa.table([c.cast(t) for c, t in zip(columns, types, strict=True)], names=names)
+SHARED = "dest int, part int, nodes binary, sizes binary, shared binary, tokens binary, often binary"
+
+
+def _share(parts: int):
+    """The tokens of one part that stand in two sets or more, with how many sets have them, for the sets of each destination.
+
+    Numbers of sets are steps of an eighth of their logarithm, as they only order tokens, and the same for a token everywhere.
+    """
+
+    def f(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        join = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
+        nodes, sizes = join("nodes", "<i8"), join("sizes", "<i4")
+        once = np.unique(nodes, return_index=True)[1]  # a text may have come with several batches
+        if part < 0:
+            nodes, sizes = nodes[once], sizes[once]
+            shared, tokens, often = np.zeros(len(nodes), np.int32), np.zeros(0, U64), np.zeros(0, np.uint8)
+        else:
+            counts, tokens = join("counts", "<i4"), widen(b"".join(table.column("tokens").to_pylist()), WIDTH)
+            first = np.cumsum(counts) - counts
+            at = np.concatenate([np.arange(first[i], first[i] + counts[i]) for i in once])
+            owner, tokens = np.repeat(once, counts[once]), tokens[at]
+            order = np.argsort(tokens)
+            head = runs(tokens[order])
+            sets = np.diff(np.append(head, len(tokens)))
+            df = np.empty(len(tokens), np.int64)
+            df[order] = np.repeat(sets, sets)
+            keep = df >= 2
+            owner, tokens, often = owner[keep], tokens[keep], np.minimum(8 * np.log2(df[keep]), 255).astype(np.uint8)
+            head = runs(owner)
+            shared = np.diff(np.append(head, len(owner))).astype(np.int32)
+            nodes, sizes = nodes[owner[head]], sizes[owner[head]]
+        dest = (mixed(nodes.view(U64)) % U64(parts)).astype(np.int64)
+        by, of_token = np.argsort(dest, kind="stable"), np.repeat(dest, shared)
+        by_token = np.argsort(of_token, kind="stable")
+        cuts, token_cuts = (np.concatenate([[0], np.cumsum(np.bincount(d, minlength=parts))]) for d in (dest, of_token))
+        rows = []
+        for d in np.unique(dest).tolist():
+            which, tokens_of = by[cuts[d] : cuts[d + 1]], by_token[token_cuts[d] : token_cuts[d + 1]]
+            held = [x[which].tobytes() for x in (nodes, sizes.astype("<i4"), shared)]
+            rows.append((d, part, *held, narrow(tokens[tokens_of], WIDTH), often[tokens_of].tobytes()))
+        types = [pa.int32(), pa.int32()] + [pa.binary()] * 5
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[c.split()[0] for c in SHARED.split(", ")])
+
+    return f
+
+
+def _gather(percent: int):
+    """Sets of one destination: the size of each, and its shared tokens if they are enough for a partner."""
+
+    def f(table: pa.Table) -> pa.Table:
+        join = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
+        nodes, sizes, shared, often = join("nodes", "<i8"), join("sizes", "<i4"), join("shared", "<i4"), join("often", "u1")
+        tokens = widen(b"".join(table.column("tokens").to_pylist()), WIDTH)
+        part = np.repeat(table.column("part").to_numpy(), [len(x) for x in table.column("often").to_pylist()])
+        tokens = (tokens << U64(16)) | part.astype(U64)
+        each, place = np.unique(nodes, return_inverse=True)
+        total, size = np.bincount(place, weights=shared, minlength=len(each)).astype(np.int64), np.zeros(len(each), np.int32)
+        size[place] = sizes  # the same in every row of a set
+        enough = (total > 0) & (total * 100 >= size.astype(np.int64) * percent)
+        owner = np.repeat(place, shared)
+        order = np.argsort(owner, kind="stable")
+        order = order[enough[owner[order]]]
+        ends = np.cumsum(total[enough])
+        held = [binaries(narrow(tokens[order], NAME), ends * NAME), binaries(often[order].tobytes(), ends)]
+        some = pa.table([pa.array(each[enough]), pa.array(size[enough]), *held], names=["node", "size", "tokens", "counts"])
+        none = int((~enough).sum())
+        rest = pa.table([pa.array(each[~enough]), pa.array(size[~enough]), *[pa.nulls(none, pa.binary())] * 2], names=some.column_names)
+        return pa.concat_tables([some, rest])
+
+    return f
+
+
+def _names(tokens: bytes) -> np.ndarray:
+    return widen(tokens, NAME)
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -168,7 +212,7 @@ def _postings(percent: int):
         for batch in batches:
             nodes, prefixes, sizes = [], [], []
             for node, n, tokens, df in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-                p = _prefix(0, np.frombuffer(tokens, "<u8"), np.frombuffer(df, "<u2"), n, percent)
+                p = _prefix(0, _names(tokens), np.frombuffer(df, "u1"), n, percent)
                 nodes.append(np.full(len(p), node)), prefixes.append(p.view("<i8")), sizes.append(np.full(len(p), n, np.int32))
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (prefixes, nodes, sizes)], names=["token", "node", "size"])
@@ -215,8 +259,8 @@ def _compare_blocks(percent: int):
     def f(table: pa.Table) -> pa.Table:
         node, n = table.column("node").to_numpy(), table.column("size").to_numpy().astype(np.float64)
         component, block = table.column("component").to_numpy(), table.column("block").to_numpy()
-        tokens = [np.frombuffer(t, "<u8") for t in table.column("tokens").to_pylist()]
-        counts = [np.frombuffer(c, "<u2") for c in table.column("counts").to_pylist()]
+        tokens = [_names(t) for t in table.column("tokens").to_pylist()]
+        counts = [np.frombuffer(c, "u1") for c in table.column("counts").to_pylist()]
         row = lambda sets: np.repeat(np.arange(len(node)), [len(x) for x in sets])
         wanted = (component[:, None] != component[None, :]) & np.triu(np.ones((len(node), len(node)), bool), 1)
         if table.column("low")[0].as_py() != table.column("high")[0].as_py():
@@ -242,7 +286,7 @@ def _verify(percent: int):
         for batch in batches:
             a, b = [], []
             for x, y, n, m, s, t, f, g in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True):
-                s, t, f, g = np.frombuffer(s, "<u8"), np.frombuffer(t, "<u8"), np.frombuffer(f, "<u2"), np.frombuffer(g, "<u2")
+                s, t, f, g = _names(s), _names(t), np.frombuffer(f, "u1"), np.frombuffer(g, "u1")
                 for order in range(1, len(ORDERS)):
                     if not len(np.intersect1d(_prefix(order, s, f, n, percent), _prefix(order, t, g, m, percent), assume_unique=True)):
                         break
@@ -258,19 +302,15 @@ def _verify(percent: int):
 def shingle_sets(texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Stored (node, size, tokens, counts) of the distinct texts of (node, text); tokens are kept only where enough are shared.
 
-    Tokens travel in packed rows, one for a batch and part. A token that stands in one set only can't be shared, so a
-    set of which fewer than `percent` % of the tokens stand elsewhere has no partner and is done.
+    Tokens travel in packed rows, to their part one for some texts and a part, and back to their sets one for a part and a
+    destination. A token that stands in one set only can't be shared, so a set of which fewer than `percent` % of the tokens
+    stand elsewhere has no partner and is done.
     """
     parts = parts_of(texts.sparkSession)
     packed = texts.select("node", "text").mapInArrow(_pack(k, parts), PACKED)
     # sizes are dealt out like any part
-    shared = packed.groupBy("part", F.when(F.col("part") < 0, F.pmod(F.xxhash64("nodes"), F.lit(parts)))).applyInArrow(_share, SHARED)
-    rows = shared.groupBy("node").agg(
-        F.max("size").alias("size"), F.sum("shared").alias("shared"), F.collect_list("tokens").alias("tokens"), F.collect_list("counts").alias("counts")
-    )
-    enough = (F.col("shared") > 0) & (F.col("shared") * 100 >= F.col("size") * percent)
-    whole = lambda c: F.when(enough, F.expr(f"array_join(transform({c}, x -> hex(x)), '')"))
-    return stored(rows.select("node", "size", F.unhex(whole("tokens")).alias("tokens"), F.unhex(whole("counts")).alias("counts")), "shingles")
+    shared = packed.groupBy("part", F.when(F.col("part") < 0, F.pmod(F.xxhash64("nodes"), F.lit(parts)))).applyInArrow(_share(parts), SHARED)
+    return stored(shared.groupBy("dest").applyInArrow(_gather(percent), "node long, size int, tokens binary, counts binary"), "shingles")
 
 
 def _classes(documents: DataFrame, k: int, percent: int) -> DataFrame:
@@ -280,12 +320,15 @@ def _classes(documents: DataFrame, k: int, percent: int) -> DataFrame:
     live = sets.filter(F.col("tokens").isNotNull())
     postings = stored(live.select("node", "size", "tokens", "counts").mapInArrow(_postings(percent), "token long, node long, size int"), "postings")
     # the members of a bucket against the least of them
-    pivots = postings.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("_most")).filter("pivot != _most").drop("_most")
-    close = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-    pairs = postings.join(pivots, "token").filter("node != pivot").select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct()
+    least = F.min(F.struct("node", "size"))
+    pivots = postings.groupBy("token").agg(least.alias("pivot"), F.max("node").alias("_most")).filter("pivot.node != _most")
+    pivots = pivots.select("token", F.col("pivot.node").alias("y"), F.col("pivot.size").alias("m"))
+    # sizes are compared before the tokens of a pair are fetched
+    close = (F.col("size") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("size") * percent)
+    pairs = postings.join(pivots, "token").filter("node != y").filter(close).select(F.col("node").alias("x"), "y").distinct()
     left = live.select(F.col("node").alias("x"), F.col("size").alias("n"), F.col("tokens").alias("s"), F.col("counts").alias("f"))
     right = live.select(F.col("node").alias("y"), F.col("size").alias("m"), F.col("tokens").alias("t"), F.col("counts").alias("g"))
-    joined = pairs.join(left, "x").join(right, "y").filter(close("n", "m")).select("x", "y", "n", "m", "s", "t", "f", "g")
+    joined = pairs.join(left, "x").join(right, "y").select("x", "y", "n", "m", "s", "t", "f", "g")
     edges = stored(joined.mapInArrow(_verify(percent), "a long, b long"), "links")
     # buckets that still have several components: blocks of their members against each other
     labelled = postings.join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
