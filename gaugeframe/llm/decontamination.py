@@ -120,7 +120,9 @@ def matches(documents: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
 
 
 def decontaminate(documents: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents, all columns, that match no item (see `matches`)."""
-    found = matches(documents, items, percent).select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
+    """The documents, all columns, that match no item (see `matches`). Up to MOST_BROADCAST matches (two longs each, counted
+    first) are sent to the documents, so that no text is shuffled; beyond that both sides meet by a shuffle."""
+    found = stored(matches(documents, items, percent).select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct(), "found")
+    few = found.count() <= MOST_BROADCAST
     same = documents["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(documents["text"]) == found["_node"])
-    return documents.join(found, same, "left_anti")
+    return documents.join(F.broadcast(found) if few else found, same, "left_anti")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeframe.llm.native import md5_uniform
+from gaugeframe.llm.native import md5_uniform, n_words
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -94,9 +96,26 @@ def mix(
     return summed.select("_row.*", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
 
 
-def copies(mixed: DataFrame) -> DataFrame:
-    """The mixture as rows: each document as often as its words are taken, to the nearest whole document."""
-    n = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")).cast("int")).otherwise(F.lit(0))
-    return mixed.withColumn("_n", n).filter("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop(
-        "_n", "_copy", "size", "source_size", "target", "taken"
-    )
+def mixed_copies(documents: DataFrame, rated: Callable[[DataFrame], DataFrame], seed: int = 4) -> DataFrame:
+    """The mixture as rows, all columns of (doc_id, text, source): each document as often as `mix` takes its words, to the
+    nearest whole document.
+
+    `rated` adds `_quality` to rows of (doc_id, source, _key, _size). Only such rows, without texts, go through the mixture;
+    then the documents meet their numbers of copies in one join by doc_id and `_key`, a hash of doc_id, source and text.
+    Rows equal in these are alike for the mixture, and what it takes of them together is dealt out evenly over them.
+
+    Null doc_ids differ by their texts. Nulls else, sizes, ties and empty tables are as in `mix`; other columns may have any names.
+    """
+    text, source = F.col("text"), F.col("source").cast("string")
+    known = [F.coalesce(text, F.lit("")), text.isNull(), F.coalesce(source, F.lit("")), source.isNull(), F.col("doc_id").isNull()]
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), *known)
+    mixture = mix(rated(documents.select("doc_id", "source", key.alias("_key"), n_words(text).alias("_size"))), F.col("_size"), F.col("_quality"), ["doc_id", "_key"], seed)
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("long")
+    # not null, so that the join and the window below share one partitioning
+    id_of = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id")
+    wanted = mixture.select(id_of, "_key", times.alias("_n"))
+    wanted = wanted.groupBy("_id", "_key").agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_rows")).filter("_n > 0")
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), id_of, key.alias("_key"))
+    met = rows.join(wanted, ["_id", "_key"]).withColumn("_at", F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_key")))
+    dealt = met.select("_row", F.expr("cast(_n div _rows + if(_at <= _n % _rows, 1, 0) as int)").alias("_times")).filter("_times > 0")
+    return dealt.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")

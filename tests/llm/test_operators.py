@@ -458,3 +458,22 @@ def test_chances_of_all_bytes_sum_to_one():
         assert math.isclose(np.exp(tree.log_probability(each, top)).sum(), 1.0, rel_tol=1e-9)
 
 
+
+
+def test_copies_of_a_mixture(spark, edges, nothing):
+    rated = lambda df: df.withColumn("_quality", F.when(F.col("doc_id") % 2 == 0, 2.0))
+    out = mixing.mixed_copies(edges, rated)
+    assert out.columns == edges.columns
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert got == Counter((r["doc_id"], r["text"]) for r in mixing.mixed_copies(edges.repartition(5), rated).collect())
+    rows, size = Counter((r[0], r[1]) for r in ROWS), lambda t: len(WORD.findall(t or ""))
+    assert set(got) <= set(rows) and all(n <= 2 * rows[r] for r, n in got.items()) and not any(size(r[1]) == 0 for r in got)
+    plan = {r["source"]: r for r in mixing.mix(with_weights(edges), native.n_words(F.col("text")), F.col("_q"), ["doc_id"]).collect()}
+    for source, t in plan.items():
+        mine = sum(n * size(r[1]) for r, n in got.items() if next(x[3] for x in ROWS if x[:2] == r) == source)
+        longest = max(size(r[1]) for r in ROWS if r[3] == source)
+        assert abs(mine - t["target"]) <= longest  # the document at the boundary is whole or not
+    assert mixing.mixed_copies(nothing, rated).count() == 0
+    # repeated rows: three copies of one document are to be taken from two equal rows
+    twice = spark.createDataFrame([(1, "a b c d", "s")] * 2, "doc_id long, text string, source string")
+    assert mixing.mixed_copies(twice, rated).count() == 3
