@@ -31,9 +31,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it."""
-    rated = with_quality(docs, table(spark, sf_dir, "labels"))
-    taken = mixing.mix(rated, native.n_words(F.col("text")), F.col("_quality"), ["doc_id"])
-    return mixing.copies(taken).select(*docs.columns)
+    labels = table(spark, sf_dir, "labels")
+    return mixing.mixed_copies(docs, lambda slim: with_quality(slim, labels))
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
