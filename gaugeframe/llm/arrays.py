@@ -112,4 +112,4 @@ def narrow(x: np.ndarray, width: int) -> bytes:
 def widen(data: bytes, width: int) -> np.ndarray:
     out = np.zeros((len(data) // width, 8), np.uint8)
     out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return out.view("<u8").ravel().astype(U64)
+    return out.view("<u8").ravel().astype(U64, copy=False)

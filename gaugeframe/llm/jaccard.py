@@ -137,16 +137,21 @@ def _share(parts: int):
             shared, tokens, often = np.zeros(len(nodes), np.int32), np.zeros(0, U64), np.zeros(0, np.uint8)
         else:
             counts, tokens = join("counts", "<i4"), widen(b"".join(table.column("tokens").to_pylist()), WIDTH)
-            first = np.cumsum(counts) - counts
-            at = np.concatenate([np.arange(first[i], first[i] + counts[i]) for i in once])
-            owner, tokens = np.repeat(once, counts[once]), tokens[at]
+            owner = np.repeat(np.arange(len(nodes), dtype=np.int32), counts)
+            if len(once) < len(nodes):
+                first = np.zeros(len(nodes), bool)
+                first[once] = True
+                owner, tokens = owner[first[owner]], tokens[first[owner]]
+            # one array of 8 bytes a token beside the tokens at a time: a part is most of a task's memory
             order = np.argsort(tokens)
             head = runs(tokens[order])
             sets = np.diff(np.append(head, len(tokens)))
-            df = np.empty(len(tokens), np.int64)
-            df[order] = np.repeat(sets, sets)
-            keep = df >= 2
-            owner, tokens, often = owner[keep], tokens[keep], np.minimum(8 * np.log2(df[keep]), 255).astype(np.uint8)
+            steps = np.where(sets >= 2, np.minimum(8 * np.log2(sets), 255), 0).astype(np.uint8)
+            often = np.empty(len(tokens), np.uint8)
+            often[order] = np.repeat(steps, sets)
+            del order, head, sets, steps
+            keep = often > 0
+            owner, tokens, often = owner[keep], tokens[keep], often[keep]
             head = runs(owner)
             shared = np.diff(np.append(head, len(owner))).astype(np.int32)
             nodes, sizes = nodes[owner[head]], sizes[owner[head]]
