@@ -13,7 +13,7 @@ PERCENT = 75
 BITS = 64
 #: Of `blocks` only; `matches` goes by no radius, as repeated shingles can put a match beyond any.
 RADIUS = 23
-#: Item shingles up to this count are broadcast (8 bytes each); more are joined by a shuffle.
+#: Item shingles (8 bytes each) and matched documents (16) are broadcast up to this count; more are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 
 
