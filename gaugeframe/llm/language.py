@@ -17,11 +17,11 @@ from gaugeframe.llm.context_trees import Table
 #: A public vocabulary, read on the driver.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Letters of a piece, at most; longer pieces of the vocabulary are left out.
-LONGEST = 8
-#: Runs of letters are cut after so many, so that no product of probabilities underflows.
-RUN = 32
-#: Documents of a language that the probabilities are fitted on, at most.
+#: Runs of letters up to this length are summed in probabilities, which do not underflow there; longer ones in logarithms.
+SHORT = 32
+#: Letters of a longer run whose pieces are looked up at a time, and longer runs summed side by side.
+BLOCK, ABREAST = 1024, 64
+#: Different texts of a language that the probabilities are fitted on, at most (in expectation, by a hash of the text).
 FIT_ROWS = 1500
 ROUNDS = 3
 SMOOTHING = 0.02
@@ -32,8 +32,8 @@ UNDEFINED = "und"
 FAR = 4.0
 SLACK = 20.0
 Model = tuple[list[str], list[str], np.ndarray, np.ndarray]
-#: Words that a task remembers; when there are more it starts afresh.
-REMEMBERED = 1_000_000
+#: Letters of the words that a task remembers; when there are more it starts afresh.
+REMEMBERED = 8_000_000
 
 
 def vocabulary(path: str = VOCABULARY) -> list[str]:
@@ -42,14 +42,11 @@ def vocabulary(path: str = VOCABULARY) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lstrip("▁").lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in pieces if len(p) <= LONGEST and LETTERS.fullmatch(p))
+    return sorted(p for p in pieces if LETTERS.fullmatch(p))
 
 
 def runs_of_letters(text: str | None) -> list[str]:
-    found = LETTERS.findall((text or "").lower())
-    if found and len(max(found, key=len)) > RUN:
-        found = [w[i : i + RUN] for w in found for i in range(0, len(w), RUN)]
-    return found
+    return LETTERS.findall((text or "").lower())
 
 
 def _hash(piece: str) -> int:
@@ -64,28 +61,32 @@ class Pieces:
 
     def __init__(self, pieces: list[str]):
         self.n = len(pieces) + 1  # the last is `unknown`
+        self.longest = max(map(len, pieces), default=1)
         self.table = Table(mixed(np.array([_hash(p) for p in pieces], U64)), np.arange(len(pieces), dtype=np.float32))
 
+    def lattice(self, words: list[str], width: int) -> list[np.ndarray]:
+        """pieces[l][w, i] is the piece of l + 1 letters from letter i of word w, or -1; no word has more than `width` letters."""
+        data = "".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass")
+        letters = np.frombuffer(data, "<u4").reshape(len(words), width).astype(U64)
+        ends = np.array([len(w) for w in words])[:, None]
+        h, pieces = np.zeros_like(letters), []
+        for n in range(1, min(self.longest, width) + 1):
+            h = h[:, : width - n + 1] * U64(0x100000001B3) + letters[:, n - 1 :] + U64(1)
+            inside = np.arange(width - n + 1)[None, :] + n <= ends
+            value, known = self.table.get(mixed(h[inside]))
+            found = np.full(h.shape, -1, np.int32)
+            found[inside] = np.where(known, value.astype(np.int32), self.n - 1 if n == 1 else -1)
+            pieces.append(found)
+        return pieces
+
     def groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """(words' places, lengths, pieces): pieces[l][w, i] is the piece of l + 1 letters from letter i of word w, or -1."""
+        """(places, lengths, pieces) of words of at most SHORT letters."""
         lengths = np.array([len(w) for w in words])
-        for low, high in ((0, 4), (4, 8), (8, 12), (12, 20), (20, RUN)):
+        for low, high in ((0, 4), (4, 8), (8, 12), (12, 20), (20, SHORT)):
             which = np.flatnonzero((lengths > low) & (lengths <= high))
             for at in range(0, len(which), 1 << 15):
                 some = which[at : at + (1 << 15)]
-                letters = np.zeros((len(some), high), U64)
-                data = "".join(words[i].ljust(high, "\0") for i in some).encode("utf-32-le", "surrogatepass")
-                letters[:] = np.frombuffer(data, "<u4").reshape(len(some), high)
-                ends = lengths[some]
-                h, pieces = np.zeros_like(letters), []
-                for n in range(1, min(LONGEST, high) + 1):
-                    h = h[:, : high - n + 1] * U64(0x100000001B3) + letters[:, n - 1 :] + U64(1)
-                    inside = np.arange(high - n + 1)[None, :] + n <= ends[:, None]
-                    value, known = self.table.get(mixed(h[inside]))
-                    found = np.full(h.shape, -1, np.int32)
-                    found[inside] = np.where(known, value.astype(np.int32), self.n - 1 if n == 1 else -1)
-                    pieces.append(found)
-                yield some, ends, pieces
+                yield some, lengths[some], self.lattice([words[i] for i in some], high)
 
     def forward(self, ends: np.ndarray, pieces: list[np.ndarray], p: np.ndarray) -> np.ndarray:
         """alpha[i, w, l]: probability of the first i letters of word w in language l, over all segmentations; p has a last row of zeros."""
@@ -97,38 +98,103 @@ class Pieces:
                 alpha[i] += p[pieces[n - 1][:, i - n]] * alpha[i - n]
         return alpha
 
+    def long_groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+        """(places, lengths, words) of words of more letters, those of similar length together."""
+        lengths = np.array([len(w) for w in words])
+        which = np.flatnonzero(lengths > SHORT)
+        which = which[np.argsort(lengths[which], kind="stable")]
+        for at in range(0, len(which), ABREAST):
+            some = which[at : at + ABREAST]
+            yield some, lengths[some], [words[i] for i in some]
+
+    def block(self, words: list[str], at: int, size: int) -> np.ndarray:
+        """pieces[l, w, i] from letter at + i, for i below `size`."""
+        width = size + self.longest - 1
+        return np.stack([found[:, :size] for found in self.lattice([w[at : at + width] for w in words], width)])
+
+    def forward_logs(self, words: list[str], ends: np.ndarray, logs: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(at, size, alpha) by blocks of letters: alpha[i] is the log of `forward` after at + i letters, for i up to `size`."""
+        state = np.full((self.longest + 1, len(words), logs.shape[1]), -np.inf)
+        state[0] = 0.0
+        for at in range(0, int(ends.max()), BLOCK):
+            size = min(BLOCK, int(ends.max()) - at)
+            pieces = self.block(words, at, size)
+            alpha = np.full((size + self.longest + 1, *state.shape[1:]), -np.inf)
+            alpha[: len(state)] = state
+            for i in range(size):
+                ahead = alpha[i + 1 : i + 1 + self.longest]
+                np.logaddexp(ahead, alpha[i] + logs[pieces[:, :, i]], out=ahead)
+            yield at, size, alpha
+            state = alpha[size:]
+
     def word_logs(self, words: list[str], p: np.ndarray) -> np.ndarray:
         """Log probability of each word in each language."""
         out = np.zeros((len(words), p.shape[1]))
         for some, ends, pieces in self.groups(words):
             alpha = self.forward(ends, pieces, p)
             out[some] = np.log(np.maximum(alpha[ends, np.arange(len(ends))], 1e-300))
+        logs = _logs(p)
+        for some, ends, group in self.long_groups(words):
+            for at, size, alpha in self.forward_logs(group, ends, logs):
+                here = np.flatnonzero((ends > at) & (ends <= at + size))
+                out[some[here]] = alpha[ends[here] - at, here]
         return out
 
+    def _expect(self, ends: np.ndarray, pieces: list[np.ndarray], counts: np.ndarray, p: np.ndarray, expected: np.ndarray) -> None:
+        """Add to `expected` how often each piece stands in the words, over all segmentations."""
+        alpha = self.forward(ends, pieces, p)[:, :, 0]
+        width, each = pieces[0].shape[1], np.arange(len(ends))
+        beta = np.zeros((width + 1, len(ends)))
+        beta[ends, each] = 1.0
+        weight = counts / np.maximum(alpha[ends, each], 1e-300)
+        for i in range(width - 1, -1, -1):
+            for n in range(1, min(len(pieces), width - i) + 1):
+                which = pieces[n - 1][:, i]
+                through = p[which, 0] * beta[i + n]
+                beta[i] += through
+                np.add.at(expected, which, alpha[i] * through * weight)
+
+    def _expect_logs(self, words: list[str], ends: np.ndarray, counts: np.ndarray, p: np.ndarray, expected: np.ndarray) -> None:
+        """The same for long words. Sums of beginnings are kept; pieces are looked up again on the way back."""
+        logs, total, kept = _logs(p), np.zeros(len(words)), []
+        for at, size, alpha in self.forward_logs(words, ends, logs):
+            here = np.flatnonzero((ends > at) & (ends <= at + size))
+            total[here] = alpha[ends[here] - at, here, 0]
+            kept.append((at, size, alpha[:size, :, 0].copy()))
+        state = np.full((self.longest + 1, len(words)), -np.inf)
+        for at, size, alpha in reversed(kept):
+            pieces = self.block(words, at, size)
+            beta = np.full((size + self.longest + 1, len(words)), -np.inf)
+            beta[size:] = state
+            here = np.flatnonzero((ends > at) & (ends <= at + size))
+            beta[ends[here] - at, here] = 0.0
+            for i in range(size - 1, -1, -1):
+                through = logs[pieces[:, :, i], 0] + beta[i + 1 : i + 1 + self.longest]
+                beta[i] = np.logaddexp(beta[i], np.logaddexp.reduce(through, axis=0))
+                np.add.at(expected, pieces[:, :, i], np.exp(alpha[i] + through - total) * counts)
+            state = beta[: self.longest + 1]
+
     def fit(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Piece probabilities of one language by expectation maximisation over all segmentations of its words."""
         p = np.full((self.n + 1, 1), 1.0 / self.n)
         p[-1] = 0.0
-        lattices = list(self.groups(words))
+        lattices, longer = list(self.groups(words)), list(self.long_groups(words))
         for _ in range(ROUNDS):
             expected = np.zeros(self.n + 1)
             for some, ends, pieces in lattices:
-                alpha = self.forward(ends, pieces, p)[:, :, 0]
-                width, each = pieces[0].shape[1], np.arange(len(ends))
-                beta = np.zeros((width + 1, len(ends)))
-                beta[ends, each] = 1.0
-                weight = counts[some] / np.maximum(alpha[ends, each], 1e-300)
-                for i in range(width - 1, -1, -1):
-                    for n in range(1, min(len(pieces), width - i) + 1):
-                        which = pieces[n - 1][:, i]
-                        through = p[which, 0] * beta[i + n]
-                        beta[i] += through
-                        np.add.at(expected, which, alpha[i] * through * weight)
+                self._expect(ends, pieces, counts[some], p, expected)
+            for some, ends, group in longer:
+                self._expect_logs(group, ends, counts[some], p, expected)
             expected = expected[: self.n] + SMOOTHING
             p = np.append(expected / expected.sum(), 0.0)[:, None]
         return p[:, 0]
 
 
+def _logs(p: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(p)
+
+
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: dict[tuple[str, str], int] = {}
@@ -144,11 +210,12 @@ def fit(documents: DataFrame, training: Column, path: str = VOCABULARY, fit_rows
 
     `usual` is the mean log probability of a letter in the training words of each language, -inf where none were drawn.
 
-    Rows are counted by language first; of each, about `fit_rows` (those with the least hashes of the text) give their words,
-    so what comes to the driver is bounded by fit_rows and the number of languages.
+    Different texts are counted by language first; of each, about `fit_rows` (those with the least hashes) give their words, with
+    all their copies. So copies leave no language empty, and what comes to the driver, words with their counts, is bounded
+    by the words of fit_rows texts and the number of languages.
     """
     rows = documents.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r[0]: r[1] for r in rows.select("lang", F.xxhash64("text")).distinct().groupBy("lang").count().collect()}
     if not sizes:
         return [], [], np.zeros((1, 0)), np.zeros(0)
     share = F.element_at(F.create_map(*chain(*[(F.lit(k), F.lit(min(1.0, fit_rows / n))) for k, n in sizes.items()])), F.col("lang"))
@@ -170,17 +237,18 @@ def fit(documents: DataFrame, training: Column, path: str = VOCABULARY, fit_rows
 def _predict(sent, keep: int):
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, pieces, p, usual = sent.value
-        lattice, place, logs = Pieces(pieces), {}, np.zeros((0, len(langs)))
+        lattice, place, logs, letters = Pieces(pieces), {}, np.zeros((0, len(langs))), 0
         for batch in batches:
             column = batch.column(batch.num_columns - 1).to_pylist()
             preds, scores, likely = [], [], []
             for at in range(0, len(column), 500):
                 texts = [runs_of_letters(t) for t in column[at : at + 500]]
-                if len(place) > REMEMBERED:
-                    place, logs = {}, logs[:0]
+                if letters > REMEMBERED:
+                    place, logs, letters = {}, logs[:0], 0
                 new = list({w for t in texts for w in t if w not in place}) if langs else []
                 if new:
                     place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
+                    letters += sum(map(len, new))
                     logs = np.concatenate([logs, lattice.word_logs(new, p)])
                 for words in texts:
                     if not words or not langs:
@@ -219,8 +287,8 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     """All columns of `documents` with `lang_pred` and `score`, the posterior of the predicted language with equal priors.
 
     A word's probability in a language is the sum over its segmentations into pieces of a fixed public vocabulary of the
-    products of the pieces' probabilities; a text's is the product over its words (runs of letters, in lower case; every
-    run of more than 32 letters is cut after each 32nd). Only the text is read. A text that is null or has no letter is
+    products of the pieces' probabilities; a text's is the product over its words (whole runs of letters, in lower case). Only
+    the text is read. A text that is null or has no letter is
     `und` with score 0, as is every text if nothing was learned. Ties go to the first language by name. Repeated rows
     each give a row, an empty table gives an empty result, columns named like the results are replaced.
     """

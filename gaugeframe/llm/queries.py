@@ -124,7 +124,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     out = F.coalesce(held_out(F.col("doc_id"), 3, 1), F.lit(False))
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.fit(documents.filter(~out).select("doc_id", "text").join(labels, "doc_id"))
+    training = documents.filter(~out).select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    model = toxicity.fit(training.join(labels, "doc_id"), hashed="hash")
     return toxicity.score(documents.select("doc_id", out.alias("held_out"), "text"), model).drop("text")
 
 

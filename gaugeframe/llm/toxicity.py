@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.llm.language import LETTERS
+from gaugeframe.llm.storage import stored
 
 #: Neutral mentions of groups; within a line each can stand for each other.
 IDENTITY_TERMS = (
@@ -18,7 +19,7 @@ IDENTITY_TERMS = (
     ("black", "white", "asian", "latino"), ("gay", "straight", "lesbian", "bisexual"), ("transgender", "cisgender"),
     ("african", "european", "american", "mexican", "chinese"), ("old", "young"), ("disabled", "blind", "deaf"), ("immigrants", "natives"),
 )
-#: Labelled rows that the weights are fitted on, at most (in expectation, by a hash of the text).
+#: Different labelled texts that the weights are fitted on, at most (in expectation, by a hash of the text).
 FIT_ROWS = 12_000
 #: Letters of a word's beginnings that are features beside the word; `*` marks them.
 BEGINNINGS = (4, 5, 6)
@@ -40,10 +41,10 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many texts of either label hold a feature."""
     for batch in batches:
         counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for text, label, copies in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             own = counts[label]
             for f in {f for w in set(LETTERS.findall((text or "").lower())) for f in features_of(w)}:
-                own[f] = own.get(f, 0) + 1
+                own[f] = own.get(f, 0) + copies
         keys = list({**counts[0], **counts[1]})
         columns = [pa.array(keys, pa.string()), *[pa.array([c.get(k, 0) for k in keys], pa.int64()) for c in counts]]
         yield pa.RecordBatch.from_arrays(columns, names=["feature", "clean", "toxic"])
@@ -80,7 +81,7 @@ def _examples(features: list[str]):
                 words = set(LETTERS.findall((text or "").lower()))
                 own.append(sorted(lookup.of(words)))
                 other.append(sorted(lookup.of({swaps.get(w, w) for w in words})) if not swaps.keys().isdisjoint(words) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], names=["label", "own", "other"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], names=["label", "copies", "own", "other"])
 
     return f
 
@@ -90,19 +91,22 @@ def _sparse(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(rows)), sizes), np.array([i for r in rows for i in r], np.int64)
 
 
-def _solve(n: int, labels: np.ndarray, own: list[list[int]], pairs: list[tuple[list[int], list[int]]]) -> tuple[np.ndarray, float]:
-    """Weights and intercept of least logistic loss (both labels count the same), with a ridge and the squared change of the logit under swaps."""
+def _solve(n: int, labels: np.ndarray, copies: np.ndarray, own: list[list[int]], other: list[list[int] | None]) -> tuple[np.ndarray, float]:
+    """Weights and intercept of least logistic loss (both labels count the same, a text as often as it occurs), with a ridge
+    and the mean squared change of the logit under swaps."""
     row, col = _sparse(own)
-    first, second = _sparse([a for a, _ in pairs]), _sparse([b for _, b in pairs])
-    share = np.where(labels > 0, 0.5 / max(1, labels.sum()), 0.5 / max(1, len(labels) - labels.sum()))
+    paired = [i for i, o in enumerate(other) if o is not None]
+    first, second = _sparse([own[i] for i in paired]), _sparse([other[i] for i in paired])
+    toxic, total, swapped = copies @ labels, copies.sum(), copies[paired]
+    share = copies * np.where(labels > 0, 0.5 / max(1, toxic), 0.5 / max(1, total - toxic))
     w, b, m, v = np.zeros(n), 0.0, np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, STEPS + 1):
         logit = np.bincount(row, weights=w[col], minlength=len(labels)) + b
         off = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - labels) * share
         grad = np.bincount(col, weights=off[row], minlength=n) + RIDGE * w
-        if pairs:
-            change = np.bincount(first[0], weights=w[first[1]], minlength=len(pairs)) - np.bincount(second[0], weights=w[second[1]], minlength=len(pairs))
-            change = 2 * PENALTY * change / len(pairs)
+        if paired:
+            change = np.bincount(first[0], weights=w[first[1]], minlength=len(paired)) - np.bincount(second[0], weights=w[second[1]], minlength=len(paired))
+            change = 2 * PENALTY * change * swapped / swapped.sum()
             grad += np.bincount(first[1], weights=change[first[0]], minlength=n) - np.bincount(second[1], weights=change[second[0]], minlength=n)
         g = np.append(grad, off.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -114,21 +118,27 @@ def _solve(n: int, labels: np.ndarray, own: list[list[int]], pairs: list[tuple[l
 Model = tuple[list[str], np.ndarray, float]
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, hashed: str | None = None) -> Model:
     """(features, weights, intercept) from rows (text, toxic).
 
-    About `fit_rows` rows, those with the least hashes of the text, are read; what comes to the driver is at most
-    MOST_FEATURES features and fit_rows short lists of them. Features are words and their first 4 to 6 letters that tell
-    the labels apart, with all identity terms that occur. Swapped copies of texts with identity terms carry no label: the
-    fit pays for the squared difference of their logits, so that a group's name moves no score.
+    About `fit_rows` different texts, those with the least hashes, are read with all their copies; equal texts of one label are
+    one example that counts as often as it occurs. What comes to the driver is at most MOST_FEATURES features and a
+    short list of them for each example. Features are words and their first 4 to 6 letters that tell the labels apart, with
+    all identity terms that occur. Swapped copies of texts with identity terms carry no label: the fit pays for the squared
+    difference of their logits, so that a group's name moves no score.
+
+    `hashed` names a column with xxhash64 of the text. Taken before texts meet their labels, it lets the choice be made there.
     """
-    rows = labelled.filter(F.col("toxic").isNotNull() & F.col("text").isNotNull()).select("text", (F.col("toxic") > 0).cast("int").alias("label"))
-    n = rows.count()
+    of_text = F.col(hashed) if hashed else F.xxhash64("text")
+    rows = labelled.filter(F.col("toxic").isNotNull() & F.col("text").isNotNull()).select("text", (F.col("toxic") > 0).cast("int").alias("label"), of_text.alias("hash"))
+    n = rows.select("hash").distinct().count()
     if not n:
         return [], np.zeros(0), -1.0
-    chosen = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < min(1.0, fit_rows / n) * float(1 << 30))
+    below = int(min(1.0, fit_rows / n) * (1 << 50))
+    chosen = rows.filter(F.pmod("hash", F.lit(1 << 50)) < below).groupBy("text", "label").agg(F.count(F.lit(1)).alias("copies"))
+    chosen = stored(chosen, "toxicity-examples")
     counts = chosen.mapInArrow(_counts, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    sizes = chosen.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
+    sizes = chosen.agg(F.coalesce(F.sum(F.col("label") * F.col("copies")), F.lit(0)), F.coalesce(F.sum("copies"), F.lit(0))).first()
     toxic, clean = max(1, sizes[0]), max(1, sizes[1] - sizes[0])
     p, q = F.col("toxic") / toxic, F.col("clean") / clean
     both = (F.col("toxic") + F.col("clean")) / float(toxic + clean)
@@ -138,9 +148,9 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     features = [r[0] for r in told.orderBy(F.desc("z"), "feature").limit(MOST_FEATURES).select("feature").collect()]
     named = {r[0] for r in counts.filter(F.col("feature").isin(terms)).select("feature").collect()}
     features += sorted(named - set(features))
-    examples = chosen.mapInArrow(_examples(features), "label int, own array<int>, other array<int>").collect()
-    pairs = [(r["own"], r["other"]) for r in examples if r["other"] is not None]
-    w, b = _solve(len(features), np.array([r["label"] for r in examples], float), [r["own"] for r in examples], pairs)
+    examples = chosen.mapInArrow(_examples(features), "label int, copies long, own array<int>, other array<int>").collect()
+    labels, copies = (np.array([r[c] for r in examples], float) for c in ("label", "copies"))
+    w, b = _solve(len(features), labels, copies, [r["own"] for r in examples], [r["other"] for r in examples])
     return features, w, float(b)
 
 

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gaugeframe.llm import automata, context_trees, decontamination, fingerprints, jaccard, language, mixing, native, sharding, suffix_groups, toxicity
+from gaugeframe.llm import automata, context_trees, decontamination, fingerprints, jaccard, language, mixing, native, queries, sharding, suffix_groups, toxicity
 from tests.llm.conftest import edge_rows, words
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -340,6 +340,61 @@ def test_forward_sums_all_segmentations():
         assert math.isclose(lattice.word_logs([w], p)[0, 0], math.log(total(w)), rel_tol=1e-9)
 
 
+def plain_logs(word, prob, unknown):
+    """Log of the sum over all segmentations, letter by letter."""
+    logs = [0.0]
+    for i in range(1, len(word) + 1):
+        terms = [logs[i - n] + math.log(q) for n in range(1, min(20, i) + 1) if (q := prob.get(word[i - n : i], unknown if n == 1 else 0))]
+        logs.append(max(terms) + math.log(sum(math.exp(t - max(terms)) for t in terms)))
+    return logs[-1]
+
+
+def test_long_runs_of_letters_are_not_cut(monkeypatch):
+    pieces = ["a", "ab", "b", "ba", "c", "abcabcabcabc"]
+    lattice, r = language.Pieces(pieces), random.Random(3)
+    p = np.array([[0.2, 0.1], [0.25, 0.1], [0.1, 0.2], [0.15, 0.2], [0.05, 0.1], [0.05, 0.1], [0.2, 0.2], [0.0, 0.0]])
+    some = ["".join(r.choice("abcx") for _ in range(n)) for n in (1, 30, 32, 33, 64, 500, 2049, 3000)] + ["abc" * 400]
+    for block in (language.BLOCK, 32, 50):
+        monkeypatch.setattr(language, "BLOCK", block)
+        got = lattice.word_logs(some, p)
+        for w, row in zip(some, got, strict=True):
+            for g in (0, 1):
+                assert math.isclose(row[g], plain_logs(w, dict(zip(pieces, p[:, g])), 0.2), rel_tol=1e-9)
+
+
+def test_fit_of_long_runs_is_that_of_short_ones(monkeypatch):
+    r = random.Random(5)
+    some = ["".join(r.choice("abc") for _ in range(r.randint(1, 30))) for _ in range(60)]
+    counts, lattice = np.array([r.randint(1, 9) for _ in some], float), language.Pieces(["a", "ab", "b", "ba", "c", "cabca"])
+    usual = lattice.fit(some, counts)
+    monkeypatch.setattr(language, "SHORT", 0)
+    monkeypatch.setattr(language.Pieces, "groups", lambda self, words: iter(()))
+    for block in (language.BLOCK, 7):
+        monkeypatch.setattr(language, "BLOCK", block)
+        assert np.allclose(lattice.fit(some, counts), usual, rtol=1e-9)
+
+
+def test_a_language_of_copies_is_learned(spark):
+    """Two languages of few texts with many copies each, beside one of many texts: none is left without words."""
+    rows = [(" ".join(words(900 + i % 3, 30)), "en") for i in range(900)]
+    rows += [(" ".join(["zwar", "doch", "nicht", "immer"][i % 4] for _ in range(20)), "de") for i in range(900)]
+    rows += [(f"mot{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} toujours", "fr") for i in range(600)]
+    langs, _, p, usual = language.fit(spark.createDataFrame(rows, "text string, lang string"), F.lit(True), fit_rows=5)
+    assert langs == ["de", "en", "fr"] and np.isfinite(usual).all()
+
+
+def test_registered_language_query(spark, sf_dir):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = documents.collect()
+    out = {r["doc_id"]: r for r in queries.QUERIES["op5_language_id"](spark, sf_dir).collect()}
+    assert len(out) == len(kept) and set(out[kept[0]["doc_id"]].asDict()) == {"doc_id", "held_out", "lang_pred", "score"}
+    for r in kept:
+        o, letters = out[r["doc_id"]], bool(re.search(r"[^\W\d_]", r["text"] or ""))
+        assert o["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and (o["lang_pred"] == "und") == (not letters) and 0 <= o["score"] <= 1
+    told = [(r["lang"], out[r["doc_id"]]["lang_pred"]) for r in kept if out[r["doc_id"]]["held_out"] and r["lang"]]
+    assert sum(a == b for a, b in told) >= 0.97 * len(told)
+
+
 def labelled_rows():
     r = random.Random(4)
     plain, bad = [f"plain{i}" for i in range(200)], ["idiot", "scum", "moron"]
@@ -370,6 +425,67 @@ def test_toxicity_is_told_and_group_names_are_not(spark, edges, nothing):
     assert {round(r["score"], 6) for r in toxicity.score(edges, toxicity.fit(df.limit(0))).collect()} == {round(1 / (1 + math.e), 6)}
 
 
+def plain_loss(x, labels, copies, pairs, weights):
+    """The loss by its definition, on a dense table, with its gradient and curvature."""
+    w, b = weights[:-1], weights[-1]
+    one = np.append(x, np.ones((len(x), 1)), axis=1)
+    q = 1 / (1 + np.exp(-(x @ w + b)))
+    share = copies * np.where(labels > 0, 0.5 / (copies @ labels), 0.5 / (copies @ (1 - labels)))
+    loss = -(share @ np.where(labels > 0, np.log(q), np.log(1 - q))) + toxicity.RIDGE / 2 * w @ w
+    grad, curve = one.T @ (share * (q - labels)), one.T @ (one * (share * q * (1 - q))[:, None])
+    grad[:-1] += toxicity.RIDGE * w
+    curve[:-1, :-1] += toxicity.RIDGE * np.eye(len(w))
+    if pairs:
+        d, many = np.array([x[i] - o for i, o in pairs]), copies[[i for i, _ in pairs]]
+        many = many / many.sum()
+        loss += toxicity.PENALTY * many @ (d @ w) ** 2
+        grad[:-1] += 2 * toxicity.PENALTY * d.T @ (many * (d @ w))
+        curve[:-1, :-1] += 2 * toxicity.PENALTY * d.T @ (d * many[:, None])
+    return loss, grad, curve
+
+
+def test_toxicity_weights_against_a_plain_solver(monkeypatch):
+    r = np.random.default_rng(8)
+    x, labels, copies = (r.random((80, 6)) < 0.4).astype(float), (r.random(80) < 0.4).astype(float), r.integers(1, 5, 80).astype(float)
+    swapped = [x[i, [1, 0, 2, 3, 4, 5]] if x[i, 0] != x[i, 1] else None for i in range(80)]
+    sets = lambda row: [int(i) for i in np.flatnonzero(row)]
+    monkeypatch.setattr(toxicity, "RIDGE", 0.01)
+    w, b = toxicity._solve(6, labels, copies, [sets(row) for row in x], [None if s is None else sets(s) for s in swapped])
+    pairs, best = [(i, s) for i, s in enumerate(swapped) if s is not None], np.zeros(7)
+    for _ in range(50):
+        _, grad, curve = plain_loss(x, labels, copies, pairs, best)
+        best = best - np.linalg.solve(curve, grad)
+    assert np.allclose(np.append(w, b), best, atol=2e-3)
+    assert plain_loss(x, labels, copies, pairs, np.append(w, b))[0] <= plain_loss(x, labels, copies, pairs, best)[0] + 1e-6
+
+
+def test_one_text_of_half_the_labels_stays_one_example(spark):
+    rows = [(t, l) for _, t, l in labelled_rows()]
+    df = spark.createDataFrame(rows + [("plain1 plain2 scum", 1)] * 600, "text string, toxic int")
+    seen, solve = [], toxicity._solve
+    try:
+        toxicity._solve = lambda n, labels, copies, own, other: seen.append((len(labels), int(copies.sum()))) or solve(n, labels, copies, own, other)
+        model = toxicity.fit(df)
+        toxicity.fit(df, fit_rows=30)
+    finally:
+        toxicity._solve = solve
+    assert seen[0] == (601, 1200) and 5 <= seen[1][0] <= 80
+    score = {r["text"]: r["score"] for r in toxicity.score(df.select("text").distinct(), model).collect()}
+    assert all((score[t] >= 0.7) == bool(l) for t, l in rows)
+
+
+def test_registered_toxicity_query(spark, sf_dir):
+    documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    out = {r["doc_id"]: r for r in queries.QUERIES["op6_toxicity"](spark, sf_dir).collect()}
+    assert set(out) == {r[0] for r in documents.select("doc_id").collect()}
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["doc_id"] in out and r["toxic"] is not None}
+    for d, o in out.items():
+        assert o["held_out"] == (zlib.crc32(str(d).encode()) % 3 == 1) and 0 <= o["score"] <= 1 and o["predicted"] == int(o["score"] >= 0.7)
+    held = [(toxic[d] > 0, o["score"]) for d, o in out.items() if o["held_out"] and d in toxic]
+    good, bad = [s for t, s in held if not t], [s for t, s in held if t]
+    assert good and bad and sum((a > b) + 0.5 * (a == b) for a in bad for b in good) >= 0.9 * len(good) * len(bad)
+
+
 def plain_context_tree(training, texts, depth=context_trees.DEPTH):
     """Context-tree weighting by its definition, with dictionaries."""
     counts = {}
