@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeframe.functions import tails
+from gaugeframe.functions.tail_columns import f_tail
 from gaugeframe.operators import least_squares
 from gaugeframe.operators.variance import (
     cliffs_delta,
@@ -179,7 +180,7 @@ def anova(
     if not used:
         return spark.createDataFrame([], ANOVA_SCHEMA)
     if sum(sizes[f] for f in used) - max(sizes[f] for f in used) > MAX_COEFFICIENTS:
-        return spark.createDataFrame(_anova_by_gradients(g, stratum, used, sizes, anova_type), ANOVA_SCHEMA)
+        return _with_p_values(spark.createDataFrame(_anova_by_gradients(g, stratum, used, sizes, anova_type), ANOVA_SCHEMA))
     largest, small, columns, total, big_ss, counts, sums, eliminated, base_rows = _anova_inputs(df, g, stratum, used, sizes)
     size = len(columns)
     out = []
@@ -223,21 +224,25 @@ def anova(
             scale = 1.0 / first["n"] + (float(gap @ inverse @ gap) if size else 0.0)
             rows.insert(0, ("Intercept", estimate * estimate / scale, 1, True))
         out += _anova_rows(key, rows, sse, df_error, anova_type)
-    return spark.createDataFrame(out, ANOVA_SCHEMA)
+    return _with_p_values(spark.createDataFrame(out, ANOVA_SCHEMA))
+
+
+def _with_p_values(rows: DataFrame) -> DataFrame:
+    """P(F > f) in place of the degrees of freedom of the error that the rows bring in `p_value`."""
+    return rows.withColumn("p_value", f_tail(F.col("f_stat"), F.col("df"), F.col("p_value")))
 
 
 def _anova_rows(key: str, rows: list[tuple], sse: float, df_error: float, anova_type: int) -> list[tuple]:
-    """Table rows of a stratum from (term, sum of squares, df, is the intercept)."""
+    """Table rows of a stratum from (term, sum of squares, df, is the intercept), with the error's degrees of freedom for `p_value`."""
     out = []
     mse = sse / df_error if df_error > 0 else 0.0
     table_total = sum(r[1] for r in rows) + sse
     for term, ss, df_f, intercept in rows:
         usable = mse > 0 and df_error > 0
         f_stat = ss / df_f / mse if usable else None
-        p = float(tails.f_sf(max(f_stat, 0.0), df_f, df_error)) if usable else None
         eta = ss / (ss + sse) if ss + sse > 0 else 0.0
         omega = max((ss - df_f * mse) / (table_total + mse), 0.0) if table_total + mse > 0 else 0.0
-        out.append((str(key), term, f"anova_type_{anova_type}", float(ss), float(df_f), f_stat, p, float(eta), float(omega), intercept))
+        out.append((str(key), term, f"anova_type_{anova_type}", float(ss), float(df_f), f_stat, float(df_error) if usable else None, float(eta), float(omega), intercept))
     return out
 
 

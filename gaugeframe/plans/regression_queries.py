@@ -26,10 +26,15 @@ th AS (SELECT (SELECT avg(metric_value) FROM cells_balanced WHERE model = 'm0')
 s3 AS (SELECT * FROM s UNION ALL SELECT 'Intercept', t * t / (q / e.n), 1 FROM th, e)"""
 _EFFECTS = """sum_sq, df, sum_sq / df / mse AS f_stat, sum_sq / (sum_sq + sse) AS partial_eta_squared,
 greatest((sum_sq - df * mse) / ((SELECT sum(sum_sq) FROM {t}) + sse + mse), 0) AS omega_squared"""
-_AD = "sum_sq df f_stat partial_eta_squared omega_squared"
+_AD = "sum_sq df f_stat p_value partial_eta_squared omega_squared"
 
 
-@query("f9_anova_type2", f"WITH {_BALANCED} SELECT term, {_EFFECTS.format(t='s')} FROM s, e", _AD)
+def _with_p(table: str) -> str:
+    """The ANOVA table of the sums of squares in `table`, with p-values."""
+    return f"""x AS (SELECT term, dfe, {_EFFECTS.format(t=table)} FROM {table}, e), pv AS ({S.f_tail('x')})"""
+
+
+@query("f9_anova_type2", f"WITH {_BALANCED}, {_with_p('s')} SELECT x.* EXCLUDE dfe, p_value FROM x JOIN pv USING (term)", _AD)
 def f9(spark, sf):
     return M.anova(cells_balanced(spark, sf), 2).select("term", *_AD.split())
 
@@ -39,7 +44,7 @@ def f9u(spark, sf):
     return M.anova(cells_graded(spark, sf), 2)
 
 
-@query("f10_anova_type3", f"WITH {_BALANCED} SELECT term, {_EFFECTS.format(t='s3')}, term = 'Intercept' AS is_intercept FROM s3, e", _AD)
+@query("f10_anova_type3", f"WITH {_BALANCED}, {_with_p('s3')} SELECT x.* EXCLUDE dfe, p_value, term = 'Intercept' AS is_intercept FROM x JOIN pv USING (term)", _AD)
 def f10(spark, sf):
     return M.anova(cells_balanced(spark, sf), 3).select("term", *_AD.split(), "is_intercept")
 
@@ -61,13 +66,13 @@ cl AS (SELECT e.facet, avg(CASE WHEN l.y > h.y THEN 1.0 WHEN l.y < h.y THEN -1.0
 
 @query(
     "f13_factor_effect_sizes",
-    f"""WITH {_BALANCED}, {_ENDS}, x AS (SELECT term, {_EFFECTS.format(t='s')} FROM s, e)
-SELECT term AS factor, d AS cohens_d, delta AS cliffs_delta, -delta AS cliffs_delta_high_minus_low, partial_eta_squared, omega_squared
-FROM x JOIN cd ON cd.facet = term JOIN cl ON cl.facet = term""",
-    "cohens_d cliffs_delta cliffs_delta_high_minus_low partial_eta_squared omega_squared",
+    f"""WITH {_BALANCED}, {_ENDS}, {_with_p('s')}
+SELECT x.term AS factor, d AS cohens_d, delta AS cliffs_delta, -delta AS cliffs_delta_high_minus_low, partial_eta_squared, omega_squared, p_value AS p_value_type2
+FROM x JOIN pv USING (term) JOIN cd ON cd.facet = term JOIN cl ON cl.facet = term""",
+    "cohens_d cliffs_delta cliffs_delta_high_minus_low partial_eta_squared omega_squared p_value_type2",
 )
 def f13(spark, sf):
-    return M.factor_effect_sizes(cells_balanced(spark, sf)).drop("p_value_type2")
+    return M.factor_effect_sizes(cells_balanced(spark, sf))
 
 
 def _corpus(spark, sf):
@@ -90,8 +95,8 @@ b AS (SELECT * FROM m WHERE model = 'm0'),
 c AS (SELECT 'const' AS term, ln(p / (1 - p)) AS est, sqrt(1 / (n * p * (1 - p))) AS se FROM b
 UNION ALL SELECT 'model_id_' || m.model, ln(m.p / (1 - m.p)) - ln(b.p / (1 - b.p)), sqrt(1 / (m.n * m.p * (1 - m.p)) + 1 / (b.n * b.p * (1 - b.p)))
 FROM m, b WHERE m.model <> 'm0')"""
-_OR = "term, est AS log_odds_estimate, se AS std_error, est / se AS z, exp(est) AS odds_ratio, exp(est - 1.96 * se) AS or_ci_lower, exp(est + 1.96 * se) AS or_ci_upper"
-_OR_D = "log_odds_estimate std_error z odds_ratio or_ci_lower or_ci_upper"
+_OR = f"term, est AS log_odds_estimate, se AS std_error, est / se AS z, {S.normal_tails('est / se')} AS p_value, exp(est) AS odds_ratio, exp(est - 1.96 * se) AS or_ci_lower, exp(est + 1.96 * se) AS or_ci_upper"
+_OR_D = "log_odds_estimate std_error z p_value odds_ratio or_ci_lower or_ci_upper"
 
 
 @query("f17_binomial_glm", f"WITH {_LOGIT} SELECT {_OR} FROM c", _OR_D)

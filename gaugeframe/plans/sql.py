@@ -127,3 +127,20 @@ sub AS (SELECT p.n_requested, CAST(p.subset_index AS INTEGER) AS subset_index,
                CAST(count(DISTINCT p.task_id) AS INTEGER) AS n_tasks_model, mt.model, avg(mt.mean) AS score
         FROM picks p JOIN mt USING (task_id) GROUP BY 1, 2, 4),
 sizes AS (SELECT n_requested, CAST(subset_index AS INTEGER) AS subset_index, CAST(count(*) AS INTEGER) AS n_tasks FROM picks GROUP BY 1, 2)"""
+
+
+def f_tail(relation: str) -> str:
+    """term and p_value = P(F > f_stat) for a relation of term, f_stat, df and dfe, by the continued fraction of the incomplete beta function."""
+    step = "1 + m * (q - m) * t / ((p + 2 * m - 1) * (p + 2 * m)) / (1 - (p + m) * (p + q + m) * t / ((p + 2 * m) * (p + 2 * m + 1)) / h)"
+    return f"""SELECT term, CASE WHEN f_stat <= 0 THEN 1 WHEN swapped THEN 1 - part ELSE part END AS p_value FROM (
+SELECT *, exp(lgamma(p + q) - lgamma(p) - lgamma(q) + p * ln(t) + q * ln(1 - t)) / p
+  / (1 - (p + q) * t / (p + 1) / list_reduce(CAST(range(2000, 0, -1) AS DOUBLE[]), lambda h, m: {step}, CAST(1 AS DOUBLE))) AS part
+FROM (SELECT *, CASE WHEN swapped THEN b ELSE a END AS p, CASE WHEN swapped THEN a ELSE b END AS q, CASE WHEN swapped THEN 1 - x ELSE x END AS t
+FROM (SELECT *, x > (a + 1) / (a + b + 2) AS swapped
+FROM (SELECT term, f_stat, CAST(dfe AS DOUBLE) / 2 AS a, CAST(df AS DOUBLE) / 2 AS b, CAST(dfe AS DOUBLE) / (dfe + df * f_stat) AS x FROM {relation}))))"""
+
+
+def normal_tails(z: str) -> str:
+    """P(|N(0, 1)| > |z|), by the series of the error function, whose terms are all positive; nothing is left beyond 10."""
+    return f"""CASE WHEN abs({z}) > 10 THEN 0 ELSE 1 - sqrt(2 / pi()) * exp(-0.5 * ({z}) ** 2) * abs({z})
+  * list_reduce(CAST(range(400, 0, -1) AS DOUBLE[]), lambda h, m: 1 + ({z}) ** 2 / (2 * m + 1) * h, CAST(1 AS DOUBLE)) END"""

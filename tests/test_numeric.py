@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeframe.functions import tails
+from gaugeframe.functions import tail_columns, tails
 from gaugeframe.operators import regression as M
 from gaugeframe.operators import resampling as R
 from gaugeframe.operators import variance as V
@@ -273,3 +273,16 @@ def test_row_bootstrap_broadcasts_no_draws(spark, monkeypatch):
     assert found[0] == found[1] and len(found[0]) == 40
     assert "BroadcastHashJoin [model" in plans[0] and "BuildRight" in plans[0]
     assert "BroadcastHashJoin" not in plans[1].split("_values")[0]
+
+
+def test_f_tail_as_a_column(spark):
+    rows = [(f, a, b) for f in (0.01, 0.5, 1.0, 3.0, 200.0) for a in (1.0, 2.0, 9.0, 200.0) for b in (1.0, 2.0, 7.0, 1000.0, 60000.0)]
+    columns = "f double, a double, b double"
+    tail = tail_columns.f_tail(F.col("f"), F.col("a"), F.col("b"))
+    for r in spark.createDataFrame(rows, columns).withColumn("p", tail).collect():
+        assert abs(r.p - float(tails.f_sf(r.f, r.a, r.b))) < 1e-10
+    # F(2, n) has the tail (1 + 2 f / n) ** (-n / 2), for any number of rows
+    for r in spark.createDataFrame([(f, 2.0, n) for f in (0.3, 2.5) for n in (4.0, 1e6, 1e9)], columns).withColumn("p", tail).collect():
+        assert np.isclose(r.p, np.exp(-r.b / 2 * np.log1p(2 * r.f / r.b)), rtol=1e-9, atol=0)
+    odd = spark.createDataFrame([(0.0, 1.0, 5.0), (-1.0, 1.0, 5.0), (None, 1.0, 5.0), (1.0, 1.0, None)], columns).withColumn("p", tail).collect()
+    assert [r.p for r in odd] == [1.0, 1.0, None, None]
