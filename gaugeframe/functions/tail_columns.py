@@ -53,8 +53,8 @@ def _fraction(a: Column, b: Column, x: Column) -> Column:
 def f_tail(f: Column, df1: Column, df2: Column) -> Column:
     """P(F > f) of the F distribution; 1 for f of 0 or less, null where an argument is null.
 
-    It is the incomplete beta function at df2 / (df2 + df1 f). Logarithms are taken from the ratio df1 f / df2, so that any
-    number of degrees of freedom keeps its digits.
+    It is the incomplete beta function at df2 / (df2 + df1 f). Logarithms are taken from the ratio df1 f / df2. The fraction
+    loses digits as df2 / (df2 + df1 f) comes near 1: 9 are left at 1e6 degrees of freedom of the error, 8 at 1e9.
     """
     a, b, ratio = df2 / 2.0, df1 / 2.0, df1 * f / df2
     x, rest = 1.0 / (1.0 + ratio), ratio / (1.0 + ratio)
