@@ -6,6 +6,11 @@ loss and repartitioning cannot change a result, and any engine with md5 can repe
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +19,11 @@ CHUNK = 4096
 # One md5 gives two draws of 15 hex digits (60 bits), so the modulo bias stays below n / 2^60.
 HEX_DIGITS = 15
 SECOND_AT = 17
+# Draws that are sorted and packed at once (32 MB of longs), and digests taken at once.
+RUN = 1 << 22
+DIGESTS = 1 << 16
+# Largest step of a byte of packed draws, which is not a draw itself.
+STEP = 255
 
 
 def digest(*parts: Column | str | int) -> Column:
@@ -110,3 +120,60 @@ def index_draws(
 
 def by_cols(by: list[str]) -> list[Column]:
     return [F.col(c) for c in by]
+
+
+def _run_draws(key: bytes, first: int, last: int, n: int) -> np.ndarray:
+    """The draws of ``index_draws`` in the pairs from ``first`` until ``last``."""
+    drawn = []
+    for start in range(first, last, DIGESTS):
+        pairs = range(start, min(start + DIGESTS, last))
+        raw = b"".join([hashlib.md5(b"%s%d" % (key, p), usedforsecurity=False).digest() for p in pairs])
+        drawn.append((np.frombuffer(raw, ">u8") >> 64 - 4 * HEX_DIGITS).astype(np.int64) % n)
+    return np.concatenate(drawn)[: n - 2 * first]
+
+
+def pack_steps(sorted_at: np.ndarray) -> bytes:
+    """Ascending places as the steps between them, a byte each; a step of ``STEP`` or more is led by bytes ``STEP``."""
+    whole, rest = np.divmod(np.diff(sorted_at, prepend=0), STEP)
+    ends = np.cumsum(whole + 1)
+    steps = np.full(int(ends[-1]), STEP, np.uint8)
+    steps[ends - 1] = rest
+    return steps.tobytes()
+
+
+def unpack_steps(packed: bytes) -> np.ndarray:
+    steps = np.frombuffer(packed, np.uint8)
+    return np.cumsum(steps, dtype=np.int64)[steps != STEP]
+
+
+def packed_draws(groups: DataFrame, by: list[str], n_iterations: int, seed: int, block_bits: int) -> DataFrame:
+    """The draws of ``index_draws``, packed by block of indices: (by…, iteration, _block, _steps).
+
+    A run of an iteration's draws is sorted, so that a draw takes little more than a byte in a shuffle. Groups (by…, n) have no
+    null keys.
+    """
+    spark = groups.sparkSession
+    slots = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    runs = (
+        groups.filter("n > 0")
+        .withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(n_iterations - 1))))
+        .withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / RUN))))
+        .repartition(slots, *by, "iteration", "_run")
+        .withColumn("_key", F.concat(F.concat_ws("|", F.lit(seed).cast("string"), *[F.col(c).cast("string") for c in by], F.col("iteration").cast("string")), F.lit("|")))
+    )
+    kept = [*by, "iteration"]
+    schema = groups.select(*by).schema.add("iteration", "integer").add("_block", "long").add("_steps", "binary")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, (key, run, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_key", "_run", "n")), strict=True)):
+                first = run * (RUN // 2)
+                drawn = np.sort(_run_draws(key.encode(), first, min(first + RUN // 2, (n + 1) // 2), n))
+                block = drawn >> block_bits
+                starts = np.flatnonzero(np.diff(block, prepend=-1))
+                steps = [pack_steps(at) for at in np.split(drawn & ((1 << block_bits) - 1), starts[1:])]
+                same = pa.array(np.full(len(starts), row))
+                columns = [batch.column(c).take(same) for c in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(block[starts]), pa.array(steps, pa.binary())], schema.names)
+
+    return runs.mapInArrow(pack, schema)

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType
 
-from gaugeframe.functions.draws import dense_index, digest, index_draws
+from gaugeframe.functions.draws import dense_index, digest, index_draws, packed_draws, unpack_steps
 from gaugeframe.operators.ranking import (
     TIE_PLACES,
     baseline_rankings,
@@ -37,6 +38,9 @@ BIN_VALUES = 10_000
 BLOCK_BITS = 12
 BLOCK = 1 << BLOCK_BITS
 LOCAL_ROWS = 1_000_000
+# block of values that packed draws are sent to, and drawn values given back at once
+WIDE_BITS = 15
+DRAWN = 1 << 20
 
 
 def bootstrap_statistics(
@@ -51,25 +55,65 @@ def bootstrap_statistics(
     """(by…, iteration, stat): every iteration redraws all rows of its group with replacement.
 
     Rows lie in blocks of ``BLOCK`` values by a dense index, and a draw looks its value up in its block. Where all rows are few,
-    the blocks go to the draws and no draw is shuffled; otherwise the draws go to their blocks. Work is n_bootstrap x rows,
-    spread evenly. ``statistic`` is any aggregate of a column.
+    the blocks go to the draws and no draw is shuffled; otherwise the draws go to their blocks, packed to little more than a byte
+    each. Work is n_bootstrap x rows, spread evenly. ``statistic`` is any aggregate of a column.
     """
     by = by or []
     rows = df.filter(F.col(value).isNotNull())
     indexed = dense_index(rows.select(*dict.fromkeys([*by, *id_cols, value])), id_cols, by)
     sizes = cut_lineage(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")))
-    blocks = value_blocks(indexed, value, by)
     few = (sizes.agg(F.sum("n").alias("n")).first().n or 0) <= LOCAL_ROWS
-    blocks = F.broadcast(blocks) if few else blocks.hint("shuffle_hash")
-    draws = index_draws(sizes, by, n_bootstrap, seed)
-    placed = draws.select(*by, "iteration", F.shiftright("idx", BLOCK_BITS).alias("_block"), F.col("idx").bitwiseAND(BLOCK - 1).cast("int").alias("_at"))
-    drawn = placed.join(blocks, [*by, "_block"]).select(*by, "iteration", F.col("_values")[F.col("_at")].alias(value))
+    if few:
+        draws = index_draws(sizes, by, n_bootstrap, seed)
+        placed = draws.select(*by, "iteration", F.shiftright("idx", BLOCK_BITS).alias("_block"), F.col("idx").bitwiseAND(BLOCK - 1).cast("int").alias("_at"))
+        joined = placed.join(F.broadcast(value_blocks(indexed, value, by)), [*by, "_block"])
+        drawn = joined.select(*by, "iteration", F.col("_values")[F.col("_at")].alias(value))
+    else:
+        # a null level meets no rows, as in the join
+        draws = packed_draws(sizes.dropna(subset=by) if by else sizes, by, n_bootstrap, seed, WIDE_BITS)
+        drawn = _drawn_values(draws, value_blocks(indexed, value, by, WIDE_BITS), by, value)
     return drawn.groupBy(*by, "iteration").agg(statistic(value).alias("stat"))
 
 
-def value_blocks(indexed: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """(by…, _block, _values): values of ``BLOCK`` consecutive positions ``idx`` in an array."""
-    keyed = indexed.select(*by, F.shiftright("idx", BLOCK_BITS).alias("_block"), F.struct("idx", F.col(value).alias("v")).alias("_v"))
+def _drawn_values(draws: DataFrame, blocks: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by…, iteration, value) of packed draws: a task reads each block's values, then all draws from it, and keeps one block."""
+    spark = draws.sparkSession
+    slots = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    both = blocks.unionByName(draws, allowMissingColumns=True).repartition(slots, *by, "_block")
+    lined = both.sortWithinPartitions(*by, "_block", F.asc_nulls_first("iteration"))
+    kept = [*by, "iteration"]
+    schema = draws.select(*kept).schema.add(blocks.schema["_values"])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = None
+        for batch in batches:
+            own, packed = batch.column("_values"), batch.column("_steps")
+            rows, found, size = [], [], 0
+
+            def flush(batch=batch) -> pa.RecordBatch:
+                offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(found))
+                return pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(rows)) for c in kept], lists], schema.names)
+
+            for row in range(batch.num_rows):
+                if not packed[row].is_valid:
+                    values = own[row].values
+                    continue
+                rows.append(row)
+                found.append(values.take(pa.array(unpack_steps(packed[row].as_py()))))
+                size += len(found[-1])
+                if size >= DRAWN:
+                    yield flush()
+                    rows, found, size = [], [], 0
+            if rows:
+                yield flush()
+
+    return lined.mapInArrow(look_up, schema).select(*kept, F.explode("_values").alias(value))
+
+
+def value_blocks(indexed: DataFrame, value: str, by: list[str], bits: int = BLOCK_BITS) -> DataFrame:
+    """(by…, _block, _values): values of two to the power ``bits`` consecutive positions ``idx`` in an array."""
+    keyed = indexed.select(*by, F.shiftright("idx", bits).alias("_block"), F.struct("idx", F.col(value).alias("v")).alias("_v"))
     packed = keyed.groupBy(*by, "_block").agg(F.array_sort(F.collect_list("_v")).alias("_sorted"))
     return packed.select(*by, "_block", F.col("_sorted.v").alias("_values"))
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeframe.functions import tail_columns, tails
+from gaugeframe.functions import draws, tail_columns, tails
 from gaugeframe.operators import regression as M
 from gaugeframe.operators import resampling as R
 from gaugeframe.operators import variance as V
@@ -275,6 +275,20 @@ def test_row_bootstrap_broadcasts_no_draws(spark, monkeypatch):
     assert "BroadcastHashJoin" not in plans[1].split("_values")[0]
 
 
+def test_packed_draws_are_the_draws(spark, monkeypatch):
+    """Draws that go to their blocks take about a byte each, and are those of ``index_draws``, whatever a run holds."""
+    sizes = spark.createDataFrame([("a", 30_001), ("b", 1), ("c", 700)], "k string, n bigint")
+    want = sorted(map(tuple, draws.index_draws(sizes, ["k"], 3, 7).collect()))
+    for run in (draws.RUN, 4096):
+        monkeypatch.setattr(draws, "RUN", run)
+        packed = draws.packed_draws(sizes, ["k"], 3, 7, 10).collect()
+        got = [(r.k, r.iteration, (r._block << 10) + int(at)) for r in packed for at in draws.unpack_steps(bytes(r._steps))]
+        assert sorted(got) == want
+        assert sum(len(r._steps) for r in packed) < 1.5 * len(want)
+    for at in ([0], [255], [254, 254, 510, 5000], [0, 0, 255, 32767]):
+        assert draws.unpack_steps(draws.pack_steps(np.array(at))).tolist() == at
+
+
 def test_f_tail_as_a_column(spark):
     rows = [(f, a, b) for f in (0.01, 0.5, 1.0, 3.0, 200.0) for a in (1.0, 2.0, 9.0, 200.0) for b in (1.0, 2.0, 7.0, 1000.0, 60000.0)]
     columns = "f double, a double, b double"
