@@ -23,10 +23,10 @@ from gaugeframe.operators.ranking import (
 )
 from gaugeframe.operators.variance import (
     FACETS,
+    centred_level_sets,
     cohens_d,
     design_grid,
     gram,
-    level_sets,
     present_facets,
     variance_components,
 )
@@ -434,10 +434,8 @@ def leave_one_out(df: DataFrame, value: str = "metric_value") -> DataFrame:
     facets than their own, so work grows with observed pairs and triples.
     """
     facets = present_facets(df)
-    sets = level_sets(df, facets, (0, 1, 2, 3), value=value)
-    # one row: means are taken from the grand mean, as only differences matter and squares of large means would cancel
-    grand = cut_lineage(sets).filter("f0 IS NULL").select(F.col("mean").alias("_m"))
-    g = cut_lineage(sets.join(F.broadcast(grand)).withColumn("mean", F.col("mean") - F.col("_m")).drop("_m"))
+    # means are taken from the grand mean, as only differences matter and squares of large means would cancel
+    g = cut_lineage(centred_level_sets(df, facets, (0, 1, 2, 3), value))
     drop_labels = {f: DROPPED_FACETS[f] for f in facets if f in DROPPED_FACETS}
     n_pairs = len(facets) * (len(facets) - 1) // 2
     total = g.filter("f0 IS NULL").select(F.col("n").alias("n_all"), F.col("mean").alias("m"), F.col("var").alias("v"))

@@ -19,6 +19,8 @@ from gaugeframe.session import cut_lineage
 
 FACETS = ("model", "task_id", "prompt_id", "run_id", "temperature")
 FLOOR = 1e-12
+# Sets of facets that rows are expanded to at once. The code generated for many more is too long to be compiled by the JVM.
+SETS = 16
 
 
 def present_facets(df: DataFrame, facets: list[str] | None = None) -> list[str]:
@@ -54,16 +56,47 @@ def level_sets(
     that facet's sets only. Columns f0,l0,f1,l1,… name the facets (in the given order) and their levels.
     """
     by = by or []
+    n = F.count(F.lit(1))
+    moments = [n.alias("n"), F.avg("_y").alias("mean"), F.when(n > 1, F.var_samp("_y")).alias("var")]
+    return _by_sets(_valued(df, [*by], facets, value), facets, depths, by, moments)
+
+
+def _valued(df: DataFrame, by: list[str], facets: list[str], value: str) -> DataFrame:
     rows = df.select(*by, *[F.col(f).cast("string").alias(f) for f in facets], F.col(value).cast("double").alias("_y"))
+    return rows.filter(F.col("_y").isNotNull() & ~F.isnan("_y"))
+
+
+def _by_sets(rows: DataFrame, facets: list[str], depths: tuple[int, ...], by: list[str], aggregates: list[Column]) -> DataFrame:
+    """The aggregates of every level set, ``SETS`` sets of facets from one reading of the rows."""
     sets = [[*by, *c] for d in depths for c in combinations(facets, d)]
+    found = None
+    for part in (sets[i : i + SETS] for i in range(0, len(sets), SETS)):
+        stats = rows.groupingSets(part, *by, *facets).agg(*aggregates, *_labels([*by, *facets], part, by, max(depths)))
+        for i in range(max(depths)):
+            stats = stats.filter(F.col(f"f{i}").isNull() | F.col(f"l{i}").isNotNull())
+        stats = stats.drop(*facets)
+        found = stats if found is None else found.unionByName(stats)
+    return found
+
+
+def centred_level_sets(df: DataFrame, facets: list[str], depths: tuple[int, ...], value: str = "metric_value") -> DataFrame:
+    """``level_sets`` with means taken from the grand mean, for many depths.
+
+    Rows are read once, for the moments of each observed combination of all facets; these are written, and level sets add them up.
+    Squares are taken from the grand mean, so an offset of all values cancels nothing.
+    """
     n = F.count(F.lit(1))
-    stats = rows.filter(F.col("_y").isNotNull() & ~F.isnan("_y")).groupingSets(sets, *by, *facets).agg(
-        n.alias("n"), F.avg("_y").alias("mean"), F.when(n > 1, F.var_samp("_y")).alias("var"),
-        *_labels([*by, *facets], sets, by, max(depths)),
+    cells = _valued(df, [], facets, value).groupBy(*facets).agg(
+        n.alias("_n"), F.avg("_y").alias("_a"), (F.var_pop("_y") * n).alias("_q")
     )
-    for i in range(max(depths)):
-        stats = stats.filter(F.col(f"f{i}").isNull() | F.col(f"l{i}").isNotNull())
-    return stats.drop(*facets)
+    cells = cut_lineage(cells)
+    grand = cells.agg((F.sum(F.col("_n") * F.col("_a")) / F.sum("_n")).alias("_m"))
+    shifted = cells.join(F.broadcast(grand)).select(*facets, "_n", (F.col("_a") - F.col("_m")).alias("_a"), "_q")
+    total, first = F.sum("_n"), F.sum(F.col("_n") * F.col("_a"))
+    square = F.sum(F.col("_q") + F.col("_n") * F.col("_a") * F.col("_a"))
+    sums = _by_sets(shifted, facets, depths, [], [total.alias("n"), (first / total).alias("mean"), square.alias("_s")])
+    var = F.greatest((F.col("_s") - F.col("n") * F.col("mean") * F.col("mean")) / (F.col("n") - 1), F.lit(0.0))
+    return sums.withColumn("var", F.when(F.col("n") > 1, var)).drop("_s")
 
 
 def gram(

@@ -275,6 +275,29 @@ def test_row_bootstrap_broadcasts_no_draws(spark, monkeypatch):
     assert "BroadcastHashJoin" not in plans[1].split("_values")[0]
 
 
+def test_leave_one_out_reads_rows_once(spark, frame):
+    """Its level sets come from one reading of the rows, few sets at a time, and agree with those taken from rows."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(score):
+        seen.add(1)
+        return score
+
+    n = frame.count()
+    R.leave_one_out(frame.withColumn("metric_value", F.udf(look, "double").asNondeterministic()("metric_value"))).collect()
+    assert seen.value == n
+    odd = frame.withColumn("task_id", F.when(F.col("task_id") != "t3", F.col("task_id"))).withColumn("metric_value", F.col("metric_value") + 1e6)
+    depths, keys = (0, 1, 2, 3), ["f0", "l0", "f1", "l1", "f2", "l2"]
+    facets = V.present_facets(odd)
+    want = {tuple(r[k] for k in keys): r for r in V.level_sets(odd, facets, depths).collect()}
+    got = {tuple(r[k] for k in keys): r for r in V.centred_level_sets(odd, facets, depths).collect()}
+    assert got.keys() == want.keys() and len(want) > 500
+    whole = want[(None,) * 6].mean
+    for k, r in want.items():
+        assert got[k].n == r.n and abs(got[k].mean - (r.mean - whole)) < 1e-8
+        assert (got[k].var is None) == (r.var is None) and (r.var is None or abs(got[k].var - r.var) < 1e-8)
+
+
 def test_packed_draws_are_the_draws(spark, monkeypatch):
     """Draws that go to their blocks take about a byte each, and are those of ``index_draws``, whatever a run holds."""
     sizes = spark.createDataFrame([("a", 30_001), ("b", 1), ("c", 700)], "k string, n bigint")
