@@ -888,16 +888,21 @@ def d19(spark, sf):
 # ---- streaming ----
 
 
-def _log_files(spark, sf, newest_first: bool):
-    """The log as four files written one after another, by event time."""
+def _arrive(spark, sf, newest_first: bool, start):
+    """Hand the log to a stream in four steps by event time: a step's files are written, then one trigger takes them all.
+
+    ``start`` begins a query over the log stream that it is given, which goes on from its checkpoint. Returns that stream.
+    """
     rows = log(spark, sf).drop("scores")
     span = rows.agg(F.unix_micros(F.min("executed_at")).alias("lo"), F.unix_micros(F.max("executed_at")).alias("hi")).first()
     path = scratch_path(spark, "log-stream")
-    slices = range(4)
+    steps = range(4)
     at = F.floor((F.unix_micros("executed_at") - span.lo) / (span.hi - span.lo + 1) * 4)
-    for i in reversed(slices) if newest_first else slices:
-        rows.filter(at == i).coalesce(1).write.mode("append").parquet(path)
-    return path, rows.schema
+    for i in reversed(steps) if newest_first else steps:
+        rows.filter(at == i).write.mode("append").parquet(path)
+        stream = ST.read_log_stream(spark, path, rows.schema)
+        _finish(start(stream))
+    return stream
 
 
 def _finish(query):
@@ -908,10 +913,8 @@ def _finish(query):
 
 @query("s1_stream_latest", "SELECT cell_id, status, seq, epoch_us(executed_at) AS ts_us FROM latest")
 def s1(spark, sf):
-    path, schema = _log_files(spark, sf, newest_first=True)
-    out = scratch_path(spark, "latest")
-    stream = ST.read_log_stream(spark, path, schema, 1)
-    _finish(ST.start_latest(stream, out, scratch_path(spark, "state"), buckets=16).trigger(availableNow=True).start())
+    out, state = scratch_path(spark, "latest"), scratch_path(spark, "state")
+    stream = _arrive(spark, sf, True, lambda rows: ST.start_latest(rows, out, state, buckets=16).trigger(availableNow=True).start())
     return ST.read_latest(spark, out, ST.stream_latest(stream).schema).select("cell_id", "status", "seq", micros("executed_at", "ts_us"))
 
 
@@ -925,21 +928,18 @@ def s1(spark, sf):
       AND day + INTERVAL 1 DAY <= (SELECT max(day) - INTERVAL 1 HOUR FROM placed) GROUP BY 1""",
 )
 def s2(spark, sf):
-    path, schema = _log_files(spark, sf, newest_first=False)
-    out = scratch_path(spark, "throughput")
-    stream = ST.stream_throughput(ST.read_log_stream(spark, path, schema, 1))
-    _finish(
-        stream.writeStream.outputMode("append").format("parquet").option("path", out)
-        .option("checkpointLocation", scratch_path(spark, "state")).trigger(availableNow=True).start()
-    )
+    out, state = scratch_path(spark, "throughput"), scratch_path(spark, "state")
+
+    def start(rows):
+        writer = ST.stream_throughput(rows).writeStream.outputMode("append").format("parquet").option("path", out)
+        return writer.option("checkpointLocation", state).trigger(availableNow=True).start()
+
+    _arrive(spark, sf, False, start)
     return spark.read.parquet(out).select(micros("window_start", "window_us"), "completed", "failed")
 
 
 @query("s3_stream_status", _C10, "percent_complete elapsed_seconds cells_per_hour eta_seconds")
 def s3(spark, sf):
-    path, schema = _log_files(spark, sf, newest_first=True)
-    out = scratch_path(spark, "status")
-    stream = ST.read_log_stream(spark, path, schema, 1)
-    writer = ST.start_status(stream, expected(spark, sf), f"{NOW}Z", out, scratch_path(spark, "state"))
-    _finish(writer.trigger(availableNow=True).start())
+    out, state = scratch_path(spark, "status"), scratch_path(spark, "state")
+    _arrive(spark, sf, True, lambda rows: ST.start_status(rows, expected(spark, sf), f"{NOW}Z", out, state).trigger(availableNow=True).start())
     return ST.read_status(spark, out)
