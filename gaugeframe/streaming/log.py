@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,34 +138,54 @@ def stream_throughput(
 
 # ---- status ----
 
-CELL_STATE = "status string, at long, seq long"
+#: Buckets of cells whose newest rows lie in one state. A trigger reads and writes the states of the buckets it touches.
+STATE_BUCKETS = 1024
+BUCKET_STATE = "held binary"
+HELD = ["cell_id", "status", "at", "seq"]
 CHANGE = "completed long, failed long, first_at long"
 EARLIEST = -(1 << 63)
 
 
+def _newest(rows: pd.DataFrame) -> pd.DataFrame:
+    """The newest row of each cell, of equals the one that stands first."""
+    order = np.lexsort((-np.arange(len(rows)), rows["seq"], rows["at"]))[::-1]
+    return rows.iloc[order].drop_duplicates("cell_id")
+
+
 def _change(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """What new rows of a cell change: it enters one count, and leaves another if it was counted before."""
-    old = state.get if state.exists else None
-    newest, first = old, None
+    """What new rows of a bucket's cells change: a cell enters one count, and leaves another if it was counted before."""
+    old = pa.ipc.open_stream(bytes(state.get[0])).read_all().to_pandas() if state.exists else None
+    newest, touched = old, None
     for frame in frames:
-        for status, at, seq in zip(frame["status"], frame["at"], frame["seq"], strict=True):
-            first = at if first is None else min(first, at)
-            if newest is None or (at, seq) > newest[1:]:
-                newest = (status, int(at), int(seq))
-    state.update(newest)
-    change = [int(newest[0] == s) - int(old is not None and old[0] == s) for s in ("completed", "failed")]
-    yield pd.DataFrame({"completed": [change[0]], "failed": [change[1]], "first_at": [first]})
+        first = frame.groupby("cell_id", dropna=False, sort=False, as_index=False).agg(first_at=("at", "min"))
+        if touched is not None:
+            first = pd.concat([touched, first]).groupby("cell_id", dropna=False, sort=False, as_index=False).agg(first_at=("first_at", "min"))
+        touched = first
+        newest = _newest(frame[HELD] if newest is None else pd.concat([newest, frame[HELD]]))
+    if touched is None:
+        return
+    table = pa.Table.from_pandas(newest, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    state.update((sink.getvalue().to_pybytes(),))
+    told = touched.merge(newest[["cell_id", "status"]], "left", "cell_id")
+    before = np.full(len(told), None) if old is None else touched.merge(old[["cell_id", "status"]], "left", "cell_id")["status"].to_numpy()
+    change = {s: (told["status"].to_numpy() == s).astype("int64") - (before == s).astype("int64") for s in ("completed", "failed")}
+    yield pd.DataFrame({**change, "first_at": told["first_at"].to_numpy()})
 
 
 def stream_changes(log_stream: DataFrame) -> DataFrame:
     """(completed, failed, first_at) for each cell with new rows: +1, 0 or -1 for both counts, and the least time of the new rows.
 
-    State is the status, time and position of a cell's newest row; a late row changes nothing. Update mode.
+    State is the status, time and position of a cell's newest row, those of a hash bucket of cells together; a late row changes nothing.
+    Update mode.
     """
     slim = log_stream.select(
-        "cell_id", "status", F.coalesce(F.unix_micros("executed_at"), F.lit(EARLIEST)).alias("at"), F.coalesce(F.col("seq").cast("long"), F.lit(EARLIEST)).alias("seq")
+        F.pmod(F.xxhash64("cell_id"), F.lit(STATE_BUCKETS)).alias("bucket"),
+        "cell_id", "status", F.coalesce(F.unix_micros("executed_at"), F.lit(EARLIEST)).alias("at"), F.coalesce(F.col("seq").cast("long"), F.lit(EARLIEST)).alias("seq"),
     )
-    return slim.groupBy("cell_id").applyInPandasWithState(_change, CHANGE, CELL_STATE, "update", GroupStateTimeout.NoTimeout)
+    return slim.groupBy("bucket").applyInPandasWithState(_change, CHANGE, BUCKET_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def start_status(log_stream: DataFrame, expected: DataFrame, now: str, out_path: str, checkpoint: str):

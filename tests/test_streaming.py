@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeframe.operators.log import latest_by_cell
+from gaugeframe.plans import data_queries
 from gaugeframe.session import scratch_path
 from gaugeframe.streaming import log as ST
 
@@ -105,3 +106,37 @@ def test_status_is_handed_changes_only(spark, feed):
     want = latest_by_cell(spark.read.parquet(path))
     assert (got.expected, got.completed, got.failed) == (60, want.filter("status = 'completed'").count(), want.filter("status = 'failed'").count())
     assert got.elapsed_seconds == pytest.approx(7 * 86400 + 13.5 * 3600)
+
+
+def test_status_state_lies_in_buckets(spark, feed, monkeypatch):
+    """Many cells share a state; nulls, equal rows and cells of one bucket are told apart."""
+    monkeypatch.setattr(ST, "STATE_BUCKETS", 8)
+    state, handed = scratch_path(spark, "state"), []
+    triggers = [
+        [(f"c{i}", "completed", "02 10", i) for i in range(300)] + [(None, "failed", "02 10", 1), ("n", "completed", None, None)],
+        # equal to the row that is held, later, without a status, and later than no time at all
+        [("c0", "failed", "02 10", 0), ("c1", "failed", "02 11", 0), ("c2", None, "02 12", 0), (None, "completed", "03 10", 1), ("n", "failed", "01 10", 1)],
+    ]
+    for rows_ in triggers:
+        changes = ST.stream_changes(stream(spark, feed(*rows_))).writeStream.outputMode("update").option("checkpointLocation", state)
+        query = changes.foreachBatch(lambda batch, _: handed.append(sorted((r.completed, r.failed) for r in batch.collect()))).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert query.exception() is None and query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8
+    assert [h for h in handed if h] == [[(0, 1)] + [(1, 0)] * 301, [(-1, 0), (-1, 1), (-1, 1), (0, 0), (1, -1)]]
+
+
+def test_steps_of_the_log_are_written_by_many_tasks(spark, sf_dir):
+    """A step is more than one file, and still one trigger."""
+    folder, state, sizes, files = scratch_path(spark, "tables"), scratch_path(spark, "state"), [], set()
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.repartition(4).write.option("maxRecordsPerFile", 1000).parquet(f"{folder}/events.parquet")
+
+    def start(log):
+        def look(batch, _):
+            sizes.append(batch.count())
+            files.update(r.f for r in batch.select(F.input_file_name().alias("f")).distinct().collect())
+
+        return log.writeStream.option("checkpointLocation", state).foreachBatch(look).trigger(availableNow=True).start()
+
+    data_queries._arrive(spark, folder, False, start)
+    assert len(sizes) == 4 and sum(sizes) == events.count() and len(files) > 4
