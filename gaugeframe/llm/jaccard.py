@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.llm.arrays import LOWER_SYMBOLS, U64, Ranges, binaries, mixed, narrow, runs, widen, word_bounds
+from gaugeframe.llm.arrays import LOWER_SYMBOLS, U64, Ranges, batchwise, binaries, groupwise, mixed, narrow, runs, widen, word_bounds
 from gaugeframe.llm.components import components
 from gaugeframe.llm.storage import parts_of, stored
 
@@ -99,10 +99,10 @@ def _pack(k: int, parts: int):
                 if h not in seen:
                     seen.add(h)
                     new.append(i)
-            hashes, texts = batch.column(0).to_numpy()[new], batch.column(1).take(pa.array(new, pa.int64()))
+            hashes, texts = batch.column(0).to_numpy()[new], batch.column(1)
             held: list[tuple] = []
             for at in range(0, len(new), 500):
-                for some, chunk in chunked(hashes[at : at + 500], texts.slice(at, 500).to_pylist()):
+                for some, chunk in chunked(hashes[at : at + 500], texts.take(pa.array(new[at : at + 500], pa.int64())).to_pylist()):
                     held.append((some, *document_sets(chunk, k)))
                     if len(held) == CHUNKS:
                         yield rows(*_joined(held))
@@ -312,10 +312,10 @@ def shingle_sets(texts: DataFrame, k: int, percent: int) -> DataFrame:
     stand elsewhere has no partner and is done.
     """
     parts = parts_of(texts.sparkSession)
-    packed = texts.select("node", "text").mapInArrow(_pack(k, parts), PACKED)
+    packed = texts.select("node", "text").mapInArrow(batchwise(_pack(k, parts)), PACKED)
     # sizes are dealt out like any part
-    shared = packed.groupBy("part", F.when(F.col("part") < 0, F.pmod(F.xxhash64("nodes"), F.lit(parts)))).applyInArrow(_share(parts), SHARED)
-    return stored(shared.groupBy("dest").applyInArrow(_gather(percent), "node long, size int, tokens binary, counts binary"), "shingles")
+    shared = packed.groupBy("part", F.when(F.col("part") < 0, F.pmod(F.xxhash64("nodes"), F.lit(parts)))).applyInArrow(groupwise(_share(parts)), SHARED)
+    return stored(shared.groupBy("dest").applyInArrow(groupwise(_gather(percent)), "node long, size int, tokens binary, counts binary"), "shingles")
 
 
 def _classes(documents: DataFrame, k: int, percent: int) -> DataFrame:
@@ -323,7 +323,7 @@ def _classes(documents: DataFrame, k: int, percent: int) -> DataFrame:
     keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     sets = shingle_sets(keyed, k, percent)
     live = sets.filter(F.col("tokens").isNotNull())
-    postings = stored(live.select("node", "size", "tokens", "counts").mapInArrow(_postings(percent), "token long, node long, size int"), "postings")
+    postings = stored(live.select("node", "size", "tokens", "counts").mapInArrow(batchwise(_postings(percent)), "token long, node long, size int"), "postings")
     # the members of a bucket against the least of them
     least = F.min(F.struct("node", "size"))
     pivots = postings.groupBy("token").agg(least.alias("pivot"), F.max("node").alias("_most")).filter("pivot.node != _most")
@@ -334,7 +334,7 @@ def _classes(documents: DataFrame, k: int, percent: int) -> DataFrame:
     left = live.select(F.col("node").alias("x"), F.col("size").alias("n"), F.col("tokens").alias("s"), F.col("counts").alias("f"))
     right = live.select(F.col("node").alias("y"), F.col("size").alias("m"), F.col("tokens").alias("t"), F.col("counts").alias("g"))
     joined = pairs.join(left, "x").join(right, "y").select("x", "y", "n", "m", "s", "t", "f", "g")
-    edges = stored(joined.mapInArrow(_verify(percent), "a long, b long"), "links")
+    edges = stored(joined.mapInArrow(batchwise(_verify(percent)), "a long, b long"), "links")
     # buckets that still have several components: blocks of their members against each other
     labelled = postings.join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = labelled.groupBy("token").agg(F.min("node").alias("pivot"), F.min("component").alias("_least"), F.max("component").alias("_most"))
@@ -347,7 +347,7 @@ def _classes(documents: DataFrame, k: int, percent: int) -> DataFrame:
     dealt = dealt.join(live.select("node", "tokens", "counts"), "node").select(
         "pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "size", "component", "block", "tokens", "counts"
     )
-    more = dealt.groupBy("pivot", "low", "high").applyInArrow(_compare_blocks(percent), "a long, b long")
+    more = dealt.groupBy("pivot", "low", "high").applyInArrow(groupwise(_compare_blocks(percent)), "a long, b long")
     edges = edges.union(stored(more, "links"))
     labels = components(edges)
     texts = keyed.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("least"))

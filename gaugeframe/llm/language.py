@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.llm.arrays import U64, mixed
+from gaugeframe.llm.arrays import U64, batchwise, mixed
 from gaugeframe.llm.context_trees import Table
 
 #: A public vocabulary, read on the driver.
@@ -220,7 +220,7 @@ def fit(documents: DataFrame, training: Column, path: str = VOCABULARY, fit_rows
         return [], [], np.zeros((1, 0)), np.zeros(0)
     share = F.element_at(F.create_map(*chain(*[(F.lit(k), F.lit(min(1.0, fit_rows / n))) for k, n in sizes.items()])), F.col("lang"))
     chosen = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * float(1 << 30))
-    counts = chosen.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
+    counts = chosen.mapInArrow(batchwise(_count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
     pieces = vocabulary(path)
     lattice, langs = Pieces(pieces), sorted(sizes)
     p, usual = np.full((lattice.n + 1, len(langs)), 1.0 / lattice.n), np.full(len(langs), -np.inf)
@@ -234,15 +234,17 @@ def fit(documents: DataFrame, training: Column, path: str = VOCABULARY, fit_rows
     return langs, pieces, p, usual
 
 
-def _predict(sent, keep: int):
+def _predict(sent, text_of: Callable[[pa.RecordBatch], pa.Array]):
+    """Batches with the language of each row's text; the text is sent once, as one of the row's columns."""
+
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, pieces, p, usual = sent.value
         lattice, place, logs, letters = Pieces(pieces), {}, np.zeros((0, len(langs))), 0
         for batch in batches:
-            column = batch.column(batch.num_columns - 1).to_pylist()
+            column = text_of(batch)
             preds, scores, likely = [], [], []
             for at in range(0, len(column), 500):
-                texts = [runs_of_letters(t) for t in column[at : at + 500]]
+                texts = [runs_of_letters(t) for t in column.slice(at, 500).to_pylist()]
                 if letters > REMEMBERED:
                     place, logs, letters = {}, logs[:0], 0
                 new = list({w for t in texts for w in t if w not in place}) if langs else []
@@ -259,18 +261,20 @@ def _predict(sent, keep: int):
                     best = int(np.argmax(total))
                     preds.append(langs[best]), scores.append(float(chance[best] / chance.sum()))
                     likely.append(bool((total >= (usual - FAR) * sum(map(len, words)) - SLACK).any()))
-            columns = [batch.column(i) for i in range(keep)] + [pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(likely, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:keep], "lang_pred", "score", "_likely"])
+            columns = batch.columns + [pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(likely, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score", "_likely"])
 
     return f
 
 
-def _told(inner: DataFrame, model: Model) -> DataFrame:
+def _told(inner: DataFrame, model: Model, text_of: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
     sent = inner.sparkSession.sparkContext.broadcast(model)  # pieces times languages
-    row = [F.col(f"`{c}`") for c in inner.columns]
-    given = inner.select(*row, F.col("text").alias("_text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields] + ["lang_pred string", "score double", "_likely boolean"])
-    return given.mapInArrow(_predict(sent, len(row)), schema)
+    return inner.mapInArrow(batchwise(_predict(sent, text_of)), schema)
+
+
+def _text_at(documents: DataFrame) -> int:
+    return [c.lower() for c in documents.columns].index("text")
 
 
 def likely(documents: DataFrame, model: Model) -> DataFrame:
@@ -278,8 +282,8 @@ def likely(documents: DataFrame, model: Model) -> DataFrame:
 
     Where no language was learned, or no words of one were drawn, nothing is foreign and all texts with a letter stay.
     """
-    named = [f"`{c}`" for c in documents.columns]
-    kept = _told(documents.select(F.struct(*named).alias("_row"), "text"), model).filter("_likely")
+    named, place = [f"`{c}`" for c in documents.columns], _text_at(documents)
+    kept = _told(documents.select(F.struct(*named).alias("_row")), model, lambda batch: batch.column(0).field(place)).filter("_likely")
     return kept.select("_row.*")
 
 
@@ -292,4 +296,6 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     `und` with score 0, as is every text if nothing was learned. Ties go to the first language by name. Repeated rows
     each give a row, an empty table gives an empty result, columns named like the results are replaced.
     """
-    return _told(documents.drop("lang_pred", "score"), model).drop("_likely")
+    documents = documents.drop("lang_pred", "score")
+    place = _text_at(documents)
+    return _told(documents, model, lambda batch: batch.column(place)).drop("_likely")

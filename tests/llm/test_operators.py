@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gaugeframe.llm import automata, context_trees, decontamination, fingerprints, jaccard, language, mixing, native, queries, sharding, suffix_groups, toxicity
+from gaugeframe.llm import arrays, automata, context_trees, decontamination, fingerprints, jaccard, language, mixing, native, queries, sharding, suffix_groups, toxicity
 from tests.llm.conftest import edge_rows, words
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -70,6 +70,22 @@ def test_one_of_each_keeps_one_document_of_a_group(edges):
     assert set(ids) == expected and len(ids) == len(expected)
 
 
+def test_a_finished_task_keeps_no_freed_memory():
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6
+    pins = []
+
+    def work(batches):
+        for batch in batches:
+            held = [b"x" * 60_000 for _ in range(4000)]
+            pins.append(b"x" * 60_000)  # above what is freed, so that it stays in the process
+            yield len(held)
+
+    for run in (lambda: list(arrays.batchwise(work)([1])), lambda: arrays.groupwise(lambda table: list(work([table])))(1)):
+        before = resident()
+        run()
+        assert resident() < before + 120  # of 240 MB
+
+
 def plain_removal(rows, seq, join):
     """Windows of 50 seen in lesser documents; null ids are the greatest."""
     order = sorted(range(len(rows)), key=lambda i: math.inf if rows[i][0] is None else rows[i][0])
@@ -374,6 +390,15 @@ def test_fit_of_long_runs_is_that_of_short_ones(monkeypatch):
         assert np.allclose(lattice.fit(some, counts), usual, rtol=1e-9)
 
 
+def test_language_sends_a_text_once(edges):
+    model = language.fit(edges, F.lit(True))
+    for told in (language.likely(edges, model), language.identify(edges, model)):
+        node = told._jdf.queryExecution().analyzed()
+        while node.nodeName() != "MapInArrow":
+            node = node.children().head()
+        assert re.findall(r"\b_?text\b", node.children().head().schema().simpleString()) == ["text"]
+
+
 def test_a_language_of_copies_is_learned(spark):
     """Two languages of few texts with many copies each, beside one of many texts: none is left without words."""
     rows = [(" ".join(words(900 + i % 3, 30)), "en") for i in range(900)]
