@@ -10,6 +10,7 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -33,6 +34,10 @@ GAIN = 0.01
 KNOWN = 1_500_000
 TEXT_BYTES = 1 << 22
 
+#: Letters, then signs, for which SPLITTER is known to make two pieces that do not depend on each other or on case.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*+,./:;=?@^_`~|-]*)")
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 FILES = (
     "part int, shard int, n_ids long, first_doc long, begun boolean, goes_on boolean, doc_ids array<bigint>, sizes array<int>, "
     "n_terminals int, lefts binary, rights binary, lengths binary, symbols binary"
@@ -158,12 +163,27 @@ def decode(lefts, rights, lengths, symbols, n_terminals: int, start: int, end: i
 # ---- writing ----
 
 
+def _letters_only(known: dict) -> dict | None:
+    """The tokenizer without what leaves lower-case Latin letters as they are; None if it isn't known to treat PLAIN words so."""
+    byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    blank = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    same = (
+        known["normalizer"] == {"type": "Sequence", "normalizers": [{"type": "NFC"}, blank, {"type": "Lowercase"}]}
+        and known["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLITTER}, "behavior": "Removed", "invert": True}, byte_level]}
+        and not any(PLAIN.fullmatch(t["content"]) or not t["content"].strip() or set(t["content"]).isdisjoint("<>'") for t in known["added_tokens"])
+    )
+    if not same:
+        return None
+    return known | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]}}
+
+
 class WordIds:
     """Ids of texts by a tokenizer that drops white space, each different word encoded once.
 
     White space (blank, tab, line ends) separates words for such a tokenizer, so a text's ids are those of its words in a row.
     Words are encoded many at a time. Plain ones (A-Z and a-z alone) are told apart by the ids that end a word, others by a
-    special token of the tokenizer that is set between them.
+    special token of the tokenizer that is set between them. If the tokenizer is known to lower-case letters and to cut signs
+    off them, letters are encoded once for all words that differ in case or in the signs that follow.
     """
 
     def __init__(self, model: str):
@@ -174,6 +194,8 @@ class WordIds:
         self.encode = Tokenizer.from_str(model).encode_batch_fast
         mark = next((t for t in known["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"])), None)
         self.mark, self.mark_id = (mark["content"], mark["id"]) if mark else (None, None)
+        letters = _letters_only(known)
+        self.encode_letters = Tokenizer.from_str(json.dumps(letters)).encode_batch_fast if letters else None
         suffix, words = known["model"].get("end_of_word_suffix"), known["model"]["vocab"]
         self.ends = np.zeros(1 + max([*words.values(), *[t["id"] for t in known["added_tokens"]]]), bool)
         self.ends[[i for w, i in words.items() if suffix and w.endswith(suffix)]] = True
@@ -183,13 +205,16 @@ class WordIds:
         self.place: dict[str, int] = {}
         self.size, self.first, self.flat, self.filled = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.int32), 0
 
-    def _ids(self, words: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+    def _joined(self, encode: Callable, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids in a row, how many each word has), if the ids that end a word tell the words apart."""
+        flat = np.array(encode([" ".join(words)], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.flatnonzero(self.ends[flat])
+        return (flat, np.diff(ends, prepend=-1)) if len(ends) == len(words) and ends[-1] == len(flat) - 1 else None
+
+    def _ids(self, words: list[str], kind: str) -> tuple[np.ndarray, np.ndarray]:
         """(ids in a row, how many each word has)."""
-        if plain:
-            flat = np.array(self.encode([" ".join(words)], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.flatnonzero(self.ends[flat])
-            if len(ends) == len(words) and ends[-1] == len(flat) - 1:
-                return flat, np.diff(ends, prepend=-1)
+        if kind != "other" and (found := self._joined(self.encode_letters if kind == "letters" else self.encode, words)):
+            return found
         if self.mark is None or any(self.mark[:2] in w for w in words):
             ids = [e.ids for e in self.encode(words, add_special_tokens=False)]
             return np.fromiter((t for e in ids for t in e), np.int32), np.array([len(e) for e in ids], np.int64)
@@ -197,28 +222,58 @@ class WordIds:
         marks = np.flatnonzero(flat == self.mark_id)
         return flat[flat != self.mark_id], np.diff(marks, prepend=-1) - 1
 
-    def _learn(self, words: list[str]) -> None:
-        sizes = [self.size]
-        kinds = [w for w in words if w.isascii() and w.isalpha()], [w for w in words if not (w.isascii() and w.isalpha())]
-        words = kinds[0] + kinds[1]
-        pieces = [(k[i : i + 1024], k is kinds[0]) for k in kinds for i in range(0, len(k), 1024)]
-        for some, plain in pieces:
-            flat, size = self._ids(some, plain)
-            if self.filled + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(flat)), np.int32)])
-            self.flat[self.filled : self.filled + len(flat)] = flat
-            self.filled += len(flat)
-            sizes.append(size)
-        known = len(self.place)
+    def _keep(self, words: list[str], flat: np.ndarray, sizes: list[np.ndarray]) -> None:
+        if self.filled + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(flat)), np.int32)])
+        self.flat[self.filled : self.filled + len(flat)] = flat
+        self.filled += len(flat)
+        known = len(self.size)
         self.place.update(zip(words, range(known, known + len(words)), strict=True))
-        self.size = np.concatenate(sizes)
+        self.size = np.concatenate([self.size, *sizes])
         self.first = np.cumsum(self.size) - self.size
 
+    def _encode(self, words: list[str], kind: str) -> None:
+        pieces = [self._ids(words[i : i + 1024], kind) for i in range(0, len(words), 1024)]
+        if pieces:
+            self._keep(words, np.concatenate([flat for flat, _ in pieces]), [size for _, size in pieces])
+
+    def _at(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, where each word ends) of known words by place."""
+        size = self.size[which]
+        ends = np.cumsum(size)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[which] - (ends - size), size)
+        return self.flat[at], ends
+
+    def _learn(self, words: list[str]) -> None:
+        place, rest = self.place, words
+        plain, letters, signs = [], [], []  # lists of strings side by side: many tuples would keep the garbage collector busy
+        if self.encode_letters:
+            rest = []
+            for w in words:
+                m = PLAIN.fullmatch(w)
+                if m:
+                    plain.append(w), letters.append(m[1].lower()), signs.append(m[2])
+                else:
+                    rest.append(w)
+            self._encode([w for w in dict.fromkeys(letters) if w not in place], "letters")
+            rest = list(dict.fromkeys([*rest, *[w for w in dict.fromkeys(signs) if w and w not in place]]))
+        self._encode([w for w in rest if w.isascii() and w.isalpha()], "ascii")
+        self._encode([w for w in rest if not (w.isascii() and w.isalpha())], "other")
+        at = np.fromiter(map(place.__getitem__, letters), np.int64, len(letters))
+        bare = [i for i, w in enumerate(signs) if not w]
+        place.update(zip([plain[i] for i in bare], at[bare].tolist(), strict=True))
+        ended = [i for i, w in enumerate(signs) if w]
+        if ended:
+            flat, ends = self._at(np.stack([at[ended], [place[signs[i]] for i in ended]], axis=1).ravel())
+            self._keep([plain[i] for i in ended], flat, [np.diff(ends[1::2], prepend=0)])
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, how many each has)."""
+        if not texts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         texts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts]
         bounds = np.cumsum([0] + [t.count(" ") + 1 for t in texts])
-        words = " ".join(texts).split(" ") if texts else []
+        words = " ".join(texts).split(" ")
         if len(self.place) > KNOWN:
             self.forget()
         which = np.fromiter(map(self.place.get, words, itertools.repeat(-1)), np.int64, len(words))
@@ -227,10 +282,8 @@ class WordIds:
             new = [words[i] for i in unknown.tolist()]
             self._learn(list(dict.fromkeys(new)))
             which[unknown] = np.fromiter(map(self.place.__getitem__, new), np.int64, len(new))
-        size = self.size[which]
-        ends = np.cumsum(size)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[which] - (ends - size), size)
-        return self.flat[at], np.diff(np.concatenate([[0], ends])[bounds])
+        flat, ends = self._at(which)
+        return flat, np.diff(np.concatenate([[0], ends])[bounds])
 
 
 _ENCODERS: dict[str, WordIds] = {}

@@ -1,5 +1,6 @@
 """Token files against the tokenizer's own output, text by text."""
 
+import json
 import random
 import zlib
 from collections import Counter
@@ -73,6 +74,32 @@ def test_words_encoded_apart_give_the_ids_of_the_text():
     assert ids.tolist() == [i for w in want for i in w]
 
 
+def test_letters_are_encoded_once_for_all_cases_and_signs():
+    texts = ["Ära ära ÄRA, ära.!! ära|", "end end. End", "a'll <|endoftext|>. x2. ª. ªa", "Ära! end, ... ., ."]
+    ids, seen = re_pair.WordIds(MODEL), []
+    for name in ("encode", "encode_letters"):
+        inner = getattr(ids, name)
+        setattr(ids, name, lambda words, inner=inner, **a: (seen.extend(" ".join(words).lower().replace(ids.mark, " ").split()), inner(words, **a))[1])
+    want = Tokenizer.from_str(MODEL).encode_batch(texts, add_special_tokens=False)
+    for some in (texts[:2], texts):  # the second time with words that are known
+        flat, sizes = ids(some)
+        assert flat.tolist() == [i for e in want[: len(some)] for i in e.ids] and sizes.tolist() == [len(e) for e in want[: len(some)]]
+    assert sum("ära" in w for w in seen) == 1 and sum("end" in w for w in seen if "text" not in w) == 1
+    random.seed(7)
+    plain = ["".join(random.choices("aZéÀÿßöÖbe", k=random.randint(1, 12))) + "".join(random.choices("!#$%&*+,./:;=?@^_`~|-", k=random.randint(0, 3))) for _ in range(5000)]
+    assert ids([" ".join(plain)])[0].tolist() == Tokenizer.from_str(MODEL).encode(" ".join(plain), add_special_tokens=False).ids
+
+
+def test_a_tokenizer_of_another_kind_encodes_whole_words():
+    other = json.loads(MODEL)
+    other["normalizer"]["normalizers"].pop()  # keeps case
+    other = json.dumps(other)
+    texts = ["Ab ab. AB, ab", "é É! x2 it's"]
+    ids, sizes = re_pair.WordIds(other)(texts)
+    want = [e.ids for e in Tokenizer.from_str(other).encode_batch(texts, add_special_tokens=False)]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_grammar_gives_every_range_back():
     r = random.Random(5)
     for n in (0, 1, 2, 5, 300, 4000):
