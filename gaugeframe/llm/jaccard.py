@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.llm.arrays import LOWER_SYMBOLS, U64, Ranges, batchwise, binaries, groupwise, mixed, narrow, runs, widen, word_bounds
@@ -25,6 +26,12 @@ CHUNK = 1 << 20
 BLOCK, COLUMNS = 256, 4096
 #: Chunks that share packed rows.
 CHUNKS = 6
+#: Bytes of a sampled token within its part. Two tokens taken for one only let a set stay.
+SHORT = 4
+#: Words of 64 bits that mark the nodes of sets that stay: 1 bit for each node, other nodes may have the same. They are broadcast.
+WORDS = 1 << 20
+#: Parts, at least, if the session shuffles into so many.
+FEW = 8
 #: Salts of the token orders beside the one by frequency.
 ORDERS = (U64(0), U64(0xD1B54A32D192ED03), U64(0x8CB92BA72F3D8DD7))
 
@@ -66,31 +73,12 @@ def document_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
 PACKED = "part int, nodes binary, sizes binary, counts binary, tokens binary"
 
 
-def _pack(k: int, parts: int):
-    """Texts to packed rows: for a group of texts and a part, the tokens of each text that fall in the part. Part -1 has all set sizes.
+def _grouped(k: int, rows: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch]):
+    """Texts to `rows` of the node hashes of a group of texts and their (document, token).
 
     Equal texts of a task count once. Groups are a few chunks of text, so a task's memory doesn't depend on its batches.
     """
 
-    def rows(hashes: np.ndarray, owner: np.ndarray, token: np.ndarray) -> pa.RecordBatch:
-        sizes = np.bincount(owner, minlength=len(hashes)).astype(np.int32)
-        part = ((token & U64(0xFFFF)) % U64(parts)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        owner, token = owner[order], token[order] >> U64(24)
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
-        out = [(-1, hashes.astype("<i8").tobytes(), sizes.tobytes(), b"", b"")]
-        for p in range(parts):
-            a, b = cuts[p], cuts[p + 1]
-            if a < b:
-                own = owner[a:b]
-                first = runs(own)
-                held = own[first]
-                counts = np.diff(np.append(first, b - a)).astype(np.int32)
-                out.append((p, hashes[held].astype("<i8").tobytes(), sizes[held].tobytes(), counts.tobytes(), narrow(token[a:b], WIDTH)))
-        names = ["part", "nodes", "sizes", "counts", "tokens"]
-        types = [pa.int32()] + [pa.binary()] * 4
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
-
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -118,6 +106,112 @@ def _joined(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([h[0] for h in held]), np.concatenate([h[1] + f for h, f in zip(held, first, strict=True)]), np.concatenate([h[2] for h in held])
 
 
+def _by_part(owner: np.ndarray, token: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owners and tokens in order of their parts, without the bits that name the part, and where each part begins."""
+    part = ((token & U64(0xFFFF)) % U64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    return owner[order], token[order] >> U64(24), np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
+
+
+SAMPLED = "part int, team long, owners binary, tokens binary"
+LONE = "part int, team long, owners binary, counts binary"
+
+
+def _steps(x: np.ndarray) -> bytes:
+    """Ascending numbers below 65,536 as steps, low bytes first, as the high ones are nearly always 0."""
+    return np.diff(x, prepend=0).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def _unstepped(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(2, -1).T).view("<u2").ravel(), dtype=np.int64)
+
+
+def _sample(k: int, parts: int, share: int):
+    """Of `share` in 256 tokens, the same ones of every text: for a group of texts and a part, the tokens and whose they are.
+
+    A text goes by its place in the group, so a token costs 6 bytes at most, into however many parts they are dealt.
+    The group's row in part -1 has the nodes and set sizes.
+    """
+
+    def rows(hashes: np.ndarray, owner: np.ndarray, token: np.ndarray) -> pa.RecordBatch:
+        nodes, sizes = hashes.astype("<i8").tobytes(), np.bincount(owner, minlength=len(hashes)).astype("<i4").tobytes()
+        # groups of one name have the same texts, so no token of theirs is alone
+        team = int.from_bytes(blake2b(nodes, digest_size=8).digest(), "little", signed=True)
+        some = ((token >> U64(16)) & U64(0xFF)) < U64(share)
+        owner, token, cuts = _by_part(owner[some], token[some], parts)
+        out = [(-1, team, nodes, sizes)]
+        for p in np.flatnonzero(np.diff(cuts)).tolist():
+            a, b = cuts[p], cuts[p + 1]
+            out.append((p, team, _steps(owner[a:b]), narrow(token[a:b], SHORT)))
+        types = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["part", "team", "owners", "tokens"])
+
+    return _grouped(k, rows)
+
+
+def _lone(table: pa.Table) -> pa.Table:
+    """For each group of texts, how many of a text's sampled tokens in this part stand nowhere else."""
+    part, names = table.column("part")[0].as_py(), [c.split()[0] for c in LONE.split(", ")]
+    if part < 0:
+        return table.rename_columns(names)
+    packed = table.column("tokens").to_pylist()
+    tokens = np.frombuffer(b"".join(packed), f"<u{SHORT}")
+    order = np.argsort(tokens)
+    head = runs(tokens[order])
+    lone = np.zeros(len(tokens), bool)
+    lone[order[head[np.diff(np.append(head, len(tokens))) == 1]]] = True
+    rows, at = [], 0
+    for team, owners in zip(table.column("team").to_pylist(), table.column("owners").to_pylist(), strict=True):
+        owner = _unstepped(owners)
+        held, counts = np.unique(owner[lone[at : at + len(owner)]], return_counts=True)
+        at += len(owner)
+        if len(held):
+            # a count that doesn't fit lets a set stay
+            rows.append((part, team, _steps(held), np.minimum(counts, 255).astype(np.uint8).tobytes()))
+    types = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+
+def _stays(percent: int):
+    """Which texts of a group may have a partner: without the lone tokens found, enough of the set is left."""
+
+    def f(table: pa.Table) -> pa.Table:
+        part = table.column("part").to_numpy()
+        owners, counts = table.column("owners").to_pylist(), table.column("counts").to_pylist()
+        first = int(np.flatnonzero(part < 0)[0])
+        nodes, sizes = np.frombuffer(owners[first], "<i8"), np.frombuffer(counts[first], "<i4")
+        lone = np.zeros(len(nodes), np.int64)
+        for i in np.flatnonzero(part >= 0).tolist():
+            lone[_unstepped(owners[i])] += np.frombuffer(counts[i], np.uint8)
+        left = sizes.astype(np.int64) - lone
+        # texts without words may be in several groups; the sets that go are in one
+        return pa.table([pa.array(nodes), pa.array(sizes), pa.array((sizes == 0) | (left >= least_overlap(sizes.astype(np.int64), percent)))], names=["node", "size", "stays"])
+
+    return f
+
+
+def _pack(k: int, parts: int):
+    """Texts to packed rows: for a group of texts and a part, the tokens of each text that fall in the part. Part -1 has all set sizes."""
+
+    def rows(hashes: np.ndarray, owner: np.ndarray, token: np.ndarray) -> pa.RecordBatch:
+        sizes = np.bincount(owner, minlength=len(hashes)).astype(np.int32)
+        owner, token, cuts = _by_part(owner, token, parts)
+        out = [(-1, hashes.astype("<i8").tobytes(), sizes.tobytes(), b"", b"")]
+        for p in range(parts):
+            a, b = cuts[p], cuts[p + 1]
+            if a < b:
+                own = owner[a:b]
+                first = runs(own)
+                held = own[first]
+                counts = np.diff(np.append(first, b - a)).astype(np.int32)
+                out.append((p, hashes[held].astype("<i8").tobytes(), sizes[held].tobytes(), counts.tobytes(), narrow(token[a:b], WIDTH)))
+        names = ["part", "nodes", "sizes", "counts", "tokens"]
+        types = [pa.int32()] + [pa.binary()] * 4
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
+
+    return _grouped(k, rows)
+
+
 SHARED = "dest int, part int, nodes binary, sizes binary, shared binary, tokens binary, often binary"
 
 
@@ -304,18 +398,47 @@ def _verify(percent: int):
     return f
 
 
+def _marks(staying: DataFrame) -> DataFrame:
+    """(_word, _bits) of at most `WORDS` words with the bits of all nodes of `staying`."""
+    return staying.select(_word("node").alias("_word"), _bit("node").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+
+
+def _word(node: str) -> Column:
+    return F.pmod(F.col(node), F.lit(WORDS))
+
+
+def _bit(node: str) -> Column:
+    return F.expr(f"shiftleft(1L, cast(shiftrightunsigned({node}, 58) as int))")
+
+
 def shingle_sets(texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Stored (node, size, tokens, counts) of the distinct texts of (node, text); tokens are kept only where enough are shared.
 
-    Tokens travel in packed rows, to their part one for some texts and a part, and back to their sets one for a part and a
-    destination. A token that stands in one set only can't be shared, so a set of which fewer than `percent` % of the tokens
-    stand elsewhere has no partner and is done.
+    A token that stands in one set only can't be shared, so a set of which fewer than `percent` % of the tokens stand
+    elsewhere has no partner and is done. Most sets are known for such by a part of their tokens, 8 for every 5 that they may
+    have alone, so at first only these travel, named by 4 bytes in their part. Nothing is decided by what they share: a set goes
+    if it has too many lone ones among them. Nodes of sets that stay set a bit of a table that is broadcast, and of texts
+    with such a bit all tokens travel in packed rows, to their part one for some texts and a part, and back to their sets
+    one for a part and a destination.
     """
     parts = parts_of(texts.sparkSession)
-    packed = texts.select("node", "text").mapInArrow(batchwise(_pack(k, parts)), PACKED)
-    # sizes are dealt out like any part
+    texts = texts.select("node", "text")
+    share = min(256, -(-256 * 8 * (100 - percent) // 500))
+    sampled = texts.mapInArrow(batchwise(_sample(k, max(min(parts, FEW), parts // 2), share)), SAMPLED)
+    # nodes and sizes are dealt out like any part
+    lone = sampled.groupBy("part", F.when(F.col("part") < 0, F.pmod("team", F.lit(parts)))).applyInArrow(groupwise(_lone), LONE)
+    told = stored(lone.groupBy("team").applyInArrow(groupwise(_stays(percent)), "node long, size int, stays boolean"), "told")
+    marks = F.broadcast(_marks(told.filter("stays")))
+    marked = F.coalesce(F.col("_bits").bitwiseAND(_bit("node")), F.lit(0)) != 0
+    gone = told.withColumn("_word", _word("node")).join(marks, "_word", "left").filter(~marked)
+    staying = texts.withColumn("_word", _word("node")).join(marks, "_word").filter(marked).select("node", "text")
+    # as many parts as the tokens that are left take
+    total, left = told.agg(F.sum(F.col("size").cast("long")), F.sum(F.when(F.col("stays"), F.col("size").cast("long")))).first()
+    parts = max(min(parts, FEW), -(-parts * (left or 0) // max(total or 0, 1)))
+    packed = staying.mapInArrow(batchwise(_pack(k, parts)), PACKED)
     shared = packed.groupBy("part", F.when(F.col("part") < 0, F.pmod(F.xxhash64("nodes"), F.lit(parts)))).applyInArrow(groupwise(_share(parts)), SHARED)
-    return stored(shared.groupBy("dest").applyInArrow(groupwise(_gather(percent)), "node long, size int, tokens binary, counts binary"), "shingles")
+    sets = stored(shared.groupBy("dest").applyInArrow(groupwise(_gather(percent)), "node long, size int, tokens binary, counts binary"), "shingles")
+    return sets.unionByName(gone.select("node", "size"), allowMissingColumns=True)
 
 
 def _classes(documents: DataFrame, k: int, percent: int) -> DataFrame:
@@ -335,13 +458,16 @@ def _classes(documents: DataFrame, k: int, percent: int) -> DataFrame:
     right = live.select(F.col("node").alias("y"), F.col("size").alias("m"), F.col("tokens").alias("t"), F.col("counts").alias("g"))
     joined = pairs.join(left, "x").join(right, "y").select("x", "y", "n", "m", "s", "t", "f", "g")
     edges = stored(joined.mapInArrow(batchwise(_verify(percent)), "a long, b long"), "links")
-    # buckets that still have several components: blocks of their members against each other
+    # buckets that still have several components beside the least member, whose links are known: blocks of the rest against each other
     labelled = postings.join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = labelled.groupBy("token").agg(F.min("node").alias("pivot"), F.min("component").alias("_least"), F.max("component").alias("_most"))
-    open_ = open_.filter("_least != _most").select("token", "pivot")
+    several = F.min("component").alias("_least"), F.max("component").alias("_most")
+    open_ = labelled.groupBy("token").agg(F.min("node").alias("pivot"), *several, F.count(F.lit(1)).alias("_n"))
+    open_ = open_.filter("_least != _most and _n > 2").select("token", "pivot")
     # any two members of a bucket are also members of its pivot's group, and most tokens of a document have one pivot
-    members = stored(labelled.join(open_, "token").select("pivot", "node", "size", "component").distinct(), "members")
-    counts = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    members = labelled.join(open_, "token").filter("node != pivot").select("pivot", "node", "size", "component").distinct()
+    members = stored(members, "members")
+    counts = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), *several)
+    counts = counts.filter("_least != _most").select("pivot", "blocks")
     dealt = members.join(counts, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.join(live.select("node", "tokens", "counts"), "node").select(
@@ -367,9 +493,9 @@ def similar_groups(documents: DataFrame, k: int = 5, percent: int = 75) -> DataF
     n - ceil(percent * n / 100) + 1 tokens. Order 0 (rare tokens first) makes the buckets; a candidate pair must also
     share a prefix token under order 1 (rare first, other ties) and order 2 (by hash) before its tokens are counted.
     A bucket never emits its pairs: first its members are compared with the least of them, and what these links join is one
-    component. A link not found by then joins two components that share a bucket. So the members of buckets with several
-    components are dealt out in blocks, and tasks compare two blocks at a time, across components only, by products
-    of 0/1 matrices. Members that don't link with each other cost a square of their number there, but no row.
+    component. A link not found by then joins two components that share a bucket, and not its least member, whose links are
+    all known. So the other members of buckets with several components are dealt out in blocks, and tasks compare two blocks
+    at a time, across components only, by products of 0/1 matrices. Members that don't link with each other cost a square of their number there, but no row.
 
     Equal texts are one node, linked by definition; hashes of texts have 64 bits, tokens 40 + log2(parts). Texts that are null, empty or
     without words have n_shingles 0 and are alone. Null doc_ids rank after all others in component_id and stand for

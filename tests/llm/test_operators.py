@@ -61,6 +61,58 @@ def test_jaccard_join_at_the_threshold(spark):
     assert out == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}  # 3 links with 2 only
 
 
+def shuffled_bytes(spark):
+    """What all stages so far have written for shuffles."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_jaccard_join_sends_no_more_into_many_parts(spark):
+    # a text's tokens fall into nearly as many parts as there are tokens; its name and size for each part cost 3 times the tokens
+    r = random.Random(5)
+    text = lambda: " ".join(f"{r.getrandbits(40):x}" for _ in range(150))
+    texts = spark.createDataFrame(spark.sparkContext.parallelize([(i, text()) for i in range(600)], 2), "node long, text string")
+    before = shuffled_bytes(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    try:
+        sets = jaccard.shingle_sets(texts, 5, 75).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted(s.node for s in sets) == list(range(600)) and {(s["size"], s.tokens) for s in sets} == {(146, None)}
+    sent = sum(b for stage, b in shuffled_bytes(spark).items() if stage not in before)
+    assert sent < 6 * 600 * 146
+
+
+def test_jaccard_join_of_chains_and_families(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "WORDS", 1)  # 64 bits for all nodes: sets without partners have the bits of others
+    r = random.Random(6)
+
+    def changed(text, n):
+        text = list(text)
+        for i in r.sample(range(len(text)), n):
+            text[i] = f"{r.getrandbits(40):x}"
+        return text
+
+    texts = []
+    for f in range(4):
+        base = words(300 + f, 100)
+        for _ in range(12):
+            base = changed(base, 2)  # links with its neighbours in the chain at most
+            texts.append(base)
+        for _ in range(8):
+            other = changed(base, 5)  # shares buckets with the others, but links with its own copies only
+            texts += [other, changed(other, 1), changed(other, 1)]
+    texts += [words(400 + i, 100) for i in range(30)]
+    r.shuffle(texts)
+    rows = [(i, " ".join(t), None, None) for i, t in enumerate(texts)]
+    sets, least = plain_components(rows)
+    assert 50 < len(set(least)) < len(rows)
+    got = jaccard.similar_groups(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)).collect()
+    assert sorted(tuple(x) for x in got) == [(i, len(s), m) for i, (s, m) in enumerate(zip(sets, least, strict=True))]
+
+
 def test_one_of_each_keeps_one_document_of_a_group(edges):
     kept = jaccard.one_of_each(edges)
     assert kept.columns == edges.columns
