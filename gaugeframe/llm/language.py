@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gaugeframe.llm.arrays import U64, batchwise, mixed
 from gaugeframe.llm.context_trees import Table
+from gaugeframe.llm.storage import stored
 
 #: A public vocabulary, read on the driver.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -25,6 +26,8 @@ BLOCK, ABREAST = 1024, 64
 FIT_ROWS = 1500
 ROUNDS = 3
 SMOOTHING = 0.02
+#: Logs of probabilities are summed as whole numbers, times the scale and LOG; that of a letter's piece is far above -1 / LOG.
+LOG = 2.0**-8
 UNDEFINED = "und"
 #: A text is foreign to a language if its log probability is lower than that of as many letters of the training words by
 #: more than FAR a letter and SLACK besides. Held-out invented prose lies 1.1 a letter below at most, plain English 2, Polish
@@ -141,18 +144,18 @@ class Pieces:
         return out
 
     def _expect(self, ends: np.ndarray, pieces: list[np.ndarray], counts: np.ndarray, p: np.ndarray, expected: np.ndarray) -> None:
-        """Add to `expected` how often each piece stands in the words, over all segmentations."""
+        """Add to `expected` how often each piece stands in the words, over all segmentations, in whole numbers."""
         alpha = self.forward(ends, pieces, p)[:, :, 0]
         width, each = pieces[0].shape[1], np.arange(len(ends))
         beta = np.zeros((width + 1, len(ends)))
         beta[ends, each] = 1.0
-        weight = counts / np.maximum(alpha[ends, each], 1e-300)
+        inverse = 1 / np.maximum(alpha[ends, each], 1e-300)
         for i in range(width - 1, -1, -1):
             for n in range(1, min(len(pieces), width - i) + 1):
                 which = pieces[n - 1][:, i]
                 through = p[which, 0] * beta[i + n]
                 beta[i] += through
-                np.add.at(expected, which, alpha[i] * through * weight)
+                np.add.at(expected, which, _whole(alpha[i] * through * inverse * counts))
 
     def _expect_logs(self, words: list[str], ends: np.ndarray, counts: np.ndarray, p: np.ndarray, expected: np.ndarray) -> None:
         """The same for long words. Sums of beginnings are kept; pieces are looked up again on the way back."""
@@ -171,23 +174,42 @@ class Pieces:
             for i in range(size - 1, -1, -1):
                 through = logs[pieces[:, :, i], 0] + beta[i + 1 : i + 1 + self.longest]
                 beta[i] = np.logaddexp(beta[i], np.logaddexp.reduce(through, axis=0))
-                np.add.at(expected, pieces[:, :, i], np.exp(alpha[i] + through - total) * counts)
+                np.add.at(expected, pieces[:, :, i], _whole(np.exp(alpha[i] + through - total) * counts))
             state = beta[: self.longest + 1]
 
+    def expect(self, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """How often each piece stands in the words, `counts` times each, over all segmentations, in whole numbers."""
+        expected = np.zeros(self.n + 1, np.int64)
+        for some, ends, pieces in self.groups(words):
+            self._expect(ends, pieces, counts[some], p, expected)
+        for some, ends, group in self.long_groups(words):
+            self._expect_logs(group, ends, counts[some], p, expected)
+        return expected
+
     def fit(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Piece probabilities of one language by expectation maximisation over all segmentations of its words."""
-        p = np.full((self.n + 1, 1), 1.0 / self.n)
-        p[-1] = 0.0
-        lattices, longer = list(self.groups(words)), list(self.long_groups(words))
-        for _ in range(ROUNDS):
-            expected = np.zeros(self.n + 1)
-            for some, ends, pieces in lattices:
-                self._expect(ends, pieces, counts[some], p, expected)
-            for some, ends, group in longer:
-                self._expect_logs(group, ends, counts[some], p, expected)
-            expected = expected[: self.n] + SMOOTHING
-            p = np.append(expected / expected.sum(), 0.0)[:, None]
-        return p[:, 0]
+        scale = _scale(int(counts @ np.array([len(w) for w in words])))
+        return _rounds(self.n, 1, lambda p: self.expect(words, counts * scale, p)[:, None] / scale)[:, 0]
+
+
+def _rounds(n: int, langs: int, expect: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Probabilities of n pieces, and a last row of zeros, after ROUNDS of `expect`, which gives their numbers by language."""
+    p = np.full((n + 1, langs), 1.0 / n)
+    p[-1] = 0.0
+    for _ in range(ROUNDS):
+        expected = expect(p)[:n] + SMOOTHING
+        p[:n] = expected / expected.sum(axis=0)
+    return p
+
+
+def _scale(letters: int) -> float:
+    """What numbers of pieces in so many letters are multiplied by, so that as whole numbers they just fit. Their sums do not
+    depend on the order, hence not on how words are dealt to tasks."""
+    return 2.0 ** (61 - letters.bit_length())
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    return np.rint(x).astype(np.int64)
 
 
 def _logs(p: np.ndarray) -> np.ndarray:
@@ -205,14 +227,50 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "n"])
 
 
+def _by_language(batches: Iterable[pa.RecordBatch], place: dict[str, int]) -> Iterator[tuple[int, list[str], np.ndarray]]:
+    """(place of the language, words, counts) of each batch of (lang, word, n)."""
+    for batch in batches:
+        langs, words, n = np.array([place[x] for x in batch.column(0).to_pylist()]), batch.column(1).to_pylist(), batch.column(2).to_numpy().astype(float)
+        for i in np.unique(langs):
+            some = np.flatnonzero(langs == i)
+            yield int(i), [words[k] for k in some], n[some]
+
+
+def _expected(lattice, place: dict[str, int], scales: list[float], p):
+    """Numbers of pieces, times the language's scale, in a task's words."""
+
+    def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for i, words, n in _by_language(batches, place):
+            found = lattice.value.expect(words, n * scales[i], p.value[:, [i]])
+            sums[i] = sums[i] + found if i in sums else found
+        for i, expected in sums.items():
+            some = np.flatnonzero(expected)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), i, np.int32)), pa.array(some.astype(np.int32)), pa.array(expected[some])], names=["lang", "piece", "e"])
+
+    return f
+
+
+def _total_logs(lattice, place: dict[str, int], scales: list[float], p):
+    """The log probability, times the language's scale, of a task's words; LOG leaves room for their size."""
+
+    def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, words, n in _by_language(batches, place):
+            logs = _whole(n * scales[i] * LOG * lattice.value.word_logs(words, p.value[:, [i]])[:, 0])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([int(logs.sum())], pa.int64())], names=["lang", "e"])
+
+    return f
+
+
 def fit(documents: DataFrame, training: Column, path: str = VOCABULARY, fit_rows: int = FIT_ROWS) -> Model:
     """(languages, pieces, probabilities, usual) from the text and lang of rows where `training` holds.
 
     `usual` is the mean log probability of a letter in the training words of each language, -inf where none were drawn.
 
     Different texts are counted by language first; of each, about `fit_rows` (those with the least hashes) give their words, with
-    all their copies. So copies leave no language empty, and what comes to the driver, words with their counts, is bounded
-    by the words of fit_rows texts and the number of languages.
+    all their copies. So copies leave no language empty. The words with their counts are stored, and tasks find the expected
+    numbers of pieces in them, once a round. What comes to the driver is these numbers, as many as pieces and languages; no text
+    and no word does.
     """
     rows = documents.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     sizes = {r[0]: r[1] for r in rows.select("lang", F.xxhash64("text")).distinct().groupBy("lang").count().collect()}
@@ -220,17 +278,32 @@ def fit(documents: DataFrame, training: Column, path: str = VOCABULARY, fit_rows
         return [], [], np.zeros((1, 0)), np.zeros(0)
     share = F.element_at(F.create_map(*chain(*[(F.lit(k), F.lit(min(1.0, fit_rows / n))) for k, n in sizes.items()])), F.col("lang"))
     chosen = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * float(1 << 30))
-    counts = chosen.mapInArrow(batchwise(_count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
-    pieces = vocabulary(path)
-    lattice, langs = Pieces(pieces), sorted(sizes)
-    p, usual = np.full((lattice.n + 1, len(langs)), 1.0 / lattice.n), np.full(len(langs), -np.inf)
-    for i, lang in enumerate(langs):
-        own = counts[counts["lang"] == lang].sort_values("word")
-        if len(own):
-            words, n = own["word"].tolist(), own["n"].to_numpy(float)
-            p[:, i] = lattice.fit(words, n)
-            usual[i] = n @ lattice.word_logs(words, p[:, [i]])[:, 0] / (n @ np.array([len(w) for w in words]))
-    p[-1] = 0.0
+    counts = chosen.mapInArrow(batchwise(_count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    # of a part, words of a language are looked up side by side
+    counts = stored(counts.sortWithinPartitions("lang", "word"), "words")
+    letters = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum(F.col("n") * F.length("word"))).collect()}
+    pieces, langs = vocabulary(path), sorted(sizes)
+    total, place = [letters.get(k, 0) for k in langs], {k: i for i, k in enumerate(langs)}
+    scales, context = [_scale(n) for n in total], documents.sparkSession.sparkContext
+    lattice = Pieces(pieces)
+    n, sent_lattice = lattice.n, context.broadcast(lattice)
+
+    def expect(p: np.ndarray) -> np.ndarray:
+        sent = context.broadcast(p)  # pieces times languages
+        found = counts.mapInArrow(batchwise(_expected(sent_lattice, place, scales, sent)), "lang int, piece int, e long").groupBy("lang", "piece").agg(F.sum("e").alias("e")).toArrow()
+        sent.destroy()
+        expected = np.zeros((n + 1, len(langs)))
+        expected[found["piece"].to_numpy(), found["lang"].to_numpy()] = found["e"].to_numpy()
+        return expected / np.array(scales)
+
+    p = _rounds(n, len(langs), expect)
+    sent = context.broadcast(p)
+    logs = counts.mapInArrow(batchwise(_total_logs(sent_lattice, place, scales, sent)), "lang int, e long").groupBy("lang").agg(F.sum("e")).collect()
+    sent.destroy()
+    sent_lattice.destroy()
+    usual = np.full(len(langs), -np.inf)
+    for i, e in logs:
+        usual[i] = e / scales[i] / LOG / total[i]
     return langs, pieces, p, usual
 
 

@@ -442,6 +442,28 @@ def test_fit_of_long_runs_is_that_of_short_ones(monkeypatch):
         assert np.allclose(lattice.fit(some, counts), usual, rtol=1e-9)
 
 
+def test_language_is_fitted_by_tasks(edges, monkeypatch):
+    """No word comes to the driver, and however rows are dealt, the probabilities are those of all words at once."""
+    counts = {}
+    for r in edges.collect():
+        for w in language.runs_of_letters(r["text"]) if r["lang"] else []:
+            own = counts.setdefault(r["lang"], {})
+            own[w] = own.get(w, 0) + 1
+    lattice = language.Pieces(language.vocabulary())
+    whole = [lattice.fit(list(counts[k]), np.array(list(counts[k].values()), float)) for k in sorted(counts)]
+    logs = [np.array(list(c.values())) @ lattice.word_logs(list(c), p[:, None])[:, 0] / sum(len(w) * n for w, n in c.items()) for c, p in zip((counts[k] for k in sorted(counts)), whole)]
+    seen = set()
+    for name in ("collect", "toPandas", "toArrow"):
+        take = getattr(type(edges), name)
+        monkeypatch.setattr(type(edges), name, lambda self, *a, take=take, **k: (seen.update(self.columns), take(self, *a, **k))[1])
+    monkeypatch.setattr(language.Pieces, "lattice", None)  # of the driver; workers import their own
+    models = [language.fit(rows, F.lit(True)) for rows in (edges, edges.repartition(7))]
+    for langs, _, p, usual in models:
+        assert langs == sorted(counts) and np.allclose(p, np.stack(whole, axis=1), rtol=1e-9) and np.allclose(usual, logs, rtol=1e-9)
+        assert np.array_equal(p, models[0][2]) and np.array_equal(usual, models[0][3])
+    assert "lang" in seen and not seen & {"word", "text"}
+
+
 def test_language_sends_a_text_once(edges):
     model = language.fit(edges, F.lit(True))
     for told in (language.likely(edges, model), language.identify(edges, model)):
