@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeframe.llm.native import md5_uniform, n_words
+from gaugeframe.llm.storage import stored
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -109,7 +110,9 @@ def mixed_copies(documents: DataFrame, rated: Callable[[DataFrame], DataFrame],
     text, source = F.col("text"), F.col("source").cast("string")
     known = [F.coalesce(text, F.lit("")), text.isNull(), F.coalesce(source, F.lit("")), source.isNull(), F.col("doc_id").isNull()]
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), *known)
-    mixture = mix(rated(documents.select("doc_id", "source", key.alias("_key"), n_words(text).alias("_size"))), F.col("_size"), F.col("_quality"), ["doc_id", "_key"], seed)
+    # written, so that texts are read once for their sizes
+    slim = stored(rated(documents.select("doc_id", "source", key.alias("_key"), n_words(text).alias("_size"))), "sizes")
+    mixture = mix(slim, F.col("_size"), F.col("_quality"), ["doc_id", "_key"], seed)
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("long")
     # not null, so that the join and the window below share one partitioning
     id_of = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id")

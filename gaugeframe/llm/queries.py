@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeframe.llm import automata, context_trees, decontamination, fingerprints, jaccard, language, mixing, native, re_pair, sharding, spelling, suffix_groups, toxicity, turn_repair
-from gaugeframe.llm.storage import parts_of
+from gaugeframe.llm.storage import parts_of, stored
 from gaugeframe.llm.tables import table
 from gaugeframe.session import scratch_path
 
@@ -66,9 +66,9 @@ FROM summed"""
 
 @query("op4_mixing", MIX_SQL)
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # words are counted before the join, so no text is shuffled
+    # words are counted before the join, so no text is shuffled, and once for all that the mixture does with the sizes
     slim = table(spark, sf_dir, "documents").select("doc_id", "source", native.n_words(F.col("text")).alias("_size"))
-    slim = with_quality(slim, table(spark, sf_dir, "labels"))
+    slim = stored(with_quality(slim, table(spark, sf_dir, "labels")), "sizes")
     return mixing.mix(slim, F.col("_size"), F.col("_quality"), ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -675,6 +675,13 @@ def test_chances_of_all_bytes_sum_to_one():
 
 
 
+def test_sizes_of_a_mixture_are_counted_once(spark, edges, sf_dir):
+    """The mixture reads the written sizes; no text is in its plan."""
+    assert all("sizes-" in f for f in queries.op4_mixing(spark, sf_dir).inputFiles())
+    out = mixing.mixed_copies(edges, lambda df: df.withColumn("_quality", F.lit(1.0)))
+    assert not re.search("split|regexp", out._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_copies_of_a_mixture(spark, edges, nothing):
     rated = lambda df: df.withColumn("_quality", F.when(F.col("doc_id") % 2 == 0, 2.0))
     out = mixing.mixed_copies(edges, rated)
