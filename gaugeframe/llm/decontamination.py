@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.llm.native import words
+from gaugeframe.llm.native import CONTROLS
 from gaugeframe.llm.storage import stored
 
 SHINGLE = 5
@@ -13,12 +13,15 @@ PERCENT = 75
 BITS = 64
 #: Of `blocks` only; `matches` goes by no radius, as repeated shingles can put a match beyond any.
 RADIUS = 23
-#: Item shingles (8 bytes each) and matched documents (16) are broadcast up to this count; more are joined by a shuffle.
+#: Item shingles (8 bytes each), documents with a candidate (8) and matched documents (16) are broadcast up to this count; more are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 
 
 def lower_words(text: Column) -> Column:
-    return words(F.lower(text))
+    """Words of a text in lower case, see `native.words`; a null or blank text has none."""
+    # where all white space is a blank, the split needs no regular expression
+    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), CONTROLS, " ")
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def shingle_hashes(tokens: Column, k: int) -> Column:
@@ -79,9 +82,13 @@ def matches(documents: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
     few = placed.count() <= MOST_BROADCAST
     at_hand = F.broadcast if few else lambda df: df
     hits = None
+    # exploding an array of one keeps the optimizer from splitting a text once more, to see whether it has words
+    split = keyed.select("doc_id", "node", F.explode(F.array(lower_words(F.col("text")))).alias("words"))
     for k in sizes:
-        tokens = keyed.select("doc_id", "node", lower_words(F.col("text")).alias("words"))
-        here = tokens.select("doc_id", "node", F.size("words").alias("n"), F.posexplode(shingle_hashes(F.col("words"), k)).alias("at", "hash"))
+        # a row for each start, hashed there: in compiled code, unlike a function over the array
+        tokens = split.select("doc_id", "node", "words", F.posexplode("words").alias("at", "_first")).filter(F.col("at") <= F.size("words") - k)
+        shingle = F.xxhash64(*[F.get("words", F.col("at") + j) for j in range(k)])
+        here = tokens.select("doc_id", "node", F.size("words").alias("n"), "at", shingle.alias("hash"))
         here = here.join(at_hand(placed.filter(F.col("k") == k)), "hash")
         hits = here if hits is None else hits.union(here)
     # places are a set, as equal rows give each of them again
@@ -96,10 +103,13 @@ def matches(documents: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
     starts = F.expr(f"flatten(transform(filter({spans}, s -> s.a <= s.b), s -> sequence(s.a, s.b)))")
     spread = shared.select("doc_id", "node", "k", F.struct("item", "n_words", "size", "need", starts.alias("starts")).alias("w"))
     per_document = spread.filter(F.size("w.starts") > 0).groupBy(F.col("doc_id").alias("id"), "node", "k").agg(F.collect_list("w").alias("windows"))
-    found = keyed.alias("d").join(per_document.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.id")) & (F.col("d.node") == F.col("w.node")))
+    per_document = stored(per_document, "candidates")
+    # of a text without a candidate nothing is shuffled
+    candidates = keyed.join(F.broadcast(per_document.select("node")), "node", "left_semi") if per_document.count() <= MOST_BROADCAST else keyed
+    found = candidates.alias("d").join(per_document.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.id")) & (F.col("d.node") == F.col("w.node")))
     # a document is split and hashed once: exploding keeps the optimizer from moving these into the expressions that use them
-    split = found.select("d.doc_id", "d.node", "w.windows", "w.k", F.explode(F.array(lower_words(F.col("d.text")))).alias("words"))
-    hashed = split.select("doc_id", "node", "windows", F.explode(F.array(by_size(F.col("words"), F.col("k")))).alias("all"))
+    chosen = found.select("d.doc_id", "d.node", "w.windows", "w.k", F.explode(F.array(lower_words(F.col("d.text")))).alias("words"))
+    hashed = chosen.select("doc_id", "node", "windows", F.explode(F.array(by_size(F.col("words"), F.col("k")))).alias("all"))
     held = F.expr("flatten(transform(windows, w -> transform(w.starts, s -> struct(w.item, w.n_words, w.size, w.need, s as start, slice(all, s + 1, w.size) as hashes))))")
     cut = hashed.select("doc_id", "node", F.inline(held))
     # written, as the optimizer would otherwise copy the whole expression of a mark into each of its uses

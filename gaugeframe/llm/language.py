@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -307,29 +308,34 @@ def fit(documents: DataFrame, training: Column, path: str = VOCABULARY, fit_rows
     return langs, pieces, p, usual
 
 
+def _places() -> dict[str, int]:
+    """Gives each word that is asked for the first time the next place, so a word is looked up once."""
+    return defaultdict(count().__next__)
+
+
 def _predict(sent, text_of: Callable[[pa.RecordBatch], pa.Array]):
     """Batches with the language of each row's text; the text is sent once, as one of the row's columns."""
 
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, pieces, p, usual = sent.value
-        lattice, place, logs, letters = Pieces(pieces), {}, np.zeros((0, len(langs))), 0
+        lattice, place, logs, letters = Pieces(pieces), _places(), np.zeros((0, len(langs))), 0
         for batch in batches:
             column = text_of(batch)
             preds, scores, likely = [], [], []
             for at in range(0, len(column), 500):
                 texts = [runs_of_letters(t) for t in column.slice(at, 500).to_pylist()]
                 if letters > REMEMBERED:
-                    place, logs, letters = {}, logs[:0], 0
-                new = list({w for t in texts for w in t if w not in place}) if langs else []
+                    place, logs, letters = _places(), logs[:0], 0
+                rows = [np.fromiter(map(place.__getitem__, t), np.int64, len(t)) for t in texts] if langs else texts
+                new = list(islice(place, len(logs), None))
                 if new:
-                    place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
                     letters += sum(map(len, new))
                     logs = np.concatenate([logs, lattice.word_logs(new, p)])
-                for words in texts:
+                for words, row in zip(texts, rows, strict=True):
                     if not words or not langs:
                         preds.append(UNDEFINED), scores.append(0.0), likely.append(bool(words))
                         continue
-                    total = logs[[place[w] for w in words]].sum(axis=0)
+                    total = logs[row].sum(axis=0)
                     chance = np.exp(total - total.max())
                     best = int(np.argmax(total))
                     preds.append(langs[best]), scores.append(float(chance[best] / chance.sum()))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: White space of every contract: space and the control characters 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
+CONTROLS = r"[\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
 

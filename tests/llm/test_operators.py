@@ -309,6 +309,24 @@ def test_items_in_another_order_are_found(spark):
     assert {r["doc_id"]: r["start_word"] for r in out}[1] == 30
 
 
+def test_only_candidates_are_shuffled_with_their_texts(spark, edges, monkeypatch):
+    written = {}
+    monkeypatch.setattr(decontamination, "stored", lambda df, label, put=decontamination.stored: (written.setdefault(label, df), put(df, label))[1])
+    item = spark.createDataFrame([(1, " ".join(words(1, 70)[10:40]))], "item_id long, text string")
+    assert {r["doc_id"] for r in decontamination.matches(edges, item).collect()} == {11, 12, 13}
+    plan = written["windows"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan
+    # a text's starts are rows, not places of a function over its array
+    assert "posexplode(words" in written["candidates"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lower_words_are_cut_at_white_space_only(spark):
+    texts = ["", " ", "\t\n\x0b\x0c\r ", "A  b", "\x0bx\ry\n", "ä\u00a0b\u2003c \x1cd\x85", "one\ttwo\n\nThree ", "ÉÈ ß", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", decontamination.lower_words(F.col("text")), native.words(F.lower("text")), native.n_words(F.col("text")))
+    for i, low, plain, n in rows.collect():
+        assert low == plain == WORD.findall((texts[i] or "").lower()) and n == len(low)
+
+
 def test_hamming_blocks_meet_within_the_radius(spark):
     r = random.Random(5)
     pairs = []
@@ -473,6 +491,20 @@ def test_language_sends_a_text_once(edges):
         assert re.findall(r"\b_?text\b", node.children().head().schema().simpleString()) == ["text"]
 
 
+def test_words_are_looked_up_once_and_forgotten_without_a_trace(edges, monkeypatch):
+    place = language._places()
+    assert [place[w] for w in ("b", "a", "b", "c")] == [0, 1, 0, 2] and list(place) == ["b", "a", "c"]
+    langs, pieces, p, usual = language.fit(edges, F.lit(True))
+    texts = arrays.pa.array([r[1] for r in ROWS] * 30, arrays.pa.string())
+    batch = arrays.pa.record_batch([texts], names=["text"])
+    told = []
+    for most in (language.REMEMBERED, 0):
+        monkeypatch.setattr(language, "REMEMBERED", most)
+        sent = type("Sent", (), {"value": (langs, pieces, p, usual)})
+        told += list(language._predict(sent, lambda b: b.column(0))([batch]))
+    assert told[0].equals(told[1]) and told[0].num_rows == len(texts)
+
+
 def test_a_language_of_copies_is_learned(spark):
     """Two languages of few texts with many copies each, beside one of many texts: none is left without words."""
     rows = [(" ".join(words(900 + i % 3, 30)), "en") for i in range(900)]
